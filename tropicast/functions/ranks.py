@@ -57,10 +57,9 @@ def quantile_categories(df: DataFrame, value: str, categories: int) -> DataFrame
     Bins are right-closed; the cut points are exact order statistics.
     """
     table = cut(cumulative_counts(df, value))
-    total = table.agg(F.sum("n")).scalar()
-    size = F.floor(total / categories)
-    positions = F.array(*[size * i for i in range(1, categories)])
-    hits = table.withColumn(
+    sized = table.withColumn("_size", F.floor(table.agg(F.sum("n")).scalar() / categories))
+    positions = F.array(*[F.col("_size") * i for i in range(1, categories)])
+    hits = sized.withColumn(
         "_hits",
         F.size(F.filter(positions, lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("n")))),
     ).where("_hits > 0")

@@ -160,14 +160,14 @@ def threshold_links(runs: DataFrame, size: int, threshold: float, run: int = RUN
     return correlation_links(runs, size, lambda r, _: np.abs(r) > threshold, run, block)
 
 
-def density_links(runs: DataFrame, size: int, density: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """The int(density * N (N - 1) / 2) links of largest signed r per window.
+def strongest_links(runs: DataFrame, size: int, wanted: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """The ``wanted`` links of largest signed r per window (table ``window_m, wanted``).
 
     A first pass counts pairs per bin of r; only pairs from the bin that holds the last
     wanted link upward are emitted, and the cut inside that bin is exact.
     """
-    hist = cut(correlation_histogram(runs, size, run, block))
-    wanted = cut(wanted_links(window_nodes(runs, size, run), density))
+    hist = correlation_histogram(runs, size, run, block)
+    wanted = cut(wanted)
     w = Window.partitionBy("window_m").orderBy("bin")  # at most BINS rows
     reach = hist.withColumn("_before", F.sum("n").over(w) - F.col("n")).join(wanted, "window_m")
     edge = reach.where(F.col("_before") < F.col("wanted")).groupBy("window_m").agg(F.max("bin").alias("bin"))
@@ -177,6 +177,11 @@ def density_links(runs: DataFrame, size: int, density: float, run: int = RUN, bl
     return first_links(cut(links), wanted)
 
 
+def density_links(runs: DataFrame, size: int, density: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """The int(density * N (N - 1) / 2) links of largest signed r per window."""
+    return strongest_links(runs, size, wanted_links(window_nodes(runs, size, run), density), run, block)
+
+
 def wanted_links(nodes: DataFrame, density: float) -> DataFrame:
     n = F.col("_n")
     counts = nodes.groupBy("window_m").agg(F.count(F.lit(1)).alias("_n"))

@@ -1 +1,189 @@
-"""Placeholder."""
+"""Correlation networks (J6, J7, N).
+
+``emb`` gives one network of many nodes; ``fld`` gives small networks that evolve over
+twelve-month windows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.calendar import month_date
+from ..operators import graph, network
+from ..session import cut
+from .registry import query, r, rounded
+from .sqltext import date
+from .views import Views
+
+THETA = 0.3
+FIELD_THETA = 0.6
+DENSITY = 0.05
+
+# all pairs of the embedding network; r as a dot product of standardised rows
+PAIRS_SQL = """SELECT a.node AS src, b.node AS dst, corr(a.value, b.value) AS r FROM emb a JOIN emb b ON a.m = b.m AND a.node < b.node GROUP BY 1, 2"""
+# the same without the 64-fold expansion of every pair
+UNIT_SQL = """SELECT vec_id AS node, list_transform(e, lambda x: (x - mu) / sd) AS z FROM (
+    SELECT vec_id, e, list_avg(e) AS mu, sqrt(list_sum(list_transform(e, lambda x: (x - list_avg(e)) * (x - list_avg(e))))) AS sd
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
+FAST_PAIRS = f"WITH u AS MATERIALIZED ({UNIT_SQL}), p AS (SELECT a.node AS src, b.node AS dst, list_dot_product(a.z, b.z) AS r FROM u a JOIN u b ON a.node < b.node)"
+LINKS = FAST_PAIRS + f", l AS MATERIALIZED (SELECT src, dst, r FROM p WHERE abs(r) > {THETA})"
+BOTH = LINKS + ", s AS MATERIALIZED (SELECT src AS a, dst AS b FROM l UNION ALL SELECT dst, src FROM l), d AS (SELECT a AS node, count(*) AS degree FROM s GROUP BY 1), n AS (SELECT count(*) AS n FROM embeddings)"
+TRI = BOTH + ", t AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM l x JOIN l y ON x.dst = y.src JOIN l z ON z.src = x.src AND z.dst = y.dst)"
+
+# windows of the field: links per twelve-month window among complete cells
+FIELD_LINKS = f"""WITH w AS MATERIALIZED (SELECT ((lat + 90) * 1000)::BIGINT * 10000000 + ((lon + 360) * 1000)::BIGINT AS node, m, value,
+      unnest(range(greatest(m, (SELECT min(m) + 11 FROM fld)), least(m + 11, (SELECT max(m) FROM fld)) + 1))::INT AS e FROM fld),
+    nodes AS MATERIALIZED (SELECT e, node, count(*) AS k FROM w GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT a.e, a.node AS src, b.node AS dst, corr(a.value, b.value) AS r FROM w a JOIN w b ON a.e = b.e AND a.m = b.m AND a.node < b.node
+      JOIN nodes na ON na.e = a.e AND na.node = a.node AND na.k = 12 JOIN nodes nb ON nb.e = b.e AND nb.node = b.node AND nb.k = 12
+      GROUP BY 1, 2, 3 HAVING abs(corr(a.value, b.value)) > {FIELD_THETA}),
+    c AS (SELECT e, count(*) AS n FROM nodes GROUP BY 1)"""
+
+
+def embedding_runs(v: Views):
+    return network.window_runs(v.emb, 64, run=1)
+
+
+def embedding_links(v: Views):
+    return network.threshold_links(embedding_runs(v), 64, THETA, run=1)
+
+
+def embedding_network(v: Views):
+    """Links, nodes and node counts of the embedding network, computed once."""
+    runs = cut(embedding_runs(v))
+    links = cut(network.threshold_links(runs, 64, THETA, run=1))
+    nodes = network.window_nodes(runs, 64, run=1)
+    return links, nodes, graph.node_counts(nodes)
+
+
+def field_network(v: Views, theta: float = FIELD_THETA):
+    runs = cut(network.window_runs(network.cell_nodes(v.fld), 12))
+    links = cut(network.threshold_links(runs, 12, theta))
+    nodes = network.window_nodes(runs, 12)
+    return links, nodes, graph.node_counts(nodes)
+
+
+@query("j6", FAST_PAIRS + " SELECT count(*) AS n_pairs, count(CASE WHEN abs(r) > 0.2 THEN 1 END) AS strong, round(sum(CASE WHEN abs(r) > 0.2 THEN r END), 5) + 0e0 AS total FROM p")
+def j6(v: Views):
+    runs = cut(embedding_runs(v))
+    strong = network.threshold_links(runs, 64, 0.2, run=1)
+    n = F.count(F.lit(1))
+    pairs = network.correlation_histogram(runs, 64, run=1).groupBy("window_m").agg(F.sum("n").alias("n_pairs"))
+    table = strong.groupBy("window_m").agg(n.alias("strong"), r(F.sum("r"), 5).alias("total"))
+    return pairs.join(table, "window_m").select("n_pairs", "strong", "total")
+
+
+@query("j7", FIELD_LINKS + f""" SELECT {date('e')} AS time, count(CASE WHEN now AND NOT was THEN 1 END) AS gained, count(CASE WHEN was AND NOT now THEN 1 END) AS lost,
+    count(CASE WHEN now AND was THEN 1 END) AS kept FROM (
+      SELECT coalesce(a.e, b.e + 1) AS e, a.e IS NOT NULL AS now, b.e IS NOT NULL AS was FROM l a FULL JOIN l b ON a.e = b.e + 1 AND a.src = b.src AND a.dst = b.dst) GROUP BY 1""")
+def j7(v: Views):
+    links, _, _ = field_network(v)
+    return graph.link_changes(links).select(month_date("window_m").alias("time"), "gained", "lost", "kept")
+
+
+@query("n1", FIELD_LINKS + f" SELECT {date('e')} AS time, src, dst, round(r, 6) + 0e0 AS r FROM l")
+def n1(v: Views):
+    runs = network.window_runs(network.cell_nodes(v.fld), 12)
+    links = network.correlation_links(runs, 12, lambda c, _: abs(c) > FIELD_THETA)
+    return links.select(month_date("window_m").alias("time"), "src", "dst", r("r").alias("r"))
+
+
+@query("n2", LINKS + " SELECT src, dst, round(r, 6) + 0e0 AS r FROM l")
+def n2(v: Views):
+    return rounded(embedding_links(v).select("src", "dst", "r"), "r")
+
+
+@query("n3", FAST_PAIRS + f""", k AS (SELECT src, dst, r, row_number() OVER (ORDER BY r DESC, src, dst) AS i FROM p)
+    SELECT src, dst, round(r, 6) + 0e0 AS r FROM k WHERE i <= (SELECT floor({DENSITY} * (count(*) * (count(*) - 1) / 2))::BIGINT FROM embeddings)""")
+def n3(v: Views):
+    return rounded(network.network_links(cut(embedding_runs(v)), 64, edge_density=DENSITY, run=1).select("src", "dst", "r"), "r")
+
+
+@query("n4", BOTH + " SELECT e.vec_id AS node, coalesce(d.degree, 0) AS degree FROM embeddings e LEFT JOIN d ON d.node = e.vec_id")
+def n4(v: Views):
+    links, nodes, _ = embedding_network(v)
+    table = nodes.join(graph.degrees(links), ["window_m", "node"], "left")
+    return table.select("node", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+
+
+@query("n5", BOTH + " SELECT n AS n_nodes, round((SELECT count(*) FROM l) / (n * (n - 1) / 2), 8) + 0e0 AS edge_density FROM n")
+def n5(v: Views):
+    links, _, counts = embedding_network(v)
+    out = graph.edge_density(links, counts).join(counts, "window_m")
+    return out.select("n_nodes", r("edge_density", 8).alias("edge_density"))
+
+
+@query("n6", TRI + " SELECT (SELECT count(*) FROM t) AS triangles, round(3 * (SELECT count(*) FROM t) / nullif((SELECT sum(degree * (degree - 1) / 2) FROM d), 0), 8) + 0e0 AS global_transitivity")
+def n6(v: Views):
+    links, _, counts = embedding_network(v)
+    count = graph.triangles(links).groupBy("window_m").agg(F.count(F.lit(1)).alias("triangles"))
+    out = graph.transitivity(links, counts).join(count, "window_m", "left")
+    return out.select(F.coalesce("triangles", F.lit(0).cast("long")).alias("triangles"), r("global_transitivity", 8).alias("global_transitivity"))
+
+
+@query("n7", TRI + """, k AS (SELECT node, count(*) AS k FROM (SELECT unnest([a, b, c]) AS node FROM t) GROUP BY 1)
+    SELECT round(sum(k / (degree * (degree - 1) / 2)) / (SELECT n FROM n), 8) + 0e0 AS avelocal_transmissivity FROM k JOIN d ON k.node = d.node""")
+def n7(v: Views):
+    links, _, counts = embedding_network(v)
+    return graph.local_clustering(links, counts).select(r("avelocal_transmissivity", 8).alias("avelocal_transmissivity"))
+
+
+# reachability by recursion on the small field networks
+COMPONENTS_SQL = FIELD_LINKS.replace("WITH w", "WITH RECURSIVE w") + """, s AS MATERIALIZED (SELECT e, src AS a, dst AS b FROM l UNION ALL SELECT e, dst, src FROM l),
+    reach(e, root, node) AS (SELECT e, node, node FROM nodes UNION SELECT r.e, r.root, s.b FROM reach r JOIN s ON s.e = r.e AND s.a = r.node),
+    comp AS (SELECT e, node, min(root) AS component FROM reach GROUP BY 1, 2),
+    size AS (SELECT e, component, count(*) AS size FROM comp GROUP BY 1, 2)"""
+
+
+@query("n8", COMPONENTS_SQL + f""" SELECT {date('size.e')} AS time, round(count(CASE WHEN size = 2 THEN 1 END) / max(n), 6) + 0e0 AS fraction_clusters_size_2,
+    round(count(CASE WHEN size = 3 THEN 1 END) / max(n), 6) + 0e0 AS fraction_clusters_size_3, round(count(CASE WHEN size = 5 THEN 1 END) / max(n), 6) + 0e0 AS fraction_clusters_size_5
+    FROM size JOIN c ON c.e = size.e GROUP BY 1""")
+def n8(v: Views):
+    links, nodes, counts = field_network(v)
+    table = graph.cluster_fractions(graph.components(links, nodes), counts)
+    names = [f"fraction_clusters_size_{s}" for s in (2, 3, 5)]
+    return table.select(month_date("window_m").alias("time"), *[r(n).alias(n) for n in names])
+
+
+@query("n9", COMPONENTS_SQL + f" SELECT {date('size.e')} AS time, round(max(size) / max(n), 6) + 0e0 AS fraction_giant_component FROM size JOIN c ON c.e = size.e GROUP BY 1")
+def n9(v: Views):
+    links, nodes, counts = field_network(v)
+    table = graph.cluster_fractions(graph.components(links, nodes), counts)
+    return table.select(month_date("window_m").alias("time"), r("fraction_giant_component").alias("fraction_giant_component"))
+
+
+# breadth-first layers: the depth bound is the longest path 25 cells can have
+PATHS_SQL = FIELD_LINKS.replace("WITH w", "WITH RECURSIVE w") + f""", s AS MATERIALIZED (SELECT e, src AS a, dst AS b FROM l UNION ALL SELECT e, dst, src FROM l),
+    walk(e, root, node, d) AS (SELECT DISTINCT e, a, a, 0 FROM s UNION SELECT x.e, x.root, s.b, x.d + 1 FROM walk x JOIN s ON s.e = x.e AND s.a = x.node WHERE x.d < 24),
+    dist AS (SELECT e, root, node, min(d) AS d FROM walk WHERE root <> node GROUP BY 1, 2, 3)
+    SELECT {date('e')} AS time, round(avg(d), 6) + 0e0 AS average_path_length FROM dist GROUP BY 1"""
+
+
+@query("n10", PATHS_SQL)
+def n10(v: Views):
+    links, nodes, _ = field_network(v)
+    table = graph.average_path_length(links, nodes)
+    return table.select(month_date("window_m").alias("time"), r("average_path_length").alias("average_path_length"))
+
+
+CHANGES_SQL = FIELD_LINKS + """, g AS (SELECT coalesce(a.e, b.e + 1) AS e, count(CASE WHEN b.e IS NULL THEN 1 END) AS b, count(CASE WHEN a.e IS NULL THEN 1 END) AS c,
+      count(CASE WHEN a.e IS NOT NULL AND b.e IS NOT NULL THEN 1 END) AS d FROM l a FULL JOIN l b ON a.e = b.e + 1 AND a.src = b.src AND a.dst = b.dst GROUP BY 1),
+    h AS (SELECT c.e, n * (n - 1) / 2 AS big, coalesce(b, 0) AS b, coalesce(g.c, 0) AS lost, coalesce(d, 0) AS d, c.e = (SELECT min(e) FROM c) AS first FROM c LEFT JOIN g ON g.e = c.e)"""
+
+
+@query("n11", CHANGES_SQL + f" SELECT {date('e')} AS time, round(CASE WHEN first THEN 0 ELSE (b + lost) / big END, 6) + 0e0 AS hamming_distance FROM h")
+def n11(v: Views):
+    links, _, counts = field_network(v)
+    return graph.hamming(links, counts).select(month_date("window_m").alias("time"), r("hamming_distance").alias("hamming_distance"))
+
+
+@query("n12", CHANGES_SQL + f" SELECT {date('e')} AS time, round(CASE WHEN first THEN 0 WHEN b + d >= lost + d THEN 2 * lost / big ELSE 2 * b / big END, 6) + 0e0 AS corrected_hamming_distance FROM h")
+def n12(v: Views):
+    links, _, counts = field_network(v)
+    return graph.hamming(links, counts).select(month_date("window_m").alias("time"), r("corrected_hamming_distance").alias("corrected_hamming_distance"))
+
+
+@query("n13")
+def n13(v: Views):
+    table = network.network_metrics(network.cell_nodes(v.fld), 12, threshold=FIELD_THETA)
+    return rounded(table, *[c for c in table.columns if c != "time"])

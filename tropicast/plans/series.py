@@ -40,9 +40,8 @@ def w3(v: Views):
       SELECT m, lon, value, CASE WHEN lead(m) OVER w = m + 1 THEN lead(value) OVER w END AS nx, CASE WHEN lag(m) OVER w = m - 1 THEN lag(value) OVER w END AS pv
       FROM fld WHERE lat = 0 WINDOW w AS (PARTITION BY lat, lon ORDER BY m))) GROUP BY 1""")
 def w4(v: Views):
-    equator = v.fld.where("lat = 0")
-    slope = windows.gradient(equator, ("lat", "lon"))
-    return slope.groupBy("m").agg(r(F.avg("value")).alias("value"))
+    slope = windows.gradient(v.fld, ("lat", "lon"))
+    return slope.where("lat = 0").groupBy("m").agg(r(F.avg("value")).alias("value"))
 
 
 @query("w5", f"""SELECT {date('e')} AS window_end, count(*) AS n, round(avg(value), 6) + 0e0 AS mean FROM (
@@ -112,12 +111,9 @@ def l2(v: Views):
     from ..operators import network
 
     runs = network.window_runs(v.emb, 64, run=1)
-    # links far above the cut are enough once the k-th strongest is known to lie there
-    for floor in (0.4, 0.2, 0.0, -1.1):
-        links = network.correlation_links(runs, 64, lambda c, _, f=floor: c > f, run=1)
-        best = ranks.top_k(links, 20, [F.desc("r"), F.asc("src"), F.asc("dst")])
-        if floor < -1 or best.count() == 20:
-            break
+    wanted = network.window_nodes(runs, 64, run=1).select("window_m").distinct().withColumn("wanted", F.lit(20))
+    links = network.strongest_links(runs, 64, wanted, run=1)
+    best = ranks.top_k(links, 20, [F.desc("r"), F.asc("src"), F.asc("dst")])
     return rounded(best.select("position", "src", "dst", "r"), "r")
 
 
