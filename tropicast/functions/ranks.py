@@ -12,8 +12,8 @@ def cumulative_counts(df: DataFrame, value: str, buckets: int = 64) -> DataFrame
     """Distinct ``value`` with its count ``n`` and ``below``, the rows strictly below it.
 
     Repeated values collapse before the shuffle, so a value that fills a third of the
-    table is one row. The rest is split into ranges by approximate quantiles (fixed once
-    by a checkpoint); running counts are local to a range and offset by the range totals.
+    table is one row. The rest is split into ranges by approximate quantiles (written
+    once, so both readers see the same); running counts are local to a range and offset by the range totals.
     """
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")))
     cuts = [i / buckets for i in range(1, buckets)]

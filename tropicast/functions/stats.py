@@ -30,6 +30,12 @@ def ratio(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))
 
 
+def nonneg(x) -> Column:
+    """Rounding errors below 0 to 0; NULL stays NULL (unlike ``greatest``)."""
+    x = _c(x)
+    return F.when(x < 0, F.lit(0.0)).otherwise(x)
+
+
 def pearson(x, y) -> Column:
     """Aggregate: Pearson r over the rows where both sides are present."""
     x, y = _c(x), _c(y)
@@ -121,10 +127,8 @@ def _with_stats(df: DataFrame, keys: list, aggs: list) -> DataFrame:
     """Attach grouped aggregates to every row: a join by key, or one scalar subquery."""
     if keys:
         return df.join(df.groupBy(*keys).agg(*aggs), keys)
-    names = [f"_s{i}" for i in range(len(aggs))]
     packed = df.agg(F.struct(*aggs).alias("_stats"))
     out = df.withColumn("_stats", packed.scalar())
-    del names
     return out.select(*df.columns, "_stats.*")
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import nonneg
+
 
 def gaussian_mixture(members: DataFrame, keys=("target_season", "lead")) -> DataFrame:
-    """Mean of means; variance mean(mu^2 + sigma^2) - mean^2."""
+    """Mean of means; variance mean(mu^2 + sigma^2) - mean^2, NULL if a member has no sigma."""
     mu, sd = F.col("mean"), F.col("std")
-    table = members.groupBy(*keys).agg(F.avg(mu).alias("mean"), F.avg(mu * mu + sd * sd).alias("_second"))
-    var = F.col("_second") - F.col("mean") * F.col("mean")
-    return table.select(*keys, "mean", F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+    table = members.groupBy(*keys).agg(
+        F.avg(mu).alias("mean"), F.avg(mu * mu + sd * sd).alias("_second"), (F.count(mu) == F.count(mu * sd)).alias("_full")
+    )
+    var = nonneg(F.col("_second") - F.col("mean") * F.col("mean"))
+    return table.select(*keys, "mean", F.when(F.col("_full"), F.sqrt(var)).alias("std"))
 
 
 def plain_mean(members: DataFrame, outputs: list, keys=("target_season", "lead")) -> DataFrame:

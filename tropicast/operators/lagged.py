@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_month
 from ..functions.ranks import average_rank
-from ..functions.stats import correlation_p, pairs, pearson, ratio
+from ..functions.stats import correlation_p, nonneg, pairs, pearson, ratio
 
 
 def correlate(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
@@ -101,7 +101,7 @@ def regression_map2(df: DataFrame, x1: str, x2: str, value: str = "value", cell=
     sst = F.col("yy") - F.col("sy") * F.col("sy") / n
     var_fit = fit_fit - fit_sum * fit_sum / n
     cov = fit_y - fit_sum * F.col("sy") / n
-    r = ratio(cov, F.sqrt(F.greatest(var_fit * sst, F.lit(0.0))))
+    r = ratio(cov, F.nullif(F.sqrt(nonneg(var_fit * sst)), F.lit(0.0)))
     out = s.select(*cell, (c1 * F.col("sd1")).alias("coef1"), (c2 * F.col("sd2")).alias("coef2"),
                    (1.0 - ratio(sse, sst)).alias("r2"), r.alias("r"), "n")
     return out.withColumn("p", correlation_p("r", "n"))

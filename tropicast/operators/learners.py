@@ -219,13 +219,29 @@ def quantile_models(features: DataFrame, quantiles, edges=DECADES, ridge: float
     for _ in range(max_rounds):
         e = F.col("y") - linear()
         side = F.when(e >= 0, F.col("q")).otherwise(1.0 - F.col("q"))
-        scored = rows.join(models, keys).withColumn("w", side / F.greatest(F.abs(e), F.lit(eps)))
-        loss = scored.agg(F.sum(side * F.abs(e))).first()[0]
+        weighted = rows.join(models.select(*keys, "coef"), keys)
+        weighted = weighted.withColumn("w", side / F.greatest(F.abs(e), F.lit(eps)))
+        products = cross_products(weighted, keys, weight="w").join(models.select(*keys, "coef"), keys)
+        models = cut(solve(products.withColumn("loss", _weighted_loss()("g", "coef")).drop("coef"), ridge=ridge))
+        loss = models.agg(F.sum("loss")).first()[0]
         if before is not None and abs(before - loss) <= tol * abs(before):
             break
         before = loss
-        models = cut(solve(cross_products(scored, keys, weight="w"), ridge=ridge))
-    return models
+    return models.drop("loss")
+
+
+def _weighted_loss():
+    """Weighted squared error of the coefficients a round began with, from its products.
+
+    With the weights of that round it equals the pinball loss, so no extra pass is needed.
+    """
+
+    @F.pandas_udf("double")
+    def loss(g: pd.Series, coef: pd.Series) -> pd.Series:
+        v = [np.append(-np.asarray(c, dtype=float), 1.0) for c in coef]
+        return pd.Series([float(a @ _unpack(m) @ a) for a, m in zip(v, g)])
+
+    return loss
 
 
 def predict_quantiles(features: DataFrame, models: DataFrame, edges=DECADES) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_month, season_number
-from ..functions.stats import correlation_p, interval_class, normal_cdf, pairs, pearson, ratio
+from ..functions.stats import correlation_p, interval_class, nonneg, normal_cdf, pairs, pearson, ratio
 from .folds import DECADES, fold_of, folds_of
 
 # Quantiles and their standard normal scores as used in the score tables.
@@ -198,30 +198,34 @@ def std_estimate(matched: DataFrame, obs: DataFrame, edges=DECADES, hold_out: bo
     by_month = obs.groupBy(calendar_month("m").alias("month"), fold_of(year, edges).alias("decade")).agg(
         F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss")
     )
-    n, s, ss = _others(["n", "s", "ss"], ["month"])
+    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
     var = ratio(ss - ratio(s * s, n), F.nullif(n - 1, F.lit(0)))
-    spread = by_month.select("month", "decade", F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_month")).where("decade is not null")
+    spread = _without_decade(by_month, ["month"], ["n", "s", "ss"], edges).select(
+        "month", "decade", F.sqrt(nonneg(var)).alias("std_month"))
     x, y = F.col("mean"), F.col("y")
     full = matched.where(x.isNotNull() & y.isNotNull())
     sums = full.groupBy(*MODEL, fold_of(year, edges).alias("decade")).agg(
         F.count(x).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
     )
-    n, sx, sy, sxx, syy, sxy = _others(["n", "sx", "sy", "sxx", "syy", "sxy"], list(MODEL))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    n, sx, sy, sxx, syy, sxy = map(F.col, names)
     cov, vx, vy = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
-    skill = sums.select(*MODEL, "decade", ratio(cov, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))).alias("r"))
-    joined = skill.where("decade is not null").join(spread, "decade")
-    return joined.select(*MODEL, "decade", "month", _shrunk().alias("std_estimate"))
+    r = ratio(cov, F.nullif(F.sqrt(nonneg(vx)) * F.sqrt(nonneg(vy)), F.lit(0.0)))
+    skill = _without_decade(sums, list(MODEL), names, edges).select(*MODEL, "decade", r.alias("r"))
+    return skill.join(spread, "decade").select(*MODEL, "decade", "month", _shrunk().alias("std_estimate"))
 
 
-def _others(columns: list, keys: list) -> list[Column]:
-    """Totals of the key minus the own row (the other decades)."""
-    w = Window.partitionBy(*keys)
-    return [F.sum(c).over(w) - F.col(c) for c in columns]
+def _without_decade(sums: DataFrame, keys: list, columns: list, edges) -> DataFrame:
+    """Sums of everything but one decade, for every decade: totals minus the decade's own."""
+    total = sums.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    total = total.withColumn("decade", F.explode(F.array(*[F.lit(d) for d in edges[:-1]])))
+    both = total.join(sums, [*keys, "decade"], "left")
+    return both.select(*keys, "decade", *[(F.col(f"_{c}") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in columns])
 
 
 def _shrunk() -> Column:
-    return F.col("std_month") * F.sqrt(F.greatest(1.0 - F.col("r") * F.col("r"), F.lit(0.0)))
+    return F.col("std_month") * F.sqrt(nonneg(1.0 - F.col("r") * F.col("r")))
 
 
 def attach_std(df: DataFrame, estimate: DataFrame, edges=DECADES) -> DataFrame:

@@ -1 +1,301 @@
-"""Placeholder."""
+"""Features, folds, candidates and learners (M, V1 to V6, R, U)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.sampling import uniform
+from ..operators import ensemble, eof, features, folds, lagged, learners, search, verify, windows
+from ..session import cut, scratch_path
+from .fields import anomalies
+from .registry import query, r, rounded
+from .views import EDGES, LEADS, Views
+
+PREDICTORS = ["oni", "wwv", "iod"]
+TRAIN_LEADS = (0, 3, 6)
+
+
+def feature_table(v: Views, **options):
+    options = {"leads": LEADS, "n_lags": 3, "step": 3, "cycle": False, **options}
+    return features.features(v.series, "oni", PREDICTORS, **options)
+
+
+# standardised predictors (ddof 0) of the months all three series have
+Z_SQL = """SELECT m, time, oni AS value, (oni - avg(oni) OVER ()) / stddev_pop(oni) OVER () AS z0, (wwv - avg(wwv) OVER ()) / stddev_pop(wwv) OVER () AS z1,
+    (iod - avg(iod) OVER ()) / stddev_pop(iod) OVER () AS z2 FROM (SELECT a.m, a.time, a.value AS oni, b.value AS wwv, c.value AS iod FROM idx a JOIN idx2 b ON a.m = b.m JOIN idx3 c ON a.m = c.m)"""
+FEAT_SQL = f"""SELECT m, time, value, [z0, z1, z2, lag(z0, 3) OVER w, lag(z1, 3) OVER w, lag(z2, 3) OVER w, lag(z0, 6) OVER w, lag(z1, 6) OVER w, lag(z2, 6) OVER w] AS x,
+    row_number() OVER w AS i FROM ({Z_SQL}) WINDOW w AS (ORDER BY m)"""
+LEAD_SQL = "(SELECT unnest([0,3,6,9,12,15,18,21])::INT AS lead) l"
+M1_SQL = f"""SELECT lead, f.m, (f.m + lead + 3)::INT AS m_target, f.x AS x, t.value AS y, f.value AS y_persistence FROM ({FEAT_SQL}) f, {LEAD_SQL}, ({FEAT_SQL}) t
+    WHERE f.i > 9 AND t.i > 9 AND t.m = f.m + lead + 3"""
+
+
+def _plain(table):
+    return table.select("lead", "m", "m_target", F.transform("x", lambda x: r(x)).alias("x"), "y", "y_persistence")
+
+
+def _round_x(sql: str) -> str:
+    return sql.replace(" f.x AS x,", " list_transform(f.x, lambda q: round(q, 6) + 0e0) AS x,")
+
+
+@query("m1", _round_x(M1_SQL))
+def m1(v: Views):
+    return _plain(feature_table(v))
+
+
+@query("m2", """WITH s AS (SELECT lat, lon, m, CASE WHEN count(value) OVER w = 3 THEN avg(value) OVER w END AS v FROM fld WINDOW w AS (PARTITION BY lat, lon ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
+    SELECT a.lat, a.lon, a.m, b.m AS m_target, round(a.v, 6) + 0e0 AS x, round(b.v, 6) + 0e0 AS y FROM s a JOIN s b ON a.lat = b.lat AND a.lon = b.lon AND b.m = a.m + 6 WHERE a.v IS NOT NULL AND b.v IS NOT NULL""")
+def m2(v: Views):
+    return rounded(features.field_features(v.fld, 3), "x", "y")
+
+
+@query("m3", _round_x(f"""SELECT lead, f.m, (f.m + lead + 3)::INT AS m_target, f.x AS x, t.value AS y, f.value AS y_persistence FROM ({FEAT_SQL}) f CROSS JOIN {LEAD_SQL} LEFT JOIN ({FEAT_SQL}) t
+    ON t.m = f.m + lead + 3 AND t.i > 9 WHERE f.i > 9 AND t.value IS NULL"""))
+def m3(v: Views):
+    return _plain(feature_table(v, keep_future=True).where("y is null"))
+
+
+U_SQL = "('0x' || substr(md5({0}), 1, 12))::UBIGINT::DOUBLE / 281474976710656e0"
+
+
+@query("m4", f"""WITH t AS (SELECT lead, m_target AS m, y, CASE WHEN m_target // 12 - 13 + 17 BETWEEN 1982 AND 2001 THEN 'elnino-like' ELSE 'lanina-like' END AS regime FROM ({M1_SQL})),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lead, regime ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY lead, regime) AS n FROM t),
+    d AS (SELECT lead, regime, draw, floor({U_SQL.format("concat_ws('|', '3', lead, regime, draw)")} * n)::INT AS i FROM (SELECT DISTINCT lead, regime, n FROM k), (SELECT unnest(range(0, 1000)) AS draw))
+    SELECT d.lead, d.regime, count(*) AS n, round(avg(y), 6) + 0e0 AS mean FROM d JOIN k ON k.lead = d.lead AND k.regime = d.regime AND k.i = d.i GROUP BY 1, 2""")
+def m4(v: Views):
+    table = feature_table(v).select("lead", F.col("m_target").alias("m"), "y")
+    # years are shifted so that both regimes occur
+    table = table.withColumn("year", F.floor(F.col("m") / 12) - 13 + 17)
+    draws = features.balanced_sample(table, 1000, seed=3)
+    return draws.groupBy("lead", "regime").agg(F.count(F.lit(1)).alias("n"), r(F.avg("y")).alias("mean"))
+
+
+FOLD_SQL = """CASE WHEN m_target // 12 >= 1995 AND m_target // 12 < 1997 THEN 1995 WHEN m_target // 12 >= 1997 AND m_target // 12 < 1999 THEN 1997
+    WHEN m_target // 12 >= 1999 AND m_target // 12 < 2001 THEN 1999 WHEN m_target // 12 >= 2001 AND m_target // 12 < 2002 THEN 2001 END"""
+
+
+@query("v1", f"""WITH t AS (SELECT lead, {FOLD_SQL} AS fold FROM ({M1_SQL}))
+    SELECT lead, fold, count(*) AS n_test, (SELECT count(*) FROM t u WHERE u.lead = t.lead) - count(*) AS n_train FROM t WHERE fold IS NOT NULL GROUP BY 1, 2""")
+def v1(v: Views):
+    return folds.fold_sizes(feature_table(v).withColumn("year", F.floor(F.col("m_target") / 12)), EDGES)
+
+
+@query("v2", f"""WITH t AS (SELECT lead, row_number() OVER (PARTITION BY lead ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY lead) AS n FROM ({M1_SQL}))
+    SELECT lead, segment, member, max(n) - count(*) AS n_train, count(*) AS n_val FROM (SELECT lead, (i // (n // 5))::INT AS segment, n FROM t), (SELECT unnest([0, 1, 2])::INT AS member)
+    WHERE segment < 5 GROUP BY 1, 2, 3""")
+def v2(v: Views):
+    return folds.member_sizes(feature_table(v), 5, 3, ("lead",))
+
+
+SPACE = {
+    "layers": (1, 4),
+    "neurons": ((8, 4), (64, 16)),
+    "dropout": (0.0, 0.5),
+    "l1": (0.001, 1.0, "log"),
+    "batch": (2, (3, 7), "exp"),
+}
+
+
+def _u(*parts: str, seed: int = 0) -> str:
+    return U_SQL.format("concat_ws('|', " + ", ".join([f"'{seed}'", *parts]) + ")")
+
+
+@query("v3", f"""SELECT lead, candidate, (1 + floor({_u('lead', 'candidate', "'layers'")} * 4))::INT AS layers,
+    [(8 + floor({_u('lead', 'candidate', "'neurons'", "0")} * 57))::INT, (4 + floor({_u('lead', 'candidate', "'neurons'", "1")} * 13))::INT] AS neurons,
+    round({_u('lead', 'candidate', "'dropout'")} * 0.5e0, 8) + 0e0 AS dropout,
+    round(pow(10e0, -3e0 + floor({_u('lead', 'candidate', "'l1'")} * 100) * (3e0 / 99)), 8) + 0e0 AS l1,
+    pow(2e0, 3 + floor({_u('lead', 'candidate', "'batch'")} * 5)) AS batch
+    FROM (SELECT DISTINCT lead FROM ({M1_SQL})), (SELECT unnest(range(0, 50))::INT AS candidate)""")
+def v3(v: Views):
+    leads = feature_table(v).select("lead").distinct()
+    return rounded(search.random_candidates(leads, SPACE, 50), "dropout", "l1", digits=8)
+
+
+DAMP_SPACE = {"damping": (0.0, 1.2), "shrink": (0.0, 1.0)}
+
+
+def damped_losses(v: Views, n: int):
+    """Validation loss per fold of damped-persistence candidates, from sums per fold."""
+    rows = learners.with_fold(feature_table(v), EDGES).where("fold is not null")
+    y, p = F.col("y"), F.col("y_persistence")
+    sums = rows.groupBy("lead", "fold").agg(
+        F.count(y).alias("n"), F.sum(y).alias("sy"), F.sum(p).alias("sp"), F.sum(y * y).alias("yy"),
+        F.sum(y * p).alias("yp"), F.sum(p * p).alias("pp"))
+    candidates = search.random_candidates(sums.select("lead").distinct(), DAMP_SPACE, n)
+    a, c = F.col("damping"), F.col("shrink")
+    loss = (F.col("yy") + a * a * F.col("pp") + c * c * F.col("n") - 2.0 * a * F.col("yp") - 2.0 * c * F.col("sy") + 2.0 * a * c * F.col("sp")) / F.col("n")
+    return candidates.join(sums, "lead").select("lead", "fold", "candidate", "damping", "shrink", loss.alias("loss"))
+
+
+def damped_history(v: Views, n: int):
+    return damped_losses(v, n).groupBy("lead", "candidate", "damping", "shrink").agg(F.avg("loss").alias("loss"))
+
+
+@query("v4", f"""WITH t AS (SELECT lead, {FOLD_SQL} AS fold, y, y_persistence AS p FROM ({M1_SQL})),
+    c AS (SELECT lead, candidate, {_u('lead', 'candidate', "'damping'")} * 1.2e0 AS a, {_u('lead', 'candidate', "'shrink'")} AS c FROM (SELECT DISTINCT lead FROM t), (SELECT unnest(range(0, 60))::INT AS candidate)),
+    s AS (SELECT c.lead, candidate, fold, avg((y - a * p - c)^2) AS loss FROM t JOIN c ON c.lead = t.lead WHERE fold IS NOT NULL GROUP BY 1, 2, 3),
+    h AS (SELECT lead, candidate, avg(loss) AS loss FROM s GROUP BY 1, 2)
+    SELECT lead, min_by(candidate, loss) AS candidate, round(min(loss), 6) + 0e0 AS loss FROM h GROUP BY 1""")
+def v4(v: Views):
+    history = search.score_candidates(damped_losses(v, 60), ("lead",))
+    return rounded(search.best_candidate(history, ("lead",)), "loss")
+
+
+GENES = {"damping": (0.0, 1.2), "shrink": (0.0, 1.0), "window": (2, 24), "inputs": (PREDICTORS, 2)}
+
+
+@query("v5")
+def v5(v: Views):
+    """Two generations of an evolutionary search scored on the folds."""
+    def scored(population):
+        rows = learners.with_fold(feature_table(v, leads=(6,)), EDGES).where("fold is not null")
+        y, p = F.col("y"), F.col("y_persistence")
+        sums = rows.agg(F.struct(F.avg(y * y).alias("yy"), F.avg(y * p).alias("yp"), F.avg(p * p).alias("pp"), F.avg(y).alias("y"), F.avg(p).alias("p")).alias("s"))
+        a, c = F.col("damping"), F.col("shrink")
+        s = population.withColumn("_s", sums.scalar())
+        loss = F.col("_s.yy") + a * a * F.col("_s.pp") + c * c - 2.0 * a * F.col("_s.yp") - 2.0 * c * F.col("_s.y") + 2.0 * a * c * F.col("_s.p")
+        return s.withColumn("score", loss + 0.001 * F.col("window")).drop("_s")
+
+    months = v.idx.select("m")
+    first = search.random_candidates(months, GENES, 2).select(
+        F.row_number().over(_by("m", "candidate")).alias("id"), *GENES)
+    population = cut(scored(first))
+    for seed in (1, 2):
+        bred = search.next_generation(population, GENES, 10, 20, 10, seed=seed)
+        population = cut(scored(bred.select((F.row_number().over(_by("kind", "i")) + 1000 * seed).alias("id"), *GENES)))
+    return rounded(population.select("id", "damping", "shrink", "window", "score"), "damping", "shrink", "score")
+
+
+def _by(*columns):
+    from pyspark.sql import Window
+
+    # candidates are counted in tens
+    return Window.orderBy(*columns)
+
+
+@query("v6", f"""SELECT DISTINCT lead, fold FROM (SELECT lead, {FOLD_SQL} AS fold FROM ({M1_SQL})) WHERE fold IS NOT NULL AND NOT (lead <= 6 AND fold = 1997)""")
+def v6(v: Views):
+    tasks = learners.with_fold(feature_table(v), EDGES).where("fold is not null").select("lead", "fold").distinct()
+    registry = tasks.where("lead <= 6 and fold = 1997")
+    return folds.open_tasks(tasks, registry)
+
+
+# learners ------------------------------------------------------------------------------
+
+
+@query("r1")
+def r1(v: Views):
+    """Lasso per lead, fold and penalty, chosen by validation loss, scored on its hindcast."""
+    table = cut(feature_table(v))
+    models = cut(learners.lasso_models(table, (0.0, 0.01, 0.05, 0.2), EDGES))
+    history = learners.lasso_validation(table, models, EDGES)
+    best = search.best_candidate(search.score_candidates(history.withColumnRenamed("alpha", "candidate"), ("lead",)), ("lead",))
+    chosen = models.join(best.select("lead", F.col("candidate").alias("alpha")), ["lead", "alpha"])
+    hindcast = learners.hindcast(table, chosen, EDGES)
+    return rounded(lagged.correlate(hindcast, "mean", "y", ["lead", "alpha"]), "r", "p")
+
+
+@query("r2")
+def r2(v: Views):
+    """Members of a mean-forecast ensemble, averaged and scored."""
+    table = cut(feature_table(v, leads=TRAIN_LEADS))
+    members = learners.predict_members(table, learners.mean_ensemble(table, 5, edges=EDGES), EDGES)
+    mean = ensemble.plain_mean(members, ["mean", "y"], ("lead", "m"))
+    return rounded(lagged.correlate(mean, "mean", "y", ["lead"]), "r", "p")
+
+
+def gaussian_hindcast(v: Views):
+    table = cut(feature_table(v, leads=TRAIN_LEADS))
+    members = learners.predict_members(table, learners.gaussian_ensemble(table, 5, edges=EDGES), EDGES)
+    mixed = ensemble.gaussian_mixture(members, ("lead", "m", "target_season"))
+    return verify.match(mixed.withColumn("model", F.lit("ensemble")), v.idx)
+
+
+@query("r3")
+def r3(v: Views):
+    scored = gaussian_hindcast(v).groupBy("model", "lead").agg(*verify.score_columns())
+    return rounded(scored, "r", "rmse", "srmse", "nll", "inside1")
+
+
+@query("r4")
+def r4(v: Views):
+    """Quantile models per lead and fold; pinball loss of their hindcast."""
+    table = cut(feature_table(v, leads=(0, 6)))
+    models = learners.quantile_models(table, (0.16, 0.84), EDGES)
+    rows = learners.with_fold(table, EDGES).join(models, ["lead", "fold"])
+    loss = verify.pinball("y", learners.linear(), F.col("q"))
+    return rows.groupBy("lead", "q").agg(F.count(F.lit(1)).alias("n"), r(F.avg(loss), 4).alias("qs"))
+
+
+@query("r5")
+def r5(v: Views):
+    table = cut(feature_table(v, leads=(0,)))
+    models = learners.quantile_models(table, (0.025, 0.5, 0.975), EDGES)
+    out = learners.predict_quantiles(table, models, EDGES)
+    return out.select("lead", "m", "target_season", *[r(F.get("forecast", F.lit(i)), 4).alias(n) for i, n in enumerate(("low", "mid", "high"))])
+
+
+@query("r6")
+def r6(v: Views):
+    """Interval-probability forecast and its summary."""
+    table = cut(feature_table(v, leads=(0,)))
+    model = learners.interval_classifier(table, low=-5.0, step=1.0, count=11, max_iter=25)
+    probs = learners.classify(model, table).withColumn("model", F.lit("classifier"))
+    summary = verify.distribution_summary(probs, low=-5.0, step=1.0)
+    return summary.select("model", "lead", "target_season", "mode_class", "median_class")
+
+
+@query("r7")
+def r7(v: Views):
+    out = learners.field_forecast(anomalies(v).select("lat", "lon", "m", "value"), lead=3, k=3)
+    obs = anomalies(v).select("lat", "lon", "m", F.col("value").alias("y"))
+    both = out.join(obs, ["lat", "lon", "m"])
+    return both.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), r(verify.rmse("y", "value"), 4).alias("rmse"))
+
+
+@query("r9", f"""WITH t AS (SELECT lead, m_target AS m, y, y_persistence AS p, {FOLD_SQL} AS fold FROM ({M1_SQL})),
+    s AS (SELECT f.lead, f.fold, regr_slope(t.y, t.p) AS a, regr_intercept(t.y, t.p) AS b FROM (SELECT DISTINCT lead, fold FROM t WHERE fold IS NOT NULL) f JOIN t ON t.lead = f.lead AND (t.fold IS NULL OR t.fold <> f.fold) GROUP BY 1, 2)
+    SELECT t.lead, t.fold, t.m, y, round(a * p + b, 6) + 0e0 AS mean FROM t JOIN s ON s.lead = t.lead AND s.fold = t.fold""")
+def r9(v: Views):
+    """Hindcast of a regression on persistence, each decade from the other decades."""
+    table = feature_table(v).withColumn("x", F.array("y_persistence"))
+    products = cut(learners.cross_products(learners.with_fold(table, EDGES), ["lead", "fold"]))
+    models = learners.solve(learners.others(products, "fold", ["lead"]))
+    out = learners.hindcast(table, models, EDGES)
+    return out.select("lead", "fold", "m", "y", r("mean").alias("mean"))
+
+
+@query("r10", "SELECT l.lead, a.m + l.lead + 3 AS m, b.value AS y, a.value AS mean FROM idx a, (SELECT unnest([0,3,6,9,12,15,18,21])::INT AS lead) l, idx b WHERE b.m = a.m + l.lead + 3")
+def r10(v: Views):
+    out = windows.labels(v.idx, LEADS)
+    return out.select("lead", F.col("m_target").alias("m"), "y", F.col("y_persistence").alias("mean"))
+
+
+@query("r11")
+def r11(v: Views):
+    table = cut(feature_table(v, leads=TRAIN_LEADS))
+    return rounded(learners.relevance(learners.mean_ensemble(table, 5, edges=EDGES), len(PREDICTORS)), "weight")
+
+
+# extension points ----------------------------------------------------------------------
+
+
+@query("u1", f"SELECT lead, count(*) AS n, round(avg(y), 6) + 0e0 AS y, round(avg(y_persistence), 6) + 0e0 AS p FROM ({M1_SQL}) WHERE lead IN (0, 6) GROUP BY 1")
+def u1(v: Views):
+    """A user pipeline: any callable that returns a feature table for a lead."""
+    def pipeline(lead):
+        return feature_table(v, leads=(lead,))
+
+    table = pipeline(0).unionByName(pipeline(6))
+    return table.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), r(F.avg("y")).alias("y"), r(F.avg("y_persistence")).alias("p"))
+
+
+@query("u2", f"""WITH t AS (SELECT m_target AS m, y, y_persistence AS p FROM ({M1_SQL}) WHERE lead = 3)
+    SELECT m, round(regr_slope(y, p) OVER () * p + regr_intercept(y, p) OVER (), 6) + 0e0 AS mean FROM t""")
+def u2(v: Views):
+    """The model contract: fit, save, load, predict with named outputs."""
+    table = cut(feature_table(v, leads=(3,)).withColumn("x", F.array("y_persistence")))
+    path = scratch_path(v.spark, "model")
+    learners.LinearForecast(ridge=0.0).fit(table).save(path)
+    model = learners.LinearForecastModel.load(path)
+    return model.transform(table).select(F.col("m_target").alias("m"), r("mean").alias("mean"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_date, month_number
+from ..functions.stats import nonneg
 
 EDGES = (1995, 1997, 1999, 2001, 2002)
 REFERENCE = ("1996-01-01", "1999-12-31")
@@ -100,7 +101,7 @@ class Views:
         n, s = F.sum("n"), F.sum("s")
         var = F.try_divide(F.sum("ss") - F.try_divide(s * s, n), F.nullif(n - 1, F.lit(0)))
         out = rows.groupBy("m", "member").agg(F.round(s / n + TIE, 6).alias("mean"),
-                                              F.round(F.sqrt(F.greatest(var, F.lit(0.0))), 6).alias("std"))
+                                              F.round(F.sqrt(nonneg(var)), 6).alias("std"))
         return out.select(month_date("m").alias("target_season"), "m", "member", "mean", "std")
 
     @cached_property
@@ -202,6 +203,8 @@ def with_views(body: str) -> str:
         return body
     ctes = ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in needed)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
