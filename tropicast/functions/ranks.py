@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
-def cumulative_counts(df: DataFrame, value: str, buckets: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, buckets: int = 32) -> DataFrame:
     """Distinct ``value`` with its count ``n`` and ``below``, the rows strictly below it.
 
     Repeated values collapse before the shuffle, so a value that fills a third of the
@@ -18,9 +21,8 @@ def cumulative_counts(df: DataFrame, value: str, buckets: int = 64) -> DataFrame
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")))
     cuts = [i / buckets for i in range(1, buckets)]
     edges = cut(counts.agg(F.percentile_approx(value, cuts, 10000).alias("edges")))
-    placed = counts.withColumn("_edges", edges.scalar()).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    ).drop("_edges")
+    above = [F.coalesce((F.get("_edges", F.lit(i)) < F.col(value)).cast("int"), F.lit(0)) for i in range(buckets - 1)]
+    placed = counts.withColumn("_edges", edges.scalar()).withColumn("_bucket", reduce(add, above)).drop("_edges")
     totals = placed.groupBy("_bucket").agg(F.sum("n").alias("_size"))
     # at most ``buckets`` rows
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

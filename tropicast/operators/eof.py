@@ -98,7 +98,7 @@ def fit(matrix: DataFrame, k: int = 3, cell=("lat", "lon")) -> Eof:
     )
     sign = raw.groupBy("mode").agg(F.signum(F.max_by("loading", F.abs("loading"))).alias("_sign"))
     patterns = raw.join(sign, "mode").select(*cell, "mode", (F.col("loading") * F.col("_sign")).alias("loading"))
-    return Eof(matrix, patterns, [float(v) / total for v in lam], cell)
+    return Eof(matrix, patterns, [float(v) / total if total > 0 else None for v in lam], cell)
 
 
 def pattern_map(eof: Eof, field: DataFrame, mode: int = 1) -> DataFrame:

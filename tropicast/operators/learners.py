@@ -203,7 +203,7 @@ def hindcast(features: DataFrame, models: DataFrame, edges=DECADES, first: str |
 
 
 def quantile_models(features: DataFrame, quantiles, edges=DECADES, ridge: float = 1e-6, eps: float = 1e-3,
-                    tol: float = 1e-4, max_rounds: int = 40) -> DataFrame:
+                    tol: float = 1e-3, max_rounds: int = 40) -> DataFrame:
     """``lead, fold, q, coef``: linear quantile regression by reweighted least squares.
 
     All keys iterate together; a round is one aggregation, and the loop ends when the

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_date, month_number
 from ..functions.stats import nonneg
+from ..session import cut
 
 EDGES = (1995, 1997, 1999, 2001, 2002)
 REFERENCE = ("1996-01-01", "1999-12-31")
@@ -27,22 +28,37 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _monthly(self, table: str, time: str, value, name: str) -> DataFrame:
-        """Monthly index: partial means inside the tasks, one row per month after them."""
-        rows = self.table(table).groupBy(month_number(time).alias("m")).agg(value.alias("value"))
-        return rows.select(F.lit(name).alias("series"), month_date("m").alias("time"), "m", "value")
+    def _months(self, table: str, time: str, **values) -> DataFrame:
+        """Monthly means of a raw table: one scan with partial means inside the tasks.
+
+        The result (a row per month) is kept as a table, so that operators which read a
+        series several times do not scan the raw table again.
+        """
+        means = [value.alias(name) for name, value in values.items()]
+        rows = self.table(table).groupBy(month_number(time).alias("m")).agg(*means)
+        return cut(rows.select(month_date("m").alias("time"), "m", *values))
+
+    @staticmethod
+    def _series(months: DataFrame, column: str, name: str) -> DataFrame:
+        return months.select(F.lit(name).alias("series"), "time", "m", F.col(column).alias("value"))
 
     @cached_property
     def idx(self) -> DataFrame:
-        return self._monthly("orders", "o_orderdate", F.round((F.avg("o_totalprice") / 1000.0 - 250.0) / 10.0 + TIE, 6), "oni")
+        value = F.round((F.avg("o_totalprice") / 1000.0 - 250.0) / 10.0 + TIE, 6)
+        return self._series(self._months("orders", "o_orderdate", value=value), "value", "oni")
+
+    @cached_property
+    def _shipments(self) -> DataFrame:
+        return self._months("lineitem", "l_shipdate", price=F.round(F.avg("l_extendedprice") / 1000.0 + TIE, 6),
+                            quantity=F.round(F.avg("l_quantity") + TIE, 6))
 
     @cached_property
     def idx2(self) -> DataFrame:
-        return self._monthly("lineitem", "l_shipdate", F.round(F.avg("l_extendedprice") / 1000.0 + TIE, 6), "wwv")
+        return self._series(self._shipments, "price", "wwv")
 
     @cached_property
     def idx3(self) -> DataFrame:
-        return self._monthly("lineitem", "l_shipdate", F.round(F.avg("l_quantity") + TIE, 6), "iod")
+        return self._series(self._shipments, "quantity", "iod")
 
     @cached_property
     def series(self) -> DataFrame:
@@ -68,7 +84,8 @@ class Views:
         who = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         rows = self._customer_months.join(who, "o_custkey").join(spot, "c_nationkey")
         cells = rows.groupBy("m", "lat", "lon").agg(F.round(F.sum("s") / F.sum("n") + TIE, 6).alias("value"))
-        return cells.select(month_date("m").alias("time"), "m", "lat", "lon", "value")
+        # kept as a table: operators read a field several times
+        return cut(cells.select(month_date("m").alias("time"), "m", "lat", "lon", "value"))
 
     @cached_property
     def daily(self) -> DataFrame:
