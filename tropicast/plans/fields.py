@@ -32,12 +32,12 @@ def f1(v: Views):
 
 @query("f2", "SELECT time, m, lat, lon, value FROM fld WHERE lat BETWEEN -2.5 AND 5 AND lon BETWEEN 140 AND 180")
 def f2(v: Views):
-    return regions.box(v.fld, (5.0, -2.5), (140.0, 180.0))
+    return regions.box(v.fld_once, (5.0, -2.5), (140.0, 180.0))
 
 
 @query("f3", "SELECT time, m, lat, lon, value FROM fld WHERE lat = 0")
 def f3(v: Views):
-    return regions.box(v.fld, (0.0, 0.0), (0.0, 360.0))
+    return regions.box(v.fld_once, (0.0, 0.0), (0.0, 360.0))
 
 
 @query("f4", """SELECT background, count(*) AS n, round(avg(value), 6) + 0e0 AS mean FROM (
@@ -64,7 +64,7 @@ EVENT_SQL = """SELECT DISTINCT kind, ((year + o) * 12 + k - 1)::INT AS m FROM ev
 @query("f5", f"SELECT time, m, lat, lon, value FROM fld WHERE m IN (SELECT m FROM ({EVENT_SQL}) WHERE kind = 'warm')")
 def f5(v: Views):
     warm = v.event_years.where(F.col("kind") == "warm")
-    return regions.select_events(v.fld, warm, WINTER).select("time", "m", "lat", "lon", "value")
+    return regions.select_events(v.fld_once, warm, WINTER).select("time", "m", "lat", "lon", "value")
 
 
 @query("f6", """SELECT part, count(*) AS n, round(avg(value), 6) + 0e0 AS mean FROM (
@@ -72,7 +72,7 @@ def f5(v: Views):
 def f6(v: Views):
     fold = folds.fold_of(F.floor(F.col("m") / 12), EDGES)
     part = F.when(fold == 1997, "test").otherwise("train")
-    return v.fld.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean"))
+    return v.fld_once.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("mean"))
 
 
 @query("f7", """SELECT lat, lon, count(value) AS n FROM (SELECT lat, lon, CASE WHEN lon < 200 OR lat > 0 THEN value END AS value FROM fld)
@@ -151,7 +151,7 @@ def a1(v: Views):
 
 @query("a2", f"SELECT lat, lon, k AS period_key, round(mean, 6) + 0e0 AS mean FROM ({CLIM_SQL})")
 def a2(v: Views):
-    return rounded(clim.climatology(v.fld, "month", REFERENCE), "mean").drop("std")
+    return rounded(clim.climatology(v.fld_once, "month", REFERENCE), "mean").drop("std")
 
 
 @query("a3", """SELECT key, dayofyear(time)::INT AS period_key, round(avg(value), 6) + 0e0 AS mean, round(stddev_pop(value), 6) + 0e0 AS std
@@ -187,7 +187,7 @@ BOX_SQL = """SELECT time, m, round(avg(v), 6) + 0e0 AS value FROM (
 
 @query("a7", BOX_SQL.format(-5, 5, 120, 200))
 def a7(v: Views):
-    return rounded(regions.box_mean(v.fld, (-5, 5), (120, 200)), "value")
+    return rounded(regions.box_mean(v.fld_once, (-5, 5), (120, 200)), "value")
 
 
 @query("a8", """SELECT 'means' AS variant, basin, time, m, round(avg(v), 6) + 0e0 AS value FROM (
@@ -206,12 +206,12 @@ def a8(v: Views):
 @query("a9", BOX_SQL.format(-5, 5, 190, 240))
 def a9(v: Views):
     lat, lon = regions.ONI_BOX
-    return rounded(regions.box_mean(v.fld, lat, lon), "value")
+    return rounded(regions.box_mean(v.fld_once, lat, lon), "value")
 
 
 @query("a10", f"SELECT kind, lat, lon, round(avg(value), 6) + 0e0 AS value FROM fld JOIN ({EVENT_SQL}) e ON fld.m = e.m GROUP BY 1, 2, 3")
 def a10(v: Views):
-    return rounded(regions.composite(v.fld, v.event_years, WINTER), "value")
+    return rounded(regions.composite(v.fld_once, v.event_years, WINTER), "value")
 
 
 @query("a11", "SELECT (m % 12 + 1)::INT AS month, round(stddev_samp(value), 6) + 0e0 AS std FROM idx GROUP BY 1")

@@ -131,13 +131,13 @@ BOX_SQL = "time BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND lat BETWEEN
 @query("s5", f"SELECT time, m, lat, lon, value FROM fld WHERE {BOX_SQL}")
 def s5(v: Views):
     store = _store(v, start="1996-01", end="2000-12", lat=(2.5, -2.5)[::-1], lon=(120, 180))
-    store.write_field(v.fld, "sst", "ERSSTv5")
+    store.write_field(v.fld_once, "sst", "ERSSTv5")
     return store.read_field("sst", "ERSSTv5").select("time", "m", "lat", "lon", "value")
 
 
 @query("s6", "SELECT time, m, lat AS nav_lat, lon AS nav_lon, value FROM fld WHERE lat > -5 AND lat < 5 AND lon > 120 AND lon < 200")
 def s6(v: Views):
-    curved = v.fld.withColumnsRenamed({"lat": "nav_lat", "lon": "nav_lon"})
+    curved = v.fld_once.withColumnsRenamed({"lat": "nav_lat", "lon": "nav_lon"})
     return fields.curvilinear_box(curved, (-5.0, 5.0), (120.0, 200.0))
 
 
@@ -156,7 +156,7 @@ def s7(v: Views):
 def s8(v: Views):
     """Yearly files written one folder per year, read together."""
     path = scratch_path(v.spark, "yearly")
-    v.fld.withColumn("year", F.floor(F.col("m") / 12).cast("int")).drop("m").write.partitionBy("year").parquet(path)
+    v.fld_once.withColumn("year", F.floor(F.col("m") / 12).cast("int")).drop("m").write.partitionBy("year").parquet(path)
     rows = fields.read_field_files(v.spark, path)
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("value"))
 
@@ -333,7 +333,7 @@ def p8(v: Views):
         SELECT time, m, lon, 28e0 + (value - 250e0) / 50e0 AS v FROM fld WHERE lat = 0)
       WINDOW w AS (PARTITION BY m ORDER BY lon)) GROUP BY 1, 2""")
 def p9(v: Views):
-    warm = v.fld.withColumn("value", 28.0 + (F.col("value") - 250.0) / 50.0)
+    warm = v.fld_once.withColumn("value", 28.0 + (F.col("value") - 250.0) / 50.0)
     edge = prepare.warm_pool_edge(warm)
     return edge.select("time", "m", "cell", r("value", 4).alias("value"))
 
@@ -350,7 +350,7 @@ def p10(v: Views):
 
 @query("p11", "SELECT time, m, lat, lon, -value AS value FROM fld")
 def p11(v: Views):
-    return prepare.negate(v.fld)
+    return prepare.negate(v.fld_once)
 
 
 @query("p12", """SELECT time, m, (m % 12 + 1)::INT AS month, round(cos((m - f) / 12e0 * 2 * pi()), 6) + 0e0 AS cos,

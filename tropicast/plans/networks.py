@@ -183,7 +183,24 @@ def n12(v: Views):
     return graph.hamming(links, counts).select(month_date("window_m").alias("time"), r("corrected_hamming_distance").alias("corrected_hamming_distance"))
 
 
-@query("n13")
+METRICS_SQL = (COMPONENTS_SQL + """, deg AS (SELECT e, a AS node, count(*) AS degree FROM s GROUP BY 1, 2),
+    tri AS MATERIALIZED (SELECT x.e, x.src AS a, x.dst AS b, y.dst AS c FROM l x JOIN l y ON y.e = x.e AND x.dst = y.src JOIN l z ON z.e = x.e AND z.src = x.src AND z.dst = y.dst),
+    corner AS (SELECT e, node, count(*) AS k FROM (SELECT e, unnest([a, b, c]) AS node FROM tri) GROUP BY 1, 2),
+    loc AS (SELECT corner.e, sum(k / (degree * (degree - 1) / 2)) AS c FROM corner JOIN deg ON deg.e = corner.e AND deg.node = corner.node GROUP BY 1),
+    walk(e, root, node, d) AS (SELECT DISTINCT e, a, a, 0 FROM s UNION SELECT x.e, x.root, s.b, x.d + 1 FROM walk x JOIN s ON s.e = x.e AND s.a = x.node WHERE x.d < 24),
+    path AS (SELECT e, avg(d) AS d FROM (SELECT e, root, node, min(d) AS d FROM walk WHERE root <> node GROUP BY 1, 2, 3) GROUP BY 1),
+    part AS (SELECT e, count(CASE WHEN size = 2 THEN 1 END) AS k2, count(CASE WHEN size = 3 THEN 1 END) AS k3, count(CASE WHEN size = 5 THEN 1 END) AS k5, max(size) AS top FROM size GROUP BY 1),"""
+    + CHANGES_SQL[len(FIELD_LINKS) + 1:] + f""", m AS (SELECT e, count(*) AS m FROM l GROUP BY 1), t AS (SELECT e, count(*) AS t FROM tri GROUP BY 1), p AS (SELECT e, sum(degree * (degree - 1) / 2) AS p FROM deg GROUP BY 1)
+    SELECT {date('c.e')} AS time, round(3 * coalesce(t, 0) / nullif(p, 0), 6) + 0e0 AS global_transitivity, round(coalesce(loc.c, 0) / n, 6) + 0e0 AS avelocal_transmissivity,
+      round(k2 / n, 6) + 0e0 AS fraction_clusters_size_2, round(k3 / n, 6) + 0e0 AS fraction_clusters_size_3, round(k5 / n, 6) + 0e0 AS fraction_clusters_size_5,
+      round(top / n, 6) + 0e0 AS fraction_giant_component, round(path.d, 6) + 0e0 AS average_path_length,
+      round(CASE WHEN first THEN 0 ELSE (b + lost) / big END, 6) + 0e0 AS hamming_distance,
+      round(CASE WHEN first THEN 0 WHEN b + h.d >= lost + h.d THEN 2 * lost / big ELSE 2 * b / big END, 6) + 0e0 AS corrected_hamming_distance,
+      round({FIELD_THETA}e0, 6) + 0e0 AS threshold, round(coalesce(m, 0) / big, 6) + 0e0 AS edge_density
+    FROM c JOIN part ON part.e = c.e JOIN h ON h.e = c.e LEFT JOIN loc ON loc.e = c.e LEFT JOIN path ON path.e = c.e LEFT JOIN m ON m.e = c.e LEFT JOIN t ON t.e = c.e LEFT JOIN p ON p.e = c.e""")
+
+
+@query("n13", METRICS_SQL)
 def n13(v: Views):
     table = network.network_metrics(network.cell_nodes(v.fld), 12, threshold=FIELD_THETA)
     return rounded(table, *[c for c in table.columns if c != "time"])

@@ -19,7 +19,7 @@ from .views import REFERENCE, Views
 @query("w1", """SELECT lat, lon, m, round(CASE WHEN count(value) OVER w = 3 THEN avg(value) OVER w END, 6) + 0e0 AS value
     FROM fld WINDOW w AS (PARTITION BY lat, lon ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def w1(v: Views):
-    return rounded(windows.rolling_mean(v.fld, 3, ("lat", "lon")), "value").select("lat", "lon", "m", "value")
+    return rounded(windows.rolling_mean(v.fld_once, 3, ("lat", "lon")), "value").select("lat", "lon", "m", "value")
 
 
 @query("w2", """SELECT series, m, [value, l3, l6] AS x FROM (SELECT series, m, value, lag(value, 3) OVER w AS l3, lag(value, 6) OVER w AS l6,
@@ -102,7 +102,7 @@ def w9(v: Views):
 
 @query("l1", "SELECT time, m, lat, lon, value FROM fld ORDER BY lat DESC, lon, m")
 def l1(v: Views):
-    return v.fld.orderBy(F.desc("lat"), "lon", "m")
+    return v.fld_once.orderBy(F.desc("lat"), "lon", "m")
 
 
 @query("l2", f"""SELECT position, src, dst, round(r, 6) + 0e0 AS r FROM (SELECT *, row_number() OVER (ORDER BY r DESC, src, dst)::INT AS position FROM (
@@ -167,7 +167,7 @@ def x6(v: Views):
 
 @query("x7", f"SELECT m, n, round(r, 6) + 0e0 AS r, round({p_value('r', 'n')}, 6) + 0e0 AS p FROM (SELECT m, count(*)::INT AS n, {corr('lat', 'value')} AS r FROM fld GROUP BY 1)")
 def x7(v: Views):
-    table = v.fld.groupBy("m").agg(F.count(F.lit(1)).cast("int").alias("n"), stats.pearson("lat", "value").alias("r"))
+    table = v.fld_once.groupBy("m").agg(F.count(F.lit(1)).cast("int").alias("n"), stats.pearson("lat", "value").alias("r"))
     return rounded(table.withColumn("p", stats.correlation_p("r", "n")), "r", "p")
 
 
@@ -217,7 +217,7 @@ def c4(v: Views):
 def c5(v: Views):
     from pyspark.sql import Window
 
-    pairs = v.fld.withColumn("x", F.lag("value").over(Window.partitionBy("lat", "lon").orderBy("m"))).where("x is not null")
+    pairs = v.fld_once.withColumn("x", F.lag("value").over(Window.partitionBy("lat", "lon").orderBy("m"))).where("x is not null")
     return rounded(lagged.correlate(pairs, "x", "value", ["lat", "lon"]), "r", "p").select("lat", "lon", "n", "r", "p")
 
 
@@ -225,7 +225,7 @@ def c5(v: Views):
     SELECT f.lat, f.lon, regr_slope(f.value, x.value) AS slope, regr_intercept(f.value, x.value) AS intercept, stddev_pop(x.value) AS sx, abs({corr('x.value', 'f.value')}) AS r, count(*) AS n
     FROM fld f JOIN idx x ON f.m = x.m GROUP BY 1, 2)""")
 def c6(v: Views):
-    table = lagged.regression_map(lagged.gridded(v.fld, v.idx), "x")
+    table = lagged.regression_map(lagged.gridded(v.fld_once, v.idx), "x")
     out = table.withColumns({"coef": r("coef", 5), "intercept": r("intercept", 5), "r": r("r"), "p": r("p")})
     return out.select("lat", "lon", "coef", "intercept", "r", "n", "p")
 

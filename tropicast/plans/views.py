@@ -75,6 +75,12 @@ class Views:
 
     @cached_property
     def fld(self) -> DataFrame:
+        """The field as a table, for operators that read it several times."""
+        return cut(self.fld_once)
+
+    @cached_property
+    def fld_once(self) -> DataFrame:
+        """The field as a plan, for operators that read it once."""
         nation = self.table("nation")  # 25 fixed rows
         spot = nation.select(
             F.col("n_nationkey").alias("c_nationkey"),
@@ -84,8 +90,7 @@ class Views:
         who = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         rows = self._customer_months.join(who, "o_custkey").join(spot, "c_nationkey")
         cells = rows.groupBy("m", "lat", "lon").agg(F.round(F.sum("s") / F.sum("n") + TIE, 6).alias("value"))
-        # kept as a table: operators read a field several times
-        return cut(cells.select(month_date("m").alias("time"), "m", "lat", "lon", "value"))
+        return cells.select(month_date("m").alias("time"), "m", "lat", "lon", "value")
 
     @cached_property
     def daily(self) -> DataFrame:
