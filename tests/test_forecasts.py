@@ -188,3 +188,64 @@ def test_next_generation(spark):
         assert 0 <= r.a <= 1 and 1 <= r.n <= 9 and len(set(r.e)) == 2
     clone = next(r for r in got if r.kind == "clone" and r.i == 0)
     assert abs(clone.a - 7 / 20) <= 0.02
+
+
+def test_linear_forecast_equals_least_squares(spark):
+    x, y, df = table(spark)
+    coef = learners.LinearForecast(ridge=0.0).fit(df).getOrDefault("coefficients")
+    want = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]
+    assert coef == pytest.approx(list(want), abs=1e-8)
+
+
+def test_gaussian_members_find_the_spread(spark):
+    _, _, df = table(spark, n=252)
+    members = learners.predict_members(df, learners.gaussian_ensemble(df, 5, 1.0, EDGES), EDGES)
+    mixed = ensemble.gaussian_mixture(members, ("lead", "m"))
+    row = mixed.agg(F.avg("std").alias("s"), F.count("std").alias("n"), F.min("std").alias("low")).first()
+    assert row.s == pytest.approx(0.3, rel=0.35) and row.low > 0
+
+
+def test_relevance_keeps_the_strong_predictors(spark):
+    _, _, df = table(spark)
+    rows = learners.relevance(learners.mean_ensemble(df, 5, 1.0, EDGES), 2).collect()
+    assert {(r.lag, r.variable) for r in rows} == {(0, 0), (0, 1)}
+
+
+def test_class_probabilities_sum_to_one(spark):
+    _, y, df = table(spark)
+    model = learners.interval_classifier(df, low=-2.0, step=1.0, count=5, max_iter=20)
+    probs = learners.classify(model, df)
+    sums = [r[0] for r in probs.groupBy("m").agg(F.sum("prob")).select("sum(prob)").collect()]
+    assert sums == pytest.approx([1.0] * len(y))
+    best = probs.groupBy("m", "y").agg(F.max_by("class", "prob").alias("c")).collect()
+    hit = np.mean([abs(r.c - np.clip(np.ceil(r.y + 2.0), 0, 5)) <= 1 for r in best])
+    assert hit > 0.9
+
+
+def test_field_forecast_equals_the_dense_computation(spark):
+    """A travelling wave with noise: encode, regress and decode again with dense matrices."""
+    rng = np.random.default_rng(6)
+    t, c = np.arange(120), np.arange(16)
+    x = np.sin(2 * np.pi * (t[:, None] / 24.0 - c[None, :] / 16.0)) + 0.1 * rng.normal(size=(120, 16))
+    rows = [(0.0, float(k), M + int(i), float(x[i, k])) for i in t for k in c]
+    df = spark.createDataFrame(rows, "lat double, lon double, m int, value double")
+    got = {(r.m - M, int(r.lon)): r.value for r in learners.field_forecast(df, lead=3, k=2, ridge=0.0).collect()}
+
+    d = x - np.column_stack([np.polyval(np.polyfit(t, x[:, k], 1), t) for k in c])
+    v = np.linalg.svd(d - d.mean(0), full_matrices=False)[2][:2]
+    pc = d @ v.T
+    design = np.column_stack([np.ones(120), pc])
+    coef = np.linalg.lstsq(design[:-6], pc[6:], rcond=None)[0]
+    want = (design @ coef) @ v
+    assert len(got) == want.size
+    assert [got[(i + 6, k)] for i in t for k in c] == pytest.approx(list(want.ravel()), abs=1e-6)
+    # and the forecast is worth something: the wave is predictable
+    assert np.corrcoef(want[:-6].ravel(), d[6:].ravel())[0, 1] > 0.95
+
+
+def test_scaling_can_leave_years_out(spark):
+    from tropicast.functions.stats import standardise
+
+    df = spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 100.0)], "i int, x double")
+    got = standardise(df, "x", fit_on=F.col("i") < 2).orderBy("i").collect()
+    assert [r.x for r in got] == [-1.0, 1.0, 98.0]

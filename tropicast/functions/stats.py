@@ -97,16 +97,18 @@ def correlation_p(r, n, exact_below: int = 4000) -> Column:
     return F.when((df >= 1) & r.isNotNull(), p)
 
 
-def standardise(df: DataFrame, columns, keys=(), ddof: int = 0, impute=False) -> DataFrame:
+def standardise(df: DataFrame, columns, keys=(), ddof: int = 0, impute=False, fit_on: Column | None = None) -> DataFrame:
     """Replace each column by (x - mean) / std within ``keys``.
 
     ``ddof`` 0 or 1 picks the spread; with ``impute`` a constant column divides by 1
-    and a missing value becomes the mean, that is 0.
+    and a missing value becomes the mean, that is 0. ``fit_on`` limits the rows that mean
+    and spread are taken from (the training months, say).
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     std = F.stddev_samp if ddof else F.stddev_pop
     keys = list(keys)
-    aggs = [f(c).alias(f"_{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("std", std))]
+    seen = {c: F.col(c) if fit_on is None else F.when(fit_on, F.col(c)) for c in columns}
+    aggs = [f(seen[c]).alias(f"_{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("std", std))]
     out = _with_stats(df, keys, aggs)
     for c in columns:
         spread = F.col(f"_std_{c}")

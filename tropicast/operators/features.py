@@ -15,11 +15,12 @@ from .windows import lag_embedding, labels
 
 def features(series: DataFrame, target: str, predictors: list, leads=LEADS, n_lags: int = 3, step: int = 3,
              shift: int = 3, scale: dict | None = None, cycle: bool = True, noise: int = 0,
-             keep_future: bool = False, seed: int = 0) -> DataFrame:
+             keep_future: bool = False, seed: int = 0, held_out: tuple | None = None) -> DataFrame:
     """Aligned predictors, standardised (ddof 0), lag-embedded and labelled for all leads.
 
     ``cycle`` appends the seasonal-cycle pair, ``noise`` that many normal columns;
-    ``keep_future`` keeps rows whose target month has no observation yet.
+    ``keep_future`` keeps rows whose target month has no observation yet. Scaling uses the
+    whole series; with ``held_out`` (first year, end year) it leaves those years out.
     """
     names = list(dict.fromkeys([*predictors, target]))
     wide = aligned(series, names, scale).withColumn("value", F.col(target))
@@ -34,7 +35,9 @@ def features(series: DataFrame, target: str, predictors: list, leads=LEADS, n_la
     for i in range(noise):
         wide = wide.withColumn(f"x_noise{i}", normal_noise("m", F.lit(i), seed=seed))
         columns.append(f"x_noise{i}")
-    wide = standardise(wide, columns, impute=True)
+    year = F.floor(F.col("m") / 12)
+    fit_on = None if held_out is None else ~((year >= held_out[0]) & (year < held_out[1]))
+    wide = standardise(wide, columns, impute=True, fit_on=fit_on)
     lagged = lag_embedding(wide.withColumn("series", F.lit(target)), columns, n_lags, step)
     lagged = lagged.select("series", "time", "m", "value", "x")
     out = labels(lagged, leads, shift, keep_future=keep_future)

@@ -282,11 +282,11 @@ def r11(v: Views):
 
 @query("u1", f"SELECT lead, count(*) AS n, round(avg(y), 6) + 0e0 AS y, round(avg(y_persistence), 6) + 0e0 AS p FROM ({M1_SQL}) WHERE lead IN (0, 6) GROUP BY 1")
 def u1(v: Views):
-    """A user pipeline: any callable that returns a feature table for a lead."""
-    def pipeline(lead):
+    """Any callable that returns a feature table for a lead can feed the models."""
+    def features_for(lead):
         return feature_table(v, leads=(lead,))
 
-    table = pipeline(0).unionByName(pipeline(6))
+    table = features_for(0).unionByName(features_for(6))
     return table.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), r(F.avg("y")).alias("y"), r(F.avg("y_persistence")).alias("p"))
 
 
