@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -19,7 +20,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = build_session(f"local[{cpus}]", "bench", spark_sql_shuffle_partitions=cpus, spark_ui_enabled="false",
-                          spark_driver_memory="16g")
+                          spark_driver_memory="16g",
+                          spark_checkpoint_dir=os.path.join(tempfile.mkdtemp(prefix="bench-"), "shared"))
     spark.sparkContext.setLogLevel("ERROR")
     queries = load_all()[0]
     # start the JVM's code paths and the Python workers outside the measurement

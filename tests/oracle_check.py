@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -62,7 +63,8 @@ def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pattern = re.compile(sys.argv[2] if len(sys.argv) > 2 else ".*")
     spark = build_session("local[8]", spark_sql_shuffle_partitions="8", spark_ui_enabled="false",
-                          spark_driver_memory="12g")
+                          spark_driver_memory="12g",
+                          spark_checkpoint_dir=os.path.join(tempfile.mkdtemp(prefix="oracle-"), "shared"))
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = duck(sf_dir), oracle_sql(), []
     for key, fn in queries().items():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +27,12 @@ def build_session(master: str | None = None, app: str = "tropicast", **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting falls back to a temporary folder.
+    Where that is unset, a folder inside the warehouse, which all executors share too.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="tropicast-")
-        context.setCheckpointDir(configured)
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tropicast-scratch"
+        spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
@@ -55,3 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` returned, once nothing will read it again."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if folder.getName().startswith("cut-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
