@@ -251,3 +251,11 @@ def op6_mixing(docs: DataFrame) -> DataFrame:
     out = out.join(copies, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     taken = F.coalesce(F.col("copies"), F.lit(0)) * F.col("size")
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "first_shard")
+
+
+def repeat_drawn(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, source, text and others), each as often as the mix draws its document."""
+    draws, _, _ = mix(sized(docs))
+    copies = cut(draws.groupBy(F.col("source").alias("_s"), F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).cast("int").alias("_n")))
+    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    return docs.join(copies, same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
