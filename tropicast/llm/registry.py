@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, secrets, simhash
+from . import language, mixing, packing, quality, scoring, secrets, simhash
 from .common import table
 
 
@@ -16,11 +16,13 @@ def _over(name: str, operator: Callable[..., DataFrame], *more: str) -> Callable
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_scoring": _over("documents", scoring.op1_scoring),
         "op3_packing": _over("documents", packing.op3_packing),
         "op4_simhash": _over("documents", simhash.op4_simhash),
         "op6_mixing": _over("documents", mixing.op6_mixing),
         "op7_quality": _over("documents", quality.op7_quality, "labels"),
         "op9_secrets": _over("documents", secrets.op9_secrets),
+        "op10_language": _over("documents", language.op10_language),
     }
 
 
