@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, scoring, secrets, simhash
+from . import html_text, language, mixing, packing, quality, scoring, secrets, simhash, syncmers
 from .common import table
 
 
@@ -19,8 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_scoring": _over("documents", scoring.op1_scoring),
         "op3_packing": _over("documents", packing.op3_packing),
         "op4_simhash": _over("documents", simhash.op4_simhash),
+        "op5_fingerprints": _over("documents", syncmers.op5_fingerprints),
         "op6_mixing": _over("documents", mixing.op6_mixing),
         "op7_quality": _over("documents", quality.op7_quality, "labels"),
+        "op8_html": _over("pages", html_text.op8_html),
         "op9_secrets": _over("documents", secrets.op9_secrets),
         "op10_language": _over("documents", language.op10_language),
     }
