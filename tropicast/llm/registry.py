@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language, mixing, packing, quality, scoring, secrets, simhash, syncmers
+from . import graph_search, html_text, language, mixing, packing, quality, scoring, secrets, simhash, syncmers
 from .common import table
 
 
@@ -17,6 +17,7 @@ def _over(name: str, operator: Callable[..., DataFrame], *more: str) -> Callable
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_scoring": _over("documents", scoring.op1_scoring),
+        "op2_ann": _over("embeddings", graph_search.op2_ann),
         "op3_packing": _over("documents", packing.op3_packing),
         "op4_simhash": _over("documents", simhash.op4_simhash),
         "op5_fingerprints": _over("documents", syncmers.op5_fingerprints),
