@@ -13,7 +13,7 @@ a share for words never seen (as many as were seen once), and their sum over the
 the probability of an unknown word. So the probabilities of all known words and the unknown one
 add up to 1 in every context.
 
-Counts of the ``SHORTLIST`` most frequent words travel with the tasks; the rest of a document's
+Counts of the ``SHORTLIST`` (at most) most frequent words travel with the tasks; the rest of a document's
 words, each once with its sums, meet the vocabulary in a join.
 
 Defined results: a NULL text is empty and has only its end; a NULL doc_id is not in the training split and counts
@@ -46,7 +46,8 @@ BATCH = 4096
 SAMPLE_DOCS = 2_000
 SMOOTH = 0.1
 END = b""
-FLUSH = 400_000
+FLUSH = 200_000
+SLICE = 500
 PARTS = ("vectors", "first", "second", "output", "bias")
 
 
@@ -55,6 +56,13 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of few texts, as their words take much more memory than they do."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at:at + SLICE]
+
+
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c) over all texts, their ends included; a task adds up what it has read first."""
 
@@ -87,8 +95,17 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         row = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n, self.v = int(row["n"] or 0), int(row["v"])
-        # at most SHORTLIST rows
-        top = counts.orderBy(F.desc("c"), "token").limit(SHORTLIST).collect()
+        # the lowest level of counts above which at most SHORTLIST tokens lie; there are at most a few thousand levels
+        level = F.floor(F.log2("c") * 64)
+        levels = sorted(((r["l"], r["n"]) for r in counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        held, lowest = 0, None
+        for l, n in levels:
+            held += n
+            if held > SHORTLIST:
+                break
+            lowest = l
+        top = [] if lowest is None else counts.where(level >= lowest).collect()
+        top.sort(key=lambda r: (-r["c"], bytes(r["token"])))
         self.words = {bytes(r["token"]): i for i, r in enumerate(top)}
         self.counts = np.array([r["c"] for r in top], float)
         own = [bytes(r["token"]) for r in top if bytes(r["token"]) != END][:WORDS]
@@ -168,7 +185,7 @@ def train_task(vocabulary: Vocabulary, start: dict, rate: float, epochs: int):
         p = {k: v.copy() for k, v in start.items()}
         squares = {k: np.zeros_like(v) for k, v in p.items()}
         rng, log_noise, seen = np.random.default_rng(11), np.log(vocabulary.noise).astype(np.float32), 0
-        for batch in batches:
+        for batch in _slices(batches):
             classes = []
             for text in batch["text"]:
                 words = tokens(text)
@@ -240,7 +257,7 @@ def score_task(vocabulary: Vocabulary, scorer: Scorer):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log_counts = np.log10(vocabulary.counts + SMOOTH)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, inside, text in zip(batch["doc_id"], batch["in_training"], batch["text"], strict=True):
                 words = tokens(text) + [END]
