@@ -1,0 +1,348 @@
+"""The training-data operators against brute force, on small tables with every odd case."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tropicast.llm import graph_search, html_text, language, mixing, packing, quality, scoring, secrets, simhash, syncmers
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, piece string, shard string"
+WORDS = "the of and to in is that for it on was with as by at from this be are or an have not".split()
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[i] + str(int(j)) * int(j % 3 == 0) for i, j in zip(rng.integers(0, len(WORDS), n), rng.integers(0, 40, n), strict=True))
+
+
+def table(spark, texts, first=0):
+    rows = [(None if i is None else int(i), t, ("en", "de")[k % 2], None if k % 7 == 6 else f"s{k % 3}", len(t or ""), "x", "y", "z")
+            for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows, copies and clashing columns."""
+    long = prose(1, 9000)
+    texts = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one two"), (6, long), (7, long + " more"), (8, prose(2, 60)),
+             (9, prose(2, 60)), (10, prose(2, 60) + " tail"), (None, prose(3, 50)), (11, "Ünï çödé 日本"), (12, prose(4, 1500))]
+    texts += [(20 + i, prose(2, 60)) for i in range(10)] + [(12, prose(4, 1500)), (40, "a\x1cb  c\n\n d "), (41, "<|endoftext|> x")]
+    return table(spark, texts)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def slow_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(points):
+    """Smallest id reachable over fingerprints within two bits."""
+    parent = list(range(len(points)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(points)):
+        for j in range(i):
+            if (points[i][1] ^ points[j][1]).bit_count() <= 2:
+                parent[find(i)] = find(j)
+    best = {}
+    for i, (doc, _) in enumerate(points):
+        if doc is not None:
+            best[find(i)] = min(doc, best.get(find(i), doc))
+    return [best.get(find(i)) for i in range(len(points))]
+
+
+def test_simhash(odd):
+    got = sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows_of(simhash.op4_simhash(odd))), key=str)
+    texts = [(r["doc_id"], slow_fingerprint(r["text"])) for r in rows_of(odd)]
+    want = sorted(((d, f"{f:016x}", c) for (d, f), c in zip(texts, slow_components(texts), strict=True)), key=str)
+    assert got == want
+
+
+def test_simhash_crowded_cells(spark, monkeypatch):
+    """Cells beyond the limit keep every component."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 3)
+    rng = np.random.default_rng(0)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 6)]
+    fps = sorted({b ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 62, (25, 2))} | set(base))
+    frame = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame)).collect()}
+    want = slow_components([(f, f) for f in fps])
+    assert [roots.get(f, f) for f in fps] == want
+
+
+def test_keep_first(odd):
+    kept = rows_of(simhash.keep_first(odd))
+    texts = [(r["doc_id"], slow_fingerprint(r["text"])) for r in rows_of(odd)]
+    assert sorted((r["doc_id"] for r in kept), key=str) == sorted(set(slow_components(texts)), key=str)
+    assert simhash.keep_first(odd).columns == odd.columns
+
+
+def slow_spans(text):
+    rules = [("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, lambda m: len(m[2]) >= 6),
+             ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24)]
+    found = []
+    for k, (name, pattern, flags, good) in enumerate(rules):
+        found += [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, flags) if good(m)]
+    return [s for _, _, s in sorted(found)]
+
+
+def test_secrets(spark, odd):
+    hexes = "0123456789abcdef" * 2
+    texts = [(1, f"日 Password: 'hunter2222' AKIA{'A' * 16} {hexes}"), (2, f"token: token:abcdefgh secret={hexes}"), (3, "api_key=abc apikey = abcdefg"),
+             (4, "passwd==abcdefg AKIAAKIA" + "B" * 14 + " ghp_" + "a" * 36), (5, hexes[:23]), (6, "x" * 70000 + " token=" + "q" * 50)]
+    docs = table(spark, [(i + 100, t) for i, t in texts]).unionByName(odd)
+    for r, got in zip(*(sorted(x, key=lambda r: str(r["doc_id"])) for x in (rows_of(docs), rows_of(secrets.op9_secrets(docs)))), strict=True):
+        want = slow_spans(r["text"] or "")
+        assert got["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in got["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex")] == want
+    clean = rows_of(secrets.redact(table(spark, texts)))
+    assert "hunter" not in clean[0]["text"] and clean[0]["text"].startswith("日 ") and any(r["text"] == hexes[:23] for r in clean)
+
+
+def test_ledger_scans_only_the_unseen(spark):
+    ledger = secrets.BlobLedger(spark)
+    one = table(spark, [(1, "token=abcdefgh"), (2, "token=abcdefgh")])
+    assert [len(r["spans"]) for r in rows_of(ledger.scan(one, "doc_id"))] == [1, 1]
+    assert ledger.read("2").count() == 1
+    more = one.unionByName(table(spark, [(3, "nothing")]))
+    assert sorted(len(r["spans"]) for r in rows_of(ledger.scan(more, "doc_id"))) == [0, 1, 1]
+    assert ledger.read("2").count() == 2
+
+
+def test_mixing(odd):
+    rows = rows_of(mixing.op6_mixing(odd))
+    assert len(rows) == odd.count()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    source = collections.Counter()
+    for r in rows_of(odd):
+        source[r["source"]] += size(r["text"])
+    names = sorted(x for x in source if x is not None) + [None] * (None in source)
+    total, capped = sum(source.values()), set()
+    while True:
+        free = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names) if n not in capped}
+        share = (total - sum(3 * source[n] for n in capped)) / sum(free.values())
+        above = {n for n, w in free.items() if w * share > 3 * source[n]}
+        if not above:
+            break
+        capped |= above
+    want = {n: 3.0 * source[n] if n in capped else free[n] * share for n in names}
+    taken = collections.Counter()
+    for r in rows:
+        assert r["source_size"] == source[r["source"]] and math.isclose(r["target"], want[r["source"]])
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert sorted((r["doc_id"] or -1, r["taken"]) for r in rows) == sorted((r["doc_id"] or -1, r["taken"]) for r in rows_of(mixing.op6_mixing(odd)))
+    small = max(r["size"] for r in rows)
+    assert all(abs(taken[n] - want[n]) <= small for n in names)
+
+
+def test_hypergeometric_draws(spark):
+    """Splits are exact and have the right mean."""
+    quotas = spark.createDataFrame([("a", 40), ("b", 25), ("c", 3)], "source string, quota bigint")
+    parts = collections.Counter()
+    halves = []
+    for seed in range(30):
+        leaves = rows_of(mixing.split_quotas(quotas, 1, seed))
+        for r in leaves:
+            parts[r["source"]] += r["quota"]
+        assert sum(r["quota"] for r in leaves if r["shard"] == 0) == 34
+        halves += [r["quota"] for r in leaves if r["shard"] == 0 and r["source"] == "a"]
+    assert parts == {"a": 1200, "b": 750, "c": 90} and abs(np.mean(halves) - 20) < 1.5
+
+
+def test_packing(odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = rows_of(packing.op3_packing(odd))
+    want = []
+    for r in rows_of(odd):
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        begins = [0, *range((len(ids) - 1) % 1024 + 1, len(ids), 1024)]
+        for p, (a, b) in enumerate(zip(begins, [*begins[1:], len(ids)], strict=True)):
+            want.append((r["doc_id"], p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    key = lambda x: str(x)
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=key) == sorted(want, key=key)
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= -(-sum(r["length"] for r in rows) // 1024) + 1
+
+
+def test_packing_plan_holds_every_piece():
+    rng = np.random.default_rng(1)
+    for scale in (1, 50):
+        histogram = np.zeros(1025, np.int64)
+        for n in rng.integers(1, 1025, 400):
+            histogram[n] += scale
+        fillings = packing.plan(histogram)
+        assert (sum(f * n for f, n in fillings) == histogram).all()
+        assert all(f @ np.arange(1025) <= 1024 for f, _ in fillings)
+        bound = -(-int(histogram @ np.arange(1025)) // 1024)
+        assert sum(n for _, n in fillings) <= 1.03 * bound + 1
+
+
+def test_syncmers(odd):
+    rows = sorted(rows_of(odd), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -(1 << 62)),))
+    got = collections.defaultdict(list)
+    for r in rows_of(syncmers.op5_fingerprints(odd)):
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    texts = [(r["doc_id"], r["text"] or "") for r in rows]
+    unique = list(dict.fromkeys(texts))
+    for (doc, text), (_, after) in zip(unique, unique[1:] + unique[:1], strict=True):
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        for r in got[doc]:
+            assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert (r["fingerprint"] == r["edited_fingerprint"]) <= (r["near_edited"] == 1.0)
+    by_text = collections.defaultdict(set)
+    for doc, text in unique:
+        by_text[text] |= {r["fingerprint"] for r in got[doc]}
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_anchors_are_context_free(spark):
+    passage = prose(9, 40)
+    frame = spark.createDataFrame([(passage,), ("before words here " + passage + " and after",)], "t string")
+    one, other = (r["a"] for r in frame.select(syncmers.anchors(F.col("t")).alias("a")).collect())
+    moved = {(a["position"] + 3, a["hash"]) for a in one}
+    assert moved <= {(a["position"], a["hash"]) for a in other}
+
+
+def test_graph_search(spark):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(700, 12)).astype(np.float32)
+    v[100:400] = v[7]
+    rows = [(i, [float(x) for x in v[i]]) for i in range(700)]
+    rows += [(700, None), (750, [0.0] * 12), (800, [float("nan")] * 12), (850, [1.0, None]), (None, rows[0][1]), (900, []), (50, rows[50][1])]
+    frame = spark.createDataFrame([(i, e, 1, "x") for i, e in rows], "vec_id bigint, embedding array<float>, label int, rank string")
+    got = collections.defaultdict(list)
+    for r in rows_of(graph_search.op2_ann(frame)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    w = v.astype(float)
+    hit = 0
+    for q in range(0, 700, 50):
+        cosine = (w @ w[q]) / (np.linalg.norm(w, axis=1) * np.linalg.norm(w[q]))
+        best = [i for i in sorted(range(700), key=lambda i: (-round(cosine[i], 12), i)) if i != q][:5]
+        mine = [i for _, i, _ in sorted(got[q])]
+        assert len(mine) == 5, (q, got[q], best)
+        assert q not in mine and all(math.isclose(s, cosine[i], abs_tol=1e-12) for _, i, s in got[q])
+        hit += len(set(best) & set(mine))
+    assert sorted(got) == list(range(0, 700, 50)) and hit >= 0.9 * 5 * 14
+
+
+def test_scoring_is_normalised_and_counts(spark, odd):
+    rows = rows_of(odd)
+    inside = [r for r in rows if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10]
+    counts = collections.Counter()
+    for r in inside:
+        counts.update(scoring.tokens(r["text"]) + [scoring.END])
+    n, z = sum(counts.values()), sum(counts.values()) + 0.1 * (len(counts) + 1)
+    for r, got in zip(*(sorted(x, key=lambda r: (str(r["doc_id"]))) for x in (rows, rows_of(scoring.op1_scoring(odd)))), strict=True):
+        words = scoring.tokens(r["text"]) + [scoring.END]
+        assert got["n_tokens"] == len(words) and got["n_known"] == sum(counts[w] > 0 for w in words) and got["train_tokens"] == n
+        assert math.isclose(got["base_score"], sum(math.log10((counts[w] + 0.1) / z) for w in words), rel_tol=1e-9)
+    table_, vocabulary, scorer = scoring.train(odd.where("doc_id IS NOT NULL").select("doc_id", "text"))
+    words = [bytes(r["token"]) for r in table_.collect()]
+    ids = vocabulary.ids(words)
+    classes = vocabulary.classes_of(words, ids)
+    for before, last in ((0, 0), (0, 5), (5, 1), (200, 250)):
+        logs = scorer.classes(np.full(len(words), before), np.full(len(words), last), classes) + scorer.share[classes]
+        logs = logs + np.log10(vocabulary.counts[ids] + scoring.SMOOTH)
+        assert math.isclose((10 ** logs).sum() + 10 ** float(scorer.unknown[before, last]), 1.0, rel_tol=1e-3)
+
+
+def test_quality_learns_without_negatives(spark):
+    rng = np.random.default_rng(0)
+    texts, labels = [], []
+    for i in range(900):
+        good = i % 4 != 0
+        text = prose(i, 80) if good else " ".join(f"{w.upper()}!!$$" for w in prose(i, 80).split())
+        texts.append((i, text))
+        if rng.random() < 0.5:
+            labels.append((i, int(good), 0))
+    texts += [(1000, None), (None, ""), (1001, prose(5, 20000))]
+    docs = table(spark, texts)
+    found = rows_of(quality.op7_quality(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")))
+    assert len(found) == len(texts) and all(0 <= r["score"] <= 1 for r in found)
+    held = [r for r in found if r["held_out"] and r["doc_id"] < 900]
+    assert np.mean([(r["predicted"] == 1) == (r["doc_id"] % 4 != 0) for r in held]) > 0.95
+    assert all(r["score"] == 1.0 for r in rows_of(quality.op7_quality(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))))
+
+
+def slow_phrases(text, reference):
+    """Longest pieces of ``text`` that occur in ``reference``; a symbol that never does is a piece."""
+    count, at = 0, 0
+    while at < len(text):
+        size = 0
+        while at + size < len(text) and text[at:at + size + 1] in reference:
+            size += 1
+        count, at = count + 1, at + max(1, size)
+    return count
+
+
+def test_cross_parsing_matches_substring_search():
+    rng = np.random.default_rng(3)
+    reference = rng.integers(1, 5, 300).astype(np.uint8)
+    go = language.suffix_automaton(reference)
+    rows = [rng.integers(1, 7, n).astype(np.uint8) for n in (60, 40, 1)]
+    matrix = np.zeros((3, 60), np.uint8)
+    for i, r in enumerate(rows):
+        matrix[i, :len(r)] = r
+    got = language.phrases(matrix, np.array([60, 40, 1]), go)
+    assert got.tolist() == [slow_phrases(bytes(r), bytes(reference)) for r in rows]
+
+
+def test_language(spark):
+    kinds = {"en": "the quick brown fox jumps over lazy dogs while".split(), "de": "der schnelle braune fuchs springt über faule hunde".split()}
+    rng, rows = np.random.default_rng(0), []
+    for i in range(200):
+        lang = "en" if i % 2 else "de"
+        rows.append((i, " ".join(rng.choice(kinds[lang], 30)), lang, "s", 1, "x", "y", "z"))
+    rows += [(300, None, "en", None, 0, "", "", ""), (301, "12 34 !!", None, None, 0, "", "", ""), (302, "", "de", "s", 0, "", "", "")]
+    found = {r["doc_id"]: r for r in rows_of(language.op10_language(spark.createDataFrame(rows, SCHEMA)))}
+    assert all(found[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(200))
+    assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 for i in (300, 301, 302))
+
+
+def test_html(spark):
+    page = ("<title>t</title><script>var a='<p>';</script><table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple pie<td>3</table>"
+            "<ul><li>a<li>b<ol><li>x</ol></ul><p>one<p>two <b>bold</b><br>next<div hidden>no</div><pre>a\n  b</pre>"
+            "<span style='display: none'>z</span>end &amp; <!-- c --> tail <a")
+    want = "C\nName       Qty\napple pie  3\n\n- a\n- b\n  1. x\n\none\n\ntwo bold\nnext\n\na\n  b\n\nend & tail"
+    rows = [(1, "u", page), (2, None, None), (3, "v", ""), (4, "w", "<p>" * 3000 + "deep"), (4, "w", "<p>" * 3000 + "deep")]
+    found = rows_of(html_text.op8_html(spark.createDataFrame([(*r, "own") for r in rows], "page_id bigint, url string, html string, text string")))
+    assert [r["text"] for r in sorted(found, key=lambda r: r["page_id"])] == [want, None, "", "deep", "deep"]
+
+
+@pytest.mark.parametrize("run", [scoring.op1_scoring, packing.op3_packing, simhash.op4_simhash, syncmers.op5_fingerprints, mixing.op6_mixing,
+                                 secrets.op9_secrets, language.op10_language])
+def test_empty_table(spark, run):
+    assert run(spark.createDataFrame([], SCHEMA)).count() == 0

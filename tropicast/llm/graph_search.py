@@ -136,6 +136,7 @@ def _add_reverse(vectors: np.ndarray, edges: np.ndarray, points: np.ndarray, rel
         extra = np.full((len(k), min(width, int(c.max()))), -1, np.int64)
         inside = np.arange(extra.shape[1])[None] < c[:, None]
         extra[inside] = source[(b[:, None] + np.arange(extra.shape[1])[None])[inside]]
+        extra[(extra[:, :, None] == edges[k][:, None, :]).any(2)] = -1
         every = np.concatenate([edges[k], extra], axis=1)
         room = (every >= 0).sum(1) <= degree
         packed = np.take_along_axis(every, np.argsort(every < 0, axis=1, kind="stable"), 1)

@@ -118,7 +118,8 @@ def phrases(blocks: np.ndarray, sizes: np.ndarray, go: np.ndarray) -> np.ndarray
         state[:n] = np.where(broken, root[c], to)
         # a symbol the reference lacks is a piece of its own
         out[:n] += broken & (state[:n] == 0)
-    return out
+    # behind such a symbol at the end no piece follows
+    return out - ((sizes > 0) & (state == 0))
 
 
 class Identifier:

@@ -35,7 +35,7 @@ from ..session import cut
 CAPACITY = 1024
 END = 2
 CACHE = 800_000
-SALT_ROWS = 50_000
+SALT_ROWS = 2_000
 ROUNDS = 60
 
 # White space other than single spaces and line feeds between words.

@@ -292,7 +292,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Scorer]:
     documents = docs.count()
     turn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     sample = docs.where(turn < SAMPLE_DOCS / max(1, documents)).coalesce(1)
-    p = train_round(sample, vocabulary, initial(vocabulary), 0.1, epochs=3)
+    p = train_round(sample, vocabulary, initial(vocabulary), 0.1, epochs=10)
     return counts, vocabulary, Scorer(train_round(docs, vocabulary, p, 0.03), vocabulary)
 
 
