@@ -115,17 +115,20 @@ def op5_fingerprints(docs: DataFrame) -> DataFrame:
     order = cut(neighbours(listed.select("id", "content", "n")))
     # the texts meet their places in the order; sketches are made where they are, once
     placed = rows.withColumn("sketch", sketch(F.col("text"))).join(order, ["id", "content"])
-    parts = placed.select("to_id", "to_content", F.left("text", F.col("wanted")).alias("part"), F.col("sketch").alias("next_sketch"))
+    # both uses take the same columns of the texts, so that these are dealt out once
+    parts = placed.select("to_id", "to_content", F.left("text", F.col("wanted")).alias("part"), F.col("sketch").alias("next_sketch"),
+                          F.col("doc_id").alias("next_doc_id"))
     if repeated:  # equal rows hand over one part
-        parts = parts.groupBy("to_id", "to_content").agg(F.first("part").alias("part"), F.first("next_sketch").alias("next_sketch"))
+        parts = parts.groupBy("to_id", "to_content").agg(F.first("part").alias("part"), F.first("next_sketch").alias("next_sketch"),
+                                                       F.first("next_doc_id").alias("next_doc_id"))
     n = F.length("text")
     heads = placed.select("id", "content", "doc_id", n.alias("n_chars"), "sketch",
                           F.left("text", n - F.floor(n / 2).cast("int")).alias("head"))
     met = heads.join(parts, (F.col("id") == F.col("to_id")) & (F.col("content") == F.col("to_content")))
     edited = met.withColumn("edited", F.concat("head", "part"))
-    done = edited.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    done = edited.select("doc_id", "next_doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                          "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
     return done.select("doc_id", "n_chars", "edited_sha256", printed(F.col("sketch")).alias("fingerprint"),
                        printed(F.col("edited_sketch")).alias("edited_fingerprint"),
                        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-                       likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+                       likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"), "next_doc_id")
