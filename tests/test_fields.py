@@ -96,6 +96,28 @@ def test_store_prunes_and_pushes_down(spark, tmp_path):
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(lat" in plan and "PartitionFilters: [" in plan
 
 
+def test_store_reads_in_any_order_and_only_inside_the_data(spark, tmp_path):
+    df = field(spark, [(M2000 + t, la, 120.0, float(t)) for t in range(6) for la in (-10.0, 0.0)])
+    Store(spark, str(tmp_path / "s")).write_field(df, "sst", "A")
+    there = {"start": "2000-02", "end": "2000-03"}
+    assert Store(spark, str(tmp_path / "s"), lat=(5, -5), lon=(130, 110), **there).read_field("sst", "A").count() == 2
+    late = Store(spark, str(tmp_path / "s"), start="2000-02", end="2100-01")
+    with pytest.raises(ValueError):
+        late.read_field("sst", "A")
+    assert late.read_field("sst", "A", check=False).count() == 10
+
+
+def test_forecasts_keep_the_outputs_of_their_model(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    day = "date'2000-01-01' AS target_season, 3 AS lead"
+    for model, outputs in (("dem", "1e0 AS mean, 2e0 AS std"), ("qnn", "3e0 AS quantile5, 4e0 AS quantile95"), ("UBC/NN", "5e0 AS mean")):
+        store.write_forecast(spark.sql(f"SELECT {day}, {outputs}"), model)
+    assert store.read_forecasts("dem", 3).first().asDict() | {"target_season": 0} == {
+        "target_season": 0, "lead": 3, "mean": 1.0, "std": 2.0, "model": "dem"}
+    assert store.read_forecasts("qnn", 3).first()["quantile95"] == 4.0
+    assert store.read_forecasts("UBC/NN", 3).first()["mean"] == 5.0
+
+
 def test_store_bounds(spark, tmp_path):
     df = field(spark, [(M2000, 0.0, 0.0, 1.0), (M2000 + 5, 0.0, 0.0, 1.0)])
     Store(spark, str(tmp_path), start="2000-01", end="2000-06").check_bounds(df)

@@ -206,3 +206,24 @@ def test_two_predictor_map(spark):
 def test_season_carry(spark):
     row = spark.createDataFrame([("NDJ", 1950)], "s string, y int").select(season_date("s", "y").alias("t")).first()
     assert str(row.t) == "1951-01-01"
+
+
+@pytest.mark.parametrize("n", [4001, 4002, 10 ** 6, 3 * 10 ** 9])
+def test_correlation_p_of_many_pairs(spark, n):
+    """One method for every number of pairs: Cornish-Fisher against the normal to the third order."""
+    import math
+
+    for t in (0.5, 2.04, 4.0):
+        v = n - 2
+        z = t * (1 - (t * t + 1) / (4 * v) + (13 * t ** 4 + 8 * t * t + 3) / (96 * v * v)
+                 - (35 * t ** 6 + 19 * t ** 4 + t * t - 15) / (384 * v ** 3))
+        want = math.erfc(z / math.sqrt(2))
+        r = t / math.sqrt(v + t * t)
+        got = spark.range(1).select(stats.correlation_p(F.lit(r), F.lit(n)).alias("p")).first().p
+        assert math.isclose(got, want, rel_tol=1e-8)
+
+
+def test_correlation_p_at_the_edges(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1e0, 5), (-1e0, 3), (0e0, 10), (0.5e0, 2), (NULL, 9), (0.5e0, 3) AS t(r, n)")
+    got = [x.p for x in rows.select(stats.correlation_p("r", "n").alias("p")).collect()]
+    assert got[:2] == [0.0, 0.0] and abs(got[2] - 1) < 1e-12 and got[3] is None and got[4] is None and abs(got[5] - 2 / 3) < 1e-9

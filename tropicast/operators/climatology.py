@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_month
 from ..functions.stats import ratio
+from ..session import cut
 
 CELL = ("lat", "lon")
 REFERENCE = ("1981-01-01", "2010-12-31")
@@ -61,7 +62,11 @@ def climatology(df: DataFrame, period: str = "month", reference=REFERENCE, cell=
 
 
 def with_climatology(df: DataFrame, clim: DataFrame, period: str = "month", cell=CELL, time: str = "time") -> DataFrame:
-    """Field joined with its climatology on cell and period key."""
+    """Field joined with its climatology on cell and period key.
+
+    The climatology is written first, so that the join knows its size and not the field's.
+    """
+    clim = cut(clim)
     return df.withColumn("period_key", period_key(period, time)).join(clim, [*cell, "period_key"])
 
 

@@ -11,7 +11,6 @@ Layout below one root::
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,11 +71,18 @@ class Store:
 
     def exists(self, table: str, **partition: str) -> bool:
         """Whether a partition has been written."""
-        parts = [f"{k}={v}" for k, v in partition.items()]
-        try:
-            return not self.spark.read.parquet(self.path(table, *parts)).isEmpty()
-        except AnalysisException:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self._partition(table, **partition))
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
             return False
+        return not self.spark.read.parquet(place.toString()).isEmpty()
+
+    def _partition(self, table: str, **partition: str) -> str:
+        """Folder of one partition; Spark escapes some characters of its values."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return self.path(table, *[f"{k}={escape(v)}" for k, v in partition.items()])
+
+    def _checked(self, rows: DataFrame, check: bool, column: str = "time") -> DataFrame:
+        return self.time_slice(self.check_bounds(rows, column) if check else rows, column)
 
     def _write(self, df: DataFrame, table: str, keys) -> None:
         (
@@ -98,15 +104,16 @@ class Store:
         rows = self.spark.read.schema(schema).option("header", True).csv(self.path("csv", name))
         return self.time_slice(rows)
 
-    def read_series(self, *names: str) -> DataFrame:
+    def read_series(self, *names: str, check: bool = True) -> DataFrame:
+        """Series inside the requested range; raises where that leaves the data, unless ``check`` is off."""
         rows = self.spark.read.schema(SERIES_SCHEMA).parquet(self.path("series"))
-        return self.time_slice(rows.where(F.col("series").isin(*names)))
+        return self._checked(rows.where(F.col("series").isin(*names)), check)
 
     def write_statistic(self, df: DataFrame, name: str) -> None:
         df.write.mode("overwrite").parquet(self.path("statistic", f"name={name}"))
 
-    def read_statistic(self, name: str) -> DataFrame:
-        return self.time_slice(self.spark.read.parquet(self.path("statistic", f"name={name}")))
+    def read_statistic(self, name: str, check: bool = True) -> DataFrame:
+        return self._checked(self.spark.read.parquet(self.path("statistic", f"name={name}")), check)
 
     # fields ---------------------------------------------------------------------------
 
@@ -117,17 +124,17 @@ class Store:
             return False
         tagged = df.select("time", "m", "lat", "lon", "value", *[F.lit(v).alias(k) for k, v in keys.items()])
         # files sorted by time and place keep the row-group statistics selective
-        ordered = tagged.repartitionByRange("time").sortWithinPartitions("time", "lat", "lon")
+        ordered = tagged.repartitionByRange("time", "lat", "lon").sortWithinPartitions("time", "lat", "lon")
         self._write(ordered, "field", FIELD_KEYS)
         return True
 
-    def read_field(self, variable: str, dataset: str, processed: str = "base") -> DataFrame:
-        """Partition-pruned field inside the time, latitude and longitude box."""
+    def read_field(self, variable: str, dataset: str, processed: str = "base", check: bool = True) -> DataFrame:
+        """Partition-pruned field inside the time, latitude and longitude box (bounds in any order)."""
         rows = self.spark.read.schema(FIELD_SCHEMA).parquet(self.path("field"))
         for k, v in zip(FIELD_KEYS, (variable, dataset, processed)):
             rows = rows.where(F.col(k) == v)
-        rows = rows.where(F.col("lat").between(*map(float, self.lat)) & F.col("lon").between(*map(float, self.lon)))
-        return self.time_slice(rows)
+        lat, lon = sorted(map(float, self.lat)), sorted(map(float, self.lon))
+        return self._checked(rows.where(F.col("lat").between(*lat) & F.col("lon").between(*lon)), check)
 
     # climatology ----------------------------------------------------------------------
 
@@ -147,19 +154,21 @@ class Store:
     def write_forecast(self, df: DataFrame, model: str) -> None:
         self._write(df.drop("model").withColumn("model", F.lit(model)), "forecast", ["model"])
 
-    def read_forecasts(self, model: str, lead: int) -> DataFrame:
-        """Target-season slice of one model at exactly one lead."""
-        rows = self.spark.read.parquet(self.path("forecast")).where((F.col("model") == model) & (F.col("lead") == lead))
-        return self.time_slice(rows, "target_season")
+    def read_forecasts(self, model: str, lead: int, check: bool = True) -> DataFrame:
+        """Target-season slice of one model at exactly one lead, with all outputs of that model."""
+        rows = self._of_model("forecast", model).where(F.col("lead") == lead)
+        return self._checked(rows, check, "target_season")
+
+    def _of_model(self, table: str, model: str) -> DataFrame:
+        """A model's own partition: its columns need not be those of the other models."""
+        return self.spark.read.option("basePath", self.path(table)).parquet(self._partition(table, model=model))
 
     def write_other_forecasts(self, df: DataFrame) -> None:
         self._write(df, "other_forecast", ["model"])
 
-    def read_other_forecasts(self, model: str, lead: int) -> DataFrame:
-        rows = self.spark.read.parquet(self.path("other_forecast")).where(
-            (F.col("model") == model) & (F.col("lead") == lead)
-        )
-        return self.time_slice(rows, "target_season")
+    def read_other_forecasts(self, model: str, lead: int, check: bool = True) -> DataFrame:
+        rows = self._of_model("other_forecast", model).where(F.col("lead") == lead)
+        return self._checked(rows, check, "target_season")
 
 
 def _first_day(text: str) -> str:
