@@ -85,6 +85,39 @@ def test_patterns_equal_a_dense_decomposition(spark):
     assert {int(r.lon): r.loading for r in eof.pattern_map(fitted, gap).collect()}[2] is None
 
 
+def _dense_field(spark, n, c, seed):
+    """``cell, m, value`` of a few growing sines plus hashed noise, and the same as an array."""
+    df = spark.range(n * c).select(F.lit(0.0).alias("lat"), (F.col("id") % c).cast("double").alias("lon"), (F.col("id") / c).cast("int").alias("m"))
+    wave = sum((9 - 2 * j) * F.sin(F.col("m") * (0.11 + 0.07 * j)) * F.cos(F.col("lon") * (0.3 + 0.2 * j)) for j in range(4))
+    noise = F.hash("lon", "m", F.lit(seed)) / 2.0 ** 31
+    df = df.withColumn("value", wave + noise)
+    x = np.zeros((n, c))
+    for row in df.collect():
+        x[row.m, int(row.lon)] = row.value
+    return df, x - x.mean(0)
+
+
+@pytest.mark.parametrize(("n", "c"), [(20_000, 6), (90, 150)])
+def test_patterns_of_many_times_and_of_many_cells(spark, n, c):
+    df, x = _dense_field(spark, n, c, 3)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    fitted = eof.fit(df, 3)
+    got = {(r["mode"], int(r.lon)): r.loading for r in fitted.patterns.collect()}
+    for k in range(3):
+        v = vt[k] * np.sign(vt[k][np.abs(vt[k]).argmax()])
+        assert [got[(k + 1, j)] for j in range(c)] == pytest.approx(list(v), abs=1e-6)
+    assert fitted.explained == pytest.approx(list((s ** 2 / (s ** 2).sum())[:3]))
+
+
+def test_patterns_beyond_the_rank_and_of_nothing(spark):
+    df = field(spark, [(M2000 + t, 0.0, float(c), float(t * c)) for t in range(4) for c in range(2)])
+    fitted = eof.fit(df, 3)
+    assert fitted.explained == pytest.approx([1.0, 0.0, 0.0])
+    assert {r["mode"]: 0 for r in fitted.patterns.where("loading <> 0").collect()} == {1: 0}
+    empty = eof.fit(df.where("false"), 2)
+    assert empty.patterns.count() == 0 and empty.explained == [None, None]
+
+
 def test_store_prunes_and_pushes_down(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), start="2000-02", end="2000-03", lat=(-5, 5), lon=(110, 130))
     df = field(spark, [(M2000 + t, la, 120.0, float(t)) for t in range(6) for la in (-10.0, 0.0)])

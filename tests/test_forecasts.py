@@ -155,11 +155,36 @@ def test_quantile_models_are_near_the_optimum(spark):
 
 def test_quantiles_do_not_cross(spark):
     _, _, df = table(spark, p=2)
-    models = learners.quantile_models(df, (0.1, 0.5, 0.9), EDGES, max_rounds=3)
+    models = learners.quantile_models(df, (0.1, 0.5, 0.9), EDGES)
     for row in learners.predict_quantiles(df, models, EDGES).collect():
         assert list(row.forecast) == sorted(row.forecast)
 
 
+def test_unsettled_models_raise(spark):
+    _, _, df = table(spark, p=1)
+    with pytest.raises(ValueError, match="open"):
+        learners.quantile_models(df, (0.5,), EDGES, max_rounds=1)
+    with pytest.raises(ValueError, match="move"):
+        learners._lasso(np.array([[9.0, 1, 2, 3], [1, 5, 4, 2], [2, 4, 5, 1], [3, 2, 1, 9]]).ravel(), 0.01, rounds=2)
+
+
+def test_interval_models_meet_the_optimality_conditions_and_hold_out_their_decade(spark):
+    x, y, df = table(spark, p=2)
+    models = learners.interval_models(df, low=-1.0, step=0.5, count=6, edges=EDGES).collect()
+    w = {m.fold: np.array(m.coef) for m in models}[2000]
+    year = (M + 3 + np.arange(240)) // 12
+    z, b = np.column_stack([np.ones(240), x])[year >= 2010], y[year >= 2010]
+    label = np.clip(np.ceil((b + 1.0) / 0.5), 0, 5).astype(int)
+    e = np.exp(z @ w.T)
+    slope = (e / e.sum(1, keepdims=True) - np.eye(6)[label]).T @ z / len(z) + 0.01 * w
+    assert np.abs(slope).max() < 1e-5
+    probs = learners.interval_hindcast(df, spark.createDataFrame(models), EDGES).collect()
+    total = {}
+    for row in probs:
+        total[row.lead, row.m] = total.get((row.lead, row.m), 0.0) + row.prob
+    assert len(total) == 240 and list(total.values()) == pytest.approx([1.0] * 240)
+
+
 def test_model_contract(spark, tmp_path):
     _, _, df = table(spark)
     learners.LinearForecast(ridge=0.5).fit(df).save(str(tmp_path / "m"))

@@ -1,7 +1,8 @@
 """Empirical orthogonal functions of gridded fields.
 
-The decomposition works on the time-by-time Gram matrix, whose size is bounded by the
-calendar; cells stay distributed, so the number of grid cells has no limit.
+Patterns come from a subspace iteration: a few vectors over the cells are multiplied by the
+matrix and its transpose as joins and sums, and only matrices of the number of vectors
+squared reach the driver. Neither the number of cells nor that of times has a limit.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.sampling import uniform
+from ..session import cut, drop
 
-MAX_TIMES = 12000
+EXTRA = 24  # vectors carried beside the wanted patterns
+MAX_ROUNDS = 500
 
 
 def _axis(df: DataFrame):
@@ -66,39 +69,89 @@ class Eof:
         return spark.createDataFrame(list(enumerate(self.explained, 1)), "mode int, ratio double")
 
 
-def fit(matrix: DataFrame, k: int = 3, cell=("lat", "lon")) -> Eof:
-    """Leading ``k`` patterns of a full matrix ``cell, m, value``.
+def _times(column: str, weights: np.ndarray) -> Column:
+    """A row vector times a small matrix: one value per column of ``weights``."""
+    return F.array(*[
+        F.aggregate(F.zip_with(column, F.lit([float(x) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        for w in weights.T
+    ])
 
-    Signs are fixed so that the loading of largest magnitude is positive.
+
+def _gram(df: DataFrame, column: Column) -> np.ndarray:
+    """Sum of outer products of an array column."""
+    vectors = df.select(array_to_vector(column).alias("v"))
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+
+
+def _orthonormal(gram: np.ndarray) -> np.ndarray:
+    """Weights that turn vectors with these products into orthonormal ones, without null directions."""
+    size = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    values, basis = np.linalg.eigh(gram / np.outer(size, size))
+    keep = values > 1e-13 * max(values[-1], 1e-300)
+    return basis[:, keep] / np.sqrt(values[keep]) / size[:, None]
+
+
+def fit(matrix: DataFrame, k: int = 3, cell=("lat", "lon"), tol: float = 1e-6, max_rounds: int = MAX_ROUNDS) -> Eof:
+    """Leading ``k`` patterns of a full matrix ``cell, m, value``, unit vectors over the cells.
+
+    A round multiplies the vectors by the centred matrix and its transpose; it ends when the
+    residual of each pattern is below ``tol`` of the largest eigenvalue, and raises if
+    ``max_rounds`` do not suffice. Signs are fixed so that the loading of largest magnitude
+    is positive; a mode beyond the rank has zero loadings. An empty matrix has no patterns.
     """
     cell = list(cell)
-    matrix = cut(matrix)  # read by the Gram matrix, the patterns and the projection
-    span = matrix.agg(F.min("m"), F.max("m")).first()
-    first, n = span[0], span[1] - span[0] + 1
-    if n > MAX_TIMES:
-        raise ValueError(f"{n} times: aggregate the time axis to at most {MAX_TIMES} first")
-    # one vector per cell over all months, centred per cell
-    per_cell = matrix.groupBy(*cell).agg(
-        F.array_sort(F.collect_list(F.struct("m", "value"))).alias("_s"), F.avg("value").alias("_mean")
-    )
-    centred = F.transform("_s", lambda s: s["value"] - F.col("_mean"))
-    vectors = per_cell.select(array_to_vector(centred).alias("v"))
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
-    values, basis = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
-    lam, u = values[order], basis[:, order]
-    total = float(np.clip(values, 0, None).sum())
     spark = matrix.sparkSession
-    scaled = u / np.sqrt(np.where(lam > 0, lam, np.inf))
-    weights = [(int(first + t), j + 1, float(scaled[t, j])) for t in range(n) for j in range(len(order))]
-    table = spark.createDataFrame(weights, "m int, mode int, w double")
-    centred_rows = matrix.join(per_cell.select(*cell, "_mean"), cell)
-    raw = centred_rows.join(table, "m").groupBy(*cell, "mode").agg(
-        F.sum((F.col("value") - F.col("_mean")) * F.col("w")).alias("loading")
-    )
+    matrix = cut(matrix)  # read by every round and the projection
+    means = cut(matrix.groupBy(*cell).agg(F.avg("value").alias("_mean"),
+                                          (F.var_pop("value") * F.count("value")).alias("_square")))
+    total, cells = means.agg(F.sum("_square"), F.count(F.lit(1))).first()
+    if not cells:
+        none = spark.createDataFrame([], matrix.select(*cell).withColumns({"mode": F.lit(1), "loading": F.lit(1.0)}).schema)
+        return Eof(matrix, none, [None] * k, cell)
+    start = F.array(*[uniform(*cell, F.lit(j), seed=29) - 0.5 for j in range(k + EXTRA)])
+    state = cut(means.select(*cell, "_mean", start.alias("v")))
+    weights = _orthonormal(_gram(state, F.col("v")))
+    for _ in range(max_rounds):
+        vectors = state.select(*cell, "_mean", _times("v", weights).alias("v"))
+        before, state = state, cut(_multiply(matrix, vectors, cell, weights.shape[1]))
+        drop(before)
+        size = weights.shape[1]
+        gram = _gram(state, F.concat("old", "v"))
+        inner, outer = gram[:size, size:], gram[size:, size:]
+        values, basis = np.linalg.eigh((inner + inner.T) / 2.0)
+        values, basis = values[::-1][:k], basis[:, ::-1][:, :k]
+        length = np.einsum("ij,ik,kj->j", basis, outer, basis)  # squared, of the multiplied patterns
+        rest = np.sqrt(np.maximum(length - values ** 2, 0.0))
+        if values[0] <= 0 or (rest <= tol * values[0]).all():
+            break
+        weights = _orthonormal(outer)
+    else:
+        raise ValueError(f"the patterns do not converge in {max_rounds} rounds")
+    alive = values > 1e-12 * max(values[0], 1e-300)
+    unit = np.where(alive, 1.0 / np.sqrt(np.where(alive, length, 1.0)), 0.0)
+    loadings = np.zeros((size, k))
+    loadings[:, :len(values)] = basis * unit
+    raw = state.select(*cell, F.posexplode(_times("v", loadings)).alias("_j", "loading"))
+    raw = raw.select(*cell, (F.col("_j") + 1).alias("mode"), "loading")
     sign = raw.groupBy("mode").agg(F.signum(F.max_by("loading", F.abs("loading"))).alias("_sign"))
     patterns = raw.join(sign, "mode").select(*cell, "mode", (F.col("loading") * F.col("_sign")).alias("loading"))
-    return Eof(matrix, patterns, [float(v) / total if total > 0 else None for v in lam], cell)
+    ratio = [float(max(v, 0.0)) / total if total else None for v in values]
+    return Eof(matrix, patterns, ratio + [0.0 if total else None] * (k - len(ratio)), cell)
+
+
+def _multiply(matrix: DataFrame, vectors: DataFrame, cell: list, size: int) -> DataFrame:
+    """``cell, _mean, old, v``: the vectors and their product with the centred matrix, then with its transpose.
+
+    The amplitudes in between add up to zero over the times, so the transpose needs no centring.
+    """
+    def sums(value, array):
+        return [F.sum(value * F.get(array, F.lit(j))).alias(f"_{j}") for j in range(size)]
+
+    packed = F.array(*[F.col(f"_{j}") for j in range(size)])
+    centred = F.col("value") - F.col("_mean")
+    amplitudes = matrix.join(vectors, cell).groupBy("m").agg(*sums(centred, "v")).select("m", packed.alias("a"))
+    again = matrix.join(amplitudes, "m").groupBy(*cell).agg(*sums(F.col("value"), "a")).select(*cell, packed.alias("_new"))
+    return vectors.join(again, cell).select(*cell, "_mean", F.col("v").alias("old"), F.col("_new").alias("v"))
 
 
 def pattern_map(eof: Eof, field: DataFrame, mode: int = 1) -> DataFrame:

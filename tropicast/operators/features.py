@@ -52,17 +52,19 @@ def normal_noise(*identity, seed: int = 0):
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
 
 
-def field_features(field: DataFrame, lead: int, shift: int = 3, n: int = 3, cell=("lat", "lon")) -> DataFrame:
+def field_features(field: DataFrame, lead, shift: int = 3, n: int = 3, cell=("lat", "lon")) -> DataFrame:
     """Field-to-field rows: a cell's rolling mean and the same cell ``lead + shift`` later.
 
-    Long form: a time's map stays distributed over its cells.
+    Long form: a time's map stays distributed over its cells. ``lead`` is one lead or a list.
     """
     from .windows import rolling_mean
 
     smooth = rolling_mean(field, n, cell).where(F.col("value").isNotNull()).select(*cell, "m", "value")
-    later = smooth.select(*cell, (F.col("m") - lead - shift).alias("m"), F.col("value").alias("y"))
+    leads = F.explode(F.lit([lead] if isinstance(lead, int) else list(lead)))
+    later = smooth.withColumn("lead", leads).select(
+        *cell, "lead", (F.col("m") - F.col("lead") - shift).alias("m"), F.col("value").alias("y"))
     return smooth.join(later, [*cell, "m"]).select(
-        *cell, "m", (F.col("m") + lead + shift).alias("m_target"), F.col("value").alias("x"), "y"
+        *cell, "lead", "m", (F.col("m") + F.col("lead") + shift).alias("m_target"), F.col("value").alias("x"), "y"
     )
 
 

@@ -80,7 +80,7 @@ def _least_squares(g, ridge: float):
     return np.linalg.lstsq(m, a[:p, p], rcond=None)[0]
 
 
-def _lasso(g, alpha: float, tol: float = 1e-10, rounds: int = 5000):
+def _lasso(g, alpha: float, tol: float = 1e-10, rounds: int = 100_000):
     """Minimise |y - b0 - Xb|^2 / (2n) + alpha |b|_1 by coordinate descent on the products."""
     a = _unpack(g)
     n = a[0, 0]
@@ -98,8 +98,8 @@ def _lasso(g, alpha: float, tol: float = 1e-10, rounds: int = 5000):
             shift = max(shift, abs(new - b[j]))
             b[j] = new
         if shift < tol:
-            break
-    return np.concatenate([[mean_y - mean_x @ b], b])
+            return np.concatenate([[mean_y - mean_x @ b], b])
+    raise ValueError(f"the coefficients still move after {rounds} rounds")
 
 
 def solve(df: DataFrame, ridge: float = 0.0, alpha: str | None = None, column: str = "g") -> DataFrame:
@@ -203,31 +203,34 @@ def hindcast(features: DataFrame, models: DataFrame, edges=DECADES, first: str |
 
 
 def quantile_models(features: DataFrame, quantiles, edges=DECADES, ridge: float = 1e-6, eps: float = 1e-3,
-                    tol: float = 1e-3, max_rounds: int = 40) -> DataFrame:
+                    tol: float = 1e-3, max_rounds: int = 200) -> DataFrame:
     """``lead, fold, q, coef``: linear quantile regression by reweighted least squares.
 
-    All keys iterate together; a round is one aggregation, and the loop ends when the
-    total pinball loss settles to ``tol``.
+    All open keys iterate together, and a round is one aggregation. A key leaves the rounds
+    when its own pinball loss settles to ``tol``; keys still open after ``max_rounds`` raise.
     """
     rows = with_fold(features, edges).withColumnRenamed("fold", "_own")
     rows = rows.withColumn("fold", F.explode(train_folds("_own", edges)))
     rows = rows.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     keys = ["lead", "fold", "q"]
     rows = cut(rows.select(*keys, "x", "y"))
-    models = cut(solve(cross_products(rows, keys), ridge=ridge))
-    before = None
+    start = solve(cross_products(rows, keys), ridge=ridge)
+    open_ = cut(start.select(*keys, "coef", F.lit(None).cast("double").alias("loss")))
+    done = open_.where("false").select(*keys, "coef")
     for _ in range(max_rounds):
         e = F.col("y") - linear()
         side = F.when(e >= 0, F.col("q")).otherwise(1.0 - F.col("q"))
-        weighted = rows.join(models.select(*keys, "coef"), keys)
+        weighted = rows.join(open_.select(*keys, "coef"), keys)
         weighted = weighted.withColumn("w", side / F.greatest(F.abs(e), F.lit(eps)))
-        products = cross_products(weighted, keys, weight="w").join(models.select(*keys, "coef"), keys)
-        models = cut(solve(products.withColumn("loss", _weighted_loss()("g", "coef")).drop("coef"), ridge=ridge))
-        loss = models.agg(F.sum("loss")).first()[0]
-        if before is not None and abs(before - loss) <= tol * abs(before):
-            break
-        before = loss
-    return models.drop("loss")
+        products = cross_products(weighted, keys, weight="w").join(open_.withColumnRenamed("loss", "_before"), keys)
+        moved = solve(products.withColumn("loss", _weighted_loss()("g", "coef")).drop("coef"), ridge=ridge)
+        settled = F.abs(F.col("_before") - F.col("loss")) <= tol * F.abs("_before")
+        models = cut(moved.select(*keys, "coef", "loss", F.coalesce(settled, F.lit(False)).alias("_settled")))
+        done = done.unionByName(models.where("_settled").select(*keys, "coef"))
+        open_ = models.where("not _settled").drop("_settled")
+        if open_.isEmpty():
+            return done
+    raise ValueError(f"quantile models still open after {max_rounds} rounds")
 
 
 def _weighted_loss():
@@ -291,8 +294,62 @@ def classify(model, features: DataFrame) -> DataFrame:
     return probs
 
 
-def field_forecast(field: DataFrame, lead: int, k: int = 3, shift: int = 3, ridge: float = 1.0, cell=("lat", "lon")) -> DataFrame:
-    """Field forecast through a few patterns: encode, regress the amplitudes, decode.
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _multinomial(x: np.ndarray, label: np.ndarray, count: int, reg: float, tol: float = 1e-6, rounds: int = 100_000):
+    """Penalised multinomial coefficients (classes by 1 + features) by accelerated gradient steps."""
+    z = np.column_stack([np.ones(len(x)), x])
+    target = np.eye(count)[label]
+    step = 1.0 / (np.linalg.eigvalsh(z.T @ z / len(z))[-1] / 2.0 + reg)
+    momentum = (1.0 - np.sqrt(step * reg)) / (1.0 + np.sqrt(step * reg))
+    w = ahead = np.zeros((count, z.shape[1]))
+    for _ in range(rounds):
+        slope = (_softmax(z @ ahead.T) - target).T @ z / len(z) + reg * ahead
+        before, w = w, ahead - step * slope
+        if np.abs(slope).max() < tol:
+            return w
+        ahead = w + momentum * (w - before)
+    raise ValueError(f"the classifier still moves after {rounds} rounds")
+
+
+def interval_models(features: DataFrame, low: float = -5.0, step: float = 0.25, count: int = 42, reg: float = 0.01,
+                    edges=DECADES) -> DataFrame:
+    """``lead, fold, coef``: interval classifiers fitted on every decade but the fold.
+
+    A group is one label per month of the training decades, so its size is bounded by the calendar.
+    """
+    from ..functions.stats import interval_class
+
+    rows = with_fold(features, edges).where("y is not null").withColumnRenamed("fold", "_own")
+    rows = rows.withColumn("fold", F.explode(train_folds("_own", edges)))
+    rows = rows.select("lead", "fold", "x", interval_class("y", low, step, count - 2).alias("label"))
+
+    def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w = _multinomial(np.array(list(pdf["x"]), dtype=float), pdf["label"].to_numpy(int), count, reg)
+        return pd.DataFrame([(*key, w.tolist())], columns=["lead", "fold", "coef"])
+
+    return rows.groupBy("lead", "fold").applyInPandas(fit_one, "lead int, fold int, coef array<array<double>>")
+
+
+def interval_hindcast(features: DataFrame, models: DataFrame, edges=DECADES) -> DataFrame:
+    """``lead, m, target_season, y, class, prob`` from the classifier that did not see the decade."""
+    rows = with_fold(features, edges).join(models, ["lead", "fold"])
+
+    @F.pandas_udf("array<double>")
+    def probabilities(x: pd.Series, coef: pd.Series) -> pd.Series:
+        return pd.Series([_softmax(np.array([np.stack(c) @ np.append(1.0, v)]))[0] for v, c in zip(x, coef)])
+
+    return rows.select("lead", F.col("m_target").alias("m"), "target_season", "y",
+                       F.posexplode(probabilities("x", "coef")).alias("class", "prob"))
+
+
+def field_forecast(field: DataFrame, lead, k: int = 3, shift: int = 3, ridge: float = 1.0, cell=("lat", "lon")) -> DataFrame:
+    """``cell, lead, m, value``: forecast through a few patterns (encode, regress the amplitudes, decode).
+
+    ``lead`` is one lead or a list; all are fitted together.
 
     Amplitudes are one short row per month; the field itself meets them in joins on month
     and cell only.
@@ -303,15 +360,16 @@ def field_forecast(field: DataFrame, lead: int, k: int = 3, shift: int = 3, ridg
     pc = cut(eof.wide_projection(fitted.project(), k))
     names = [f"pca{j}" for j in range(1, k + 1)]
     x = pc.select("m", F.array(*names).alias("x"))
-    later = pc.select((F.col("m") - lead - shift).alias("m"), F.explode(F.array(*[
+    leads = F.explode(F.lit([lead] if isinstance(lead, int) else list(lead)))
+    later = pc.withColumn("lead", leads).select("lead", (F.col("m") - F.col("lead") - shift).alias("m"), F.explode(F.array(*[
         F.struct(F.lit(j).alias("mode"), F.col(n).alias("y")) for j, n in enumerate(names, 1)
-    ])).alias("_t")).select("m", "_t.mode", "_t.y")
-    models = cut(solve(cross_products(x.join(later, "m"), ["mode"]), ridge=ridge))
+    ])).alias("_t")).select("lead", "m", "_t.mode", "_t.y")
+    models = cut(solve(cross_products(x.join(later, "m"), ["lead", "mode"]), ridge=ridge))
     modes = F.explode(F.sequence(F.lit(1), F.lit(k)))
     ahead = x.withColumn("mode", modes).join(models, "mode").select(
-        (F.col("m") + lead + shift).alias("m"), "mode", linear().alias("amplitude")
+        "lead", (F.col("m") + F.col("lead") + shift).alias("m"), "mode", linear().alias("amplitude")
     )
-    map_ = ahead.join(fitted.patterns, "mode").groupBy(*cell, "m").agg(
+    map_ = ahead.join(fitted.patterns, "mode").groupBy(*cell, "lead", "m").agg(
         F.sum(F.col("amplitude") * F.col("loading")).alias("value")
     )
     return map_

@@ -66,6 +66,13 @@ def regime_filter(df: DataFrame, background: str, year: Column) -> DataFrame:
     raise ValueError(f"unknown background {background!r}")
 
 
+def regimes_of(year: Column) -> Column:
+    """Names of all backgrounds of ``regime_filter`` that hold a year, as an array."""
+    named = F.when(regime(year) == "elnino-like", "el-nino-like").otherwise("la-nina-like")
+    barnston = F.when(year.between(1982, 2015), F.array(F.lit("barnston_2019"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.lit("all"), named), barnston)
+
+
 def event_months(events: DataFrame, months: dict) -> DataFrame:
     """Months that belong to events: ``(kind, year)`` rows to ``(kind, m)`` rows.
 

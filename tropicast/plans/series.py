@@ -200,9 +200,9 @@ def c2(v: Views):
 @query("c3", f"""SELECT lag, round({corr('rx', 'ry')}, 6) + 0e0 AS r FROM (
     SELECT lag, rank() OVER (PARTITION BY lag ORDER BY x) + (count(*) OVER (PARTITION BY lag, x) - 1) / 2e0 AS rx,
       rank() OVER (PARTITION BY lag ORDER BY y) + (count(*) OVER (PARTITION BY lag, y) - 1) / 2e0 AS ry FROM (
-        SELECT l.lag, a.value AS x, b.value AS y FROM idx a, idx2 b, (SELECT unnest(range(0, 40))::INT AS lag) l WHERE a.m = b.m + l.lag)) GROUP BY 1""")
+        SELECT l.lag, a.value AS x, b.value AS y FROM idx a, idx2 b, (SELECT unnest(range(0, 80))::INT AS lag) l WHERE a.m = b.m + l.lag)) GROUP BY 1""")
 def c3(v: Views):
-    return rounded(lagged.spearman_lag(v.idx, v.idx2, 40), "r")
+    return rounded(lagged.spearman_lag(v.idx, v.idx2, 80), "r")
 
 
 @query("c4", f"""SELECT month, lag, n, round(r, 6) + 0e0 AS r, round(CASE WHEN r <= 0 THEN 1e0 ELSE {p_value('r', 'n')} END, 6) + 0e0 AS p FROM (
@@ -253,11 +253,11 @@ def c8(v: Views):
 
 
 @query("c9", "WITH zx AS (SELECT m, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS value FROM idx), zy AS (SELECT m, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS value FROM idx2) "
-       + lag_sql("zx", "zy", 61))
+       + lag_sql("zx", "zy", 81))
 def c9(v: Views):
     x = stats.standardise(v.idx, "value", ["series"], ddof=1)
     y = stats.standardise(v.idx2, "value", ["series"], ddof=1)
-    return rounded(lagged.pearson_lag(x, y, 60), "r", "p").select("lag", "n", "r", "p")
+    return rounded(lagged.pearson_lag(x, y, 80), "r", "p").select("lag", "n", "r", "p")
 
 
 @query("c10")

@@ -12,7 +12,6 @@ from .registry import query, r, rounded
 from .views import EDGES, LEADS, Views
 
 PREDICTORS = ["oni", "wwv", "iod"]
-TRAIN_LEADS = (0, 3, 6)
 
 
 def feature_table(v: Views, **options):
@@ -44,9 +43,9 @@ def m1(v: Views):
 
 
 @query("m2", """WITH s AS (SELECT lat, lon, m, CASE WHEN count(value) OVER w = 3 THEN avg(value) OVER w END AS v FROM fld WINDOW w AS (PARTITION BY lat, lon ORDER BY m RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
-    SELECT a.lat, a.lon, a.m, b.m AS m_target, round(a.v, 6) + 0e0 AS x, round(b.v, 6) + 0e0 AS y FROM s a JOIN s b ON a.lat = b.lat AND a.lon = b.lon AND b.m = a.m + 6 WHERE a.v IS NOT NULL AND b.v IS NOT NULL""")
+    SELECT lead, a.lat, a.lon, a.m, b.m AS m_target, round(a.v, 6) + 0e0 AS x, round(b.v, 6) + 0e0 AS y FROM s a, (SELECT unnest([0,3,6,9,12,15,18,21])::INT AS lead) l, s b WHERE a.lat = b.lat AND a.lon = b.lon AND b.m = a.m + lead + 3 AND a.v IS NOT NULL AND b.v IS NOT NULL""")
 def m2(v: Views):
-    return rounded(features.field_features(v.fld, 3), "x", "y")
+    return rounded(features.field_features(v.fld, LEADS), "x", "y")
 
 
 @query("m3", _round_x(f"""SELECT lead, f.m, (f.m + lead + 3)::INT AS m_target, f.x AS x, t.value AS y, f.value AS y_persistence FROM ({FEAT_SQL}) f CROSS JOIN {LEAD_SQL} LEFT JOIN ({FEAT_SQL}) t
@@ -198,14 +197,14 @@ def r1(v: Views):
 @query("r2")
 def r2(v: Views):
     """Members of a mean-forecast ensemble, averaged and scored."""
-    table = cut(feature_table(v, leads=TRAIN_LEADS))
+    table = cut(feature_table(v))
     members = learners.predict_members(table, learners.mean_ensemble(table, 5, edges=EDGES), EDGES)
     mean = ensemble.plain_mean(members, ["mean", "y"], ("lead", "m"))
     return rounded(lagged.correlate(mean, "mean", "y", ["lead"]), "r", "p")
 
 
 def gaussian_hindcast(v: Views):
-    table = cut(feature_table(v, leads=TRAIN_LEADS))
+    table = cut(feature_table(v))
     members = learners.predict_members(table, learners.gaussian_ensemble(table, 5, edges=EDGES), EDGES)
     mixed = ensemble.gaussian_mixture(members, ("lead", "m", "target_season"))
     return verify.match(mixed.withColumn("model", F.lit("ensemble")), v.idx)
@@ -220,7 +219,7 @@ def r3(v: Views):
 @query("r4")
 def r4(v: Views):
     """Quantile models per lead and fold; pinball loss of their hindcast."""
-    table = cut(feature_table(v, leads=(0, 6)))
+    table = cut(feature_table(v))
     models = learners.quantile_models(table, (0.16, 0.84), EDGES)
     rows = learners.with_fold(table, EDGES).join(models, ["lead", "fold"])
     loss = verify.pinball("y", learners.linear(), F.col("q"))
@@ -229,7 +228,7 @@ def r4(v: Views):
 
 @query("r5")
 def r5(v: Views):
-    table = cut(feature_table(v, leads=(0,)))
+    table = cut(feature_table(v))
     models = learners.quantile_models(table, (0.025, 0.5, 0.975), EDGES)
     out = learners.predict_quantiles(table, models, EDGES)
     return out.select("lead", "m", "target_season", *[r(F.get("forecast", F.lit(i)), 4).alias(n) for i, n in enumerate(("low", "mid", "high"))])
@@ -237,20 +236,19 @@ def r5(v: Views):
 
 @query("r6")
 def r6(v: Views):
-    """Interval-probability forecast and its summary."""
-    table = cut(feature_table(v, leads=(0,)))
-    model = learners.interval_classifier(table, low=-5.0, step=1.0, count=11, max_iter=25)
-    probs = learners.classify(model, table).withColumn("model", F.lit("classifier"))
-    summary = verify.distribution_summary(probs, low=-5.0, step=1.0)
+    """Interval-probability forecast of the decades held out, and its summary."""
+    table = cut(feature_table(v))
+    probs = learners.interval_hindcast(table, learners.interval_models(table, edges=EDGES), EDGES)
+    summary = verify.distribution_summary(probs.withColumn("model", F.lit("classifier")))
     return summary.select("model", "lead", "target_season", "mode_class", "median_class")
 
 
 @query("r7")
 def r7(v: Views):
-    out = learners.field_forecast(anomalies(v).select("lat", "lon", "m", "value"), lead=3, k=3)
+    out = learners.field_forecast(anomalies(v).select("lat", "lon", "m", "value"), LEADS, k=3)
     obs = anomalies(v).select("lat", "lon", "m", F.col("value").alias("y"))
     both = out.join(obs, ["lat", "lon", "m"])
-    return both.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), r(verify.rmse("y", "value"), 4).alias("rmse"))
+    return both.groupBy("lead", "lat", "lon").agg(F.count(F.lit(1)).alias("n"), r(verify.rmse("y", "value"), 4).alias("rmse"))
 
 
 @query("r9", f"""WITH t AS (SELECT lead, m_target AS m, y, y_persistence AS p, {FOLD_SQL} AS fold FROM ({M1_SQL})),
@@ -273,7 +271,7 @@ def r10(v: Views):
 
 @query("r11")
 def r11(v: Views):
-    table = cut(feature_table(v, leads=TRAIN_LEADS))
+    table = cut(feature_table(v))
     return rounded(learners.relevance(learners.mean_ensemble(table, 5, edges=EDGES), len(PREDICTORS)), "weight")
 
 

@@ -17,9 +17,9 @@ SRMSE_SQL = "sqrt(avg((y - mean) * (y - mean))) / nullif(stddev_pop(y), 0)"
 MK = "model, lead"
 
 
-def corr_sql(keys: str, where: str = "TRUE") -> str:
+def corr_sql(keys: str, where: str = "TRUE", source: str = "matched") -> str:
     return f"""SELECT {keys}, n, round(r, 6) + 0e0 AS r, round({p_value('r', 'n')}, 6) + 0e0 AS p FROM (
-        SELECT {keys}, count(*) AS n, {corr('y', 'mean')} AS r FROM matched WHERE {where} GROUP BY ALL)"""
+        SELECT {keys}, count(*) AS n, {corr('y', 'mean')} AS r FROM {source} WHERE {where} GROUP BY ALL)"""
 
 
 def _corr(df, *keys):
@@ -36,10 +36,12 @@ def v11(v: Views):
     return _corr(v.matched.where("decade is not null"), "model", "lead", "decade")
 
 
-@query("v12", corr_sql("model, lead, season", "m // 12 - 13 BETWEEN 1982 AND 2015"))
+@query("v12", corr_sql("background, model, lead, season", source="""(SELECT *, unnest(list_concat(['all'],
+        CASE WHEN m // 12 - 13 BETWEEN 1982 AND 2015 THEN ['barnston_2019'] ELSE [] END,
+        CASE WHEN m // 12 - 13 BETWEEN 1982 AND 2001 THEN ['el-nino-like'] ELSE ['la-nina-like'] END)) AS background FROM matched)"""))
 def v12(v: Views):
-    rows = regions.regime_filter(v.matched, "barnston_2019", F.floor(F.col("m") / 12) - 13)
-    return _corr(rows, "model", "lead", "season")
+    regimes = regions.regimes_of(F.floor(F.col("m") / 12) - 13)
+    return _corr(v.matched.withColumn("background", F.explode(regimes)), "background", "model", "lead", "season")
 
 
 @query("v13", "SELECT model, lead, round(sqrt(avg((y - mean) * (y - mean))), 6) + 0e0 AS rmse FROM matched GROUP BY 1, 2")
@@ -247,8 +249,8 @@ MODELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
        + " FROM fct f JOIN ext e ON e.m = f.m AND e.lead = f.lead WHERE f.model = 'trailing' GROUP BY 1, 2, 3, 4")
 def v35(v: Views):
     own = v.fct.where(F.col("model") == "trailing").select("lead", "m", "mean", "std")
-    wide = v.ext.groupBy("lead", "m").pivot("model", list(MODELS)).agg(F.first("mean"))
-    return own.join(wide.select("lead", "m", *[F.col(n).alias(n.lower()) for n in MODELS]), ["lead", "m"])
+    wide = v.ext.groupBy("lead", "m").pivot("model").agg(F.first("mean"))
+    return own.join(wide.toDF(*[n.lower() for n in wide.columns]), ["lead", "m"])
 
 
 @query("v36", f"SELECT model, lead, season, CASE WHEN p < 0.01 THEN 0.01e0 WHEN p < 0.05 THEN 0.05e0 WHEN p < 0.1 THEN 0.1e0 END AS level, coalesce(p < 0.05, false) AS significant FROM (SELECT model, lead, season, {p_value('r', 'n')} AS p FROM (SELECT model, lead, season, count(*) AS n, {corr('y', 'mean')} AS r FROM matched GROUP BY 1, 2, 3))")
