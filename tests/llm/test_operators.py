@@ -332,6 +332,19 @@ def test_language(spark):
     assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 for i in (300, 301, 302))
 
 
+def test_language_learns_from_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "CHARACTERS", 1000)
+    monkeypatch.setattr(language, "LONG", 300)
+    texts = [prose(i, 40) for i in range(20)] + [prose(99, 500)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(50, prose(98, 600), "de")]
+    found = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    kept = [t for t in texts if t in found["en"]]
+    assert len(kept) > 1 and sum(map(len, kept)) <= 1000 and found["en"].split() == " ".join(
+        sorted(kept, key=found["en"].index)).split()
+    # a language of long texts only takes one, whole
+    assert found["de"].strip() == prose(98, 600)
+
+
 def test_html(spark):
     page = ("<title>t</title><script>var a='<p>';</script><table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple pie<td>3</table>"
             "<ul><li>a<li>b<ol><li>x</ol></ul><p>one<p>two <b>bold</b><br>next<div hidden>no</div><pre>a\n  b</pre>"

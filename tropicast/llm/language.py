@@ -5,8 +5,9 @@ from left to right into the longest pieces that the automaton knows; a language
 pieces, each worth the logarithm of the reference's length, cover the text is a likely one. The language with the
 fewest bits wins, ties going to the smaller name.
 
-The reference is a bounded sample: up to ``DOCUMENTS`` training documents of each language, those with the
-lowest hash of their id, each giving at most ``CHARACTERS`` characters. Texts to be identified are parsed
+The reference is a bounded sample of whole texts: of each language the training documents with the lowest hash
+of their id, texts beyond ``LONG`` characters last, at most ``DOCUMENTS`` of them and as many as fit into
+``CHARACTERS`` characters (one at least). Texts to be identified are parsed
 whole, in blocks of ``BLOCK`` symbols that advance together, so a block costs each language
 at most one piece more.
 
@@ -28,8 +29,9 @@ from pyspark.sql.window import Window
 from .common import remainder
 
 FOLDS, HELD_OUT = 4, 2
-DOCUMENTS = 48
-CHARACTERS = 700
+DOCUMENTS = 64
+CHARACTERS = 40_000
+LONG = 4_000
 BLOCK = 512
 SYMBOLS = 64  # 0 separates words, 1 is any letter beyond the alphabet
 LIMIT = 0x3000
@@ -174,11 +176,14 @@ def identifier(references: dict[str, str]) -> Identifier:
 
 def learn(docs: DataFrame) -> dict[str, str]:
     """Reference text of each language: a bounded sample of the rows of (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("reference"), "doc_id"), "doc_id")
-    rows = docs.where("lang IS NOT NULL AND length(text) > 0").select("lang", "doc_id", F.left("text", F.lit(CHARACTERS)).alias("text"))
-    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCUMENTS).collect()
+    order = Window.partitionBy("lang").orderBy(F.length("text") > LONG, F.xxhash64(F.lit("reference"), "doc_id"), "doc_id", "text")
+    rows = docs.where("lang IS NOT NULL AND length(text) > 0").select("lang", "doc_id", "text")
+    # the group limit leaves few rows of each language in every task
+    first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCUMENTS)
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("n"))
+    chosen = first.withColumn("so_far", so_far).where((F.col("so_far") <= CHARACTERS) | (F.col("n") == 1)).collect()
     out: dict[str, str] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["n"])):
+    for row in sorted(chosen, key=lambda r: (r["lang"], r["n"])):
         out[row["lang"]] = out.get(row["lang"], "") + " " + row["text"]
     return out
 
