@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_date
+from ..session import cut
 
 NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
 
@@ -135,6 +136,8 @@ def rewrite_time_axis(df: DataFrame, start_m: int, step: int = 1, time: str = "t
     axis = times.withColumn("_k", k).join(offsets, "_y").select(
         time, (F.lit(start_m) + F.lit(step) * (F.col("_k") + F.col("_offset"))).cast("int").alias("m_new")
     )
+    # written first, so that the join knows how small it is and need not put each month into one task
+    axis = cut(axis)
     return (
         df.join(axis, time)
         .drop(time, "m")
