@@ -4,6 +4,7 @@ A text is addressed by its SHA-256. The ledger holds, for each blob and rule ver
 spans found in it; a scan looks only at pairs it does not hold, appends them, and joins
 the findings back to every row that carries the blob. Later scans of a grown
 history therefore read the text of new blobs only, or of all blobs for a new rule version.
+Rule version 3 takes a private key with its body; version 2, which the SQL has, took the BEGIN line alone.
 
 Spans are counted in code points, end exclusive. A match is located by the text between
 it and the match before: ``\\G`` ties each step to the last end, so one pass
@@ -35,7 +36,13 @@ ADDED = (
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
 )
-RULES = {"2": BASE + ADDED}
+# A private key is its whole block: up to the END line, or else over the header fields and base64 pieces that follow
+BETWEEN = r"""(?:\s|\\[nrt]|["'+,>#*|/])*+"""
+WHOLE = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+(?!-)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+         rf"|(?:(?:{BETWEEN}[A-Z][A-Za-z-]*+: [^\r\n\\]*+)*+(?:{BETWEEN}[A-Za-z0-9+/_]{{16,}}+={{0,2}}+)++"
+         rf"(?:{BETWEEN}[A-Za-z0-9+/_]{{1,15}}+={{0,2}}+(?=[\"',;\x20\t]*+(?:[\r\n]|\\[nr]|\z)))?+)?+)")
+RULES = {"2": BASE + ADDED, "3": BASE + (("private", WHOLE, 0, 0), *ADDED[1:])}
+CURRENT = "3"
 SPAN = "array<struct<start:bigint,kind:int,name:string,end:bigint>>"
 
 
@@ -105,7 +112,7 @@ def _joined(spans: Column) -> Column:
 
 def op9_secrets(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, digest of their spans, and all spans of every document."""
-    found = BlobLedger(docs.sparkSession).scan(docs, "doc_id")
+    found = BlobLedger(docs.sparkSession).scan(docs, "doc_id", CURRENT)
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
 
     def count(number):
@@ -121,7 +128,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     The columns and their order are kept. Only texts with findings are rebuilt.
     """
     text = whole_text("text")
-    found = BlobLedger(docs.sparkSession).scan(docs.select("doc_id", "text"), "doc_id").where(F.size("spans") > 0)
+    found = BlobLedger(docs.sparkSession).scan(docs.select("doc_id", "text"), "doc_id", CURRENT).where(F.size("spans") > 0)
     found = cut(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct())
     marked = docs.withColumn("_b", F.unhex(F.sha2(text.cast("binary"), 256)))
     # few texts have findings; the join is split by size where one of them is repeated very often
