@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tropicast.llm import graph_search, html_text, language, mixing, packing, quality, scoring, secrets, simhash, syncmers
+from tropicast.llm import graph_search, html_text, language, mixing, near_copies, packing, quality, scoring, secrets, simhash, syncmers
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, piece string, shard string"
 WORDS = "the of and to in is that for it on was with as by at from this be are or an have not".split()
@@ -96,6 +96,44 @@ def test_keep_first(odd):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def slow_near_groups(texts):
+    """Component of each text over all pairs whose sets of five words have likeness 0.8 or more."""
+    sets, group = [five_words(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and 5 * len(a & b) >= 4 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("many", [1, 60])
+def test_near_copies_against_all_pairs(spark, odd, many):
+    """Copies with changed words around likeness 0.8, and chains of them, in small and in crowded cells."""
+    rng, texts = np.random.default_rng(many), []
+    for k in range(120 // many):
+        base = prose(1000 + k, int(rng.integers(30, 600))).split()
+        texts.append(" ".join(base))
+        for _ in range(2 * many):
+            words = list(base)
+            for i in rng.choice(len(words), int(rng.integers(1, max(2, len(words) // 25))), replace=False):
+                words[i] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+            base = words if rng.random() < 0.2 else base
+    texts += [r["text"] for r in rows_of(odd) if r["doc_id"] is not None and (r["text"] or "").isascii()]
+    docs = table(spark, list(enumerate(texts, 100)))
+    first = {}
+    for i, g in enumerate(slow_near_groups(texts), 100):
+        first.setdefault(g, i)
+    kept = near_copies.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in rows_of(kept)) == sorted(first.values())
+
+
 def slow_spans(text):
     rules = [("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, lambda m: len(m[2]) >= 6),
              ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24)]

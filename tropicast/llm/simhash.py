@@ -147,12 +147,9 @@ def op4_simhash(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: a row of its smallest doc_id (NULL last), and of
-    different rows with that id the one whose content hashes lowest.
-    """
-    keyed = docs.withColumn("_content", F.xxhash64(*docs.columns))
-    rows = grouped(keyed, "_content").groupBy("root", "doc_id", "_content").agg(F.count(F.lit(1)).alias("n"))
+def first_rows(docs: DataFrame, keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (docs and ``_content``) that come first in each root of ``found`` (doc_id, _content, root)."""
+    rows = found.groupBy("root", "doc_id", "_content").agg(F.count(F.lit(1)).alias("n"))
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_content", "n"))
     heads = cut(rows.groupBy("root").agg(head.alias("h")).select(
         F.col("h.doc_id").alias("_d"), F.col("h._content").alias("_c"), F.col("h.n").alias("n")))
@@ -160,3 +157,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     once = keyed.join(heads.where("n = 1"), same, "left_semi")
     repeated = keyed.join(heads.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "_content"])
     return once.unionByName(repeated).select(*docs.columns)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component: a row of its smallest doc_id (NULL last), and of
+    different rows with that id the one whose content hashes lowest.
+    """
+    keyed = docs.withColumn("_content", F.xxhash64(*docs.columns))
+    return first_rows(docs, keyed, grouped(keyed, "_content"))
