@@ -409,6 +409,20 @@ def test_html(spark):
     assert [r["text"] for r in sorted(found, key=lambda r: r["page_id"])] == [want, None, "", "deep", "deep"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div title="Ten hidden gems of Rome">a</div>', "a"), ('<body data-title="the hidden cost"><p>a', "a"), ('<p class="nav hidden md:block">a', "a"),
+    ("<p aria-hidden=true>a", "a"), ("<p data-style='display:none'>a", "a"), ("<p title='style=display:none'>a", "a"), ("<p HIDDEN>no</p>a", "a"),
+    ("<p hidden=''>no</p>a", "a"), ("<p class=x hidden>no</p>a", "a"), ('<p style="color:red; DISPLAY : none !important">no</p>a', "a"),
+    ("<p style='visibility:hidden'>no</p>a", "a"), ("<p hidden style='display:block'>a", "a"), ("<ol><li data-value=7>a</ol>", "1. a"),
+    ("so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></semantics></math> holds", "so x=1 holds"),
+    ("<svg><title>no</title><defs/><g>no<path d='M0 0'/><text x=1>Jan</text><text>Feb <tspan>x</tspan></text></g></svg>after", "Jan\nFeb x\nafter"),
+    ("<svg><path><p>broken out", "broken out"), ("say <textarea>\none\n  &lt;two</textarea>", "say\none\n  <two"),
+    ("in <select><option>a<option selected>b<option>c</select> units", "in b units"), ("<select><option disabled>a<option>b</select>", "b"),
+    ("<select multiple><option>a<option>b</select>", "a\nb"), ("<select hidden><option>a</select>b", "b")])
+def test_html_shows_what_browsers_show(page, want):
+    assert html_text.render(page) == want
+
+
 @pytest.mark.parametrize("run", [scoring.op1_scoring, packing.op3_packing, simhash.op4_simhash, syncmers.op5_fingerprints, mixing.op6_mixing,
                                  secrets.op9_secrets, language.op10_language])
 def test_empty_table(spark, run):

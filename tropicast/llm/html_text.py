@@ -2,7 +2,9 @@
 
 A page is read tag by tag into an open-element stack with implied ends (a paragraph ends where
 a block begins, a list item at the next item, a cell at the next cell or row, everything open at the end of
-its parent). Elements that are never shown, and those hidden by attribute or inline style, give nothing; everything
+its parent). Elements that are never shown, and those hidden by an attribute named hidden or by display or visibility in their inline
+style, give nothing (aria-hidden hides from screen readers only); drawings give their text elements, formulas all but their
+annotations, a drop-down list the option it shows and any other list all options; everything
 else gives its text: blocks on lines of their own, paragraphs and headings set off by an empty line, list
 items behind a dash or a number and indented by depth, preformatted text as it is, and
 the cells of a table in aligned columns.
@@ -28,7 +30,11 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title meta link template noscript noembed noframes iframe datalist object audio "
-                   "video canvas svg math textarea select".split())
+                   "video canvas annotation annotation-xml".split())
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())  # in svg
+# Tags that end an open svg or math element
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol "
+                     "p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCKS = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul search "
                    "caption thead tbody tfoot tr".split())
@@ -48,20 +54,35 @@ P_LIMITS = frozenset("td th caption table button object html".split())
 P_ENDERS = BLOCKS - frozenset("body html caption thead tbody tfoot tr legend".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true", re.I)
-_STYLE = re.compile(r"style\s*=\s*(\"[^\"]*\"|'[^']*'|\S+)", re.I)
-_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_HIDDEN_INPUT = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
-_NUMBER = re.compile(r"(?:start|value)\s*=\s*[\"']?(-?\d+)", re.I)
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d+)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_INTEGER = re.compile(r"\s*([-+]?\d+)")
 MAX_SPAN = 1000  # the standard's own limit
 
 
-def _hidden(attributes: str) -> bool:
+def _parsed(attributes: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _integer(value: str | None) -> int | None:
+    found = _INTEGER.match(value or "")
+    return int(found[1]) if found else None
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
     if not attributes:
         return False
-    style = _STYLE.search(attributes)
-    return bool(_HIDDEN.search(_STYLE.sub(" ", attributes)) or style and _UNSHOWN.search(style[1]))
+    style: dict[str, str] = {}
+    for part in re.sub(r"/\*.*?\*/", "", attributes.get("style", ""), flags=re.S).split(";"):
+        name, _, value = part.partition(":")
+        style[name.strip().lower()] = value.lower().replace("!important", "").strip()
+    if style.get("visibility") in ("hidden", "collapse"):
+        return True
+    # a display of its own outweighs the attribute
+    return style["display"] == "none" if style.get("display") else "hidden" in attributes
 
 
 class _Flow:
@@ -129,6 +150,8 @@ class _Renderer:
         self.tables: list[_Table] = []
         self.lists: list[list] = []  # kind, next number
         self.pre = 0
+        self.foreign = 0  # open svg and math elements
+        self.selects: list[tuple[bool, list[list]]] = []  # whether all options show; selected, disabled, label, text of each
 
     @property
     def shown(self) -> bool:
@@ -142,6 +165,12 @@ class _Renderer:
             return
         flow = self.flows[-1]
         value = html.unescape(raw) if "&" in raw else raw
+        if self.selects:
+            if self.inside("option", "select") == "option" and self.selects[-1][1]:
+                self.selects[-1][1][-1][3] += value
+            return
+        if self.foreign and self.inside("svg", "text", "foreignobject") == "svg":
+            return
         if self.pre:
             flow.flush(self.indent())
             rows = value.expandtabs(8).split("\n")
@@ -152,13 +181,22 @@ class _Renderer:
         else:
             flow.inline.append(" ".join(value.split("\n")) if "\n" in value else value)
 
-    def start(self, name: str, attributes: str) -> None:
+    def inside(self, *names: str) -> str | None:
+        """The innermost open element of ``names``."""
+        return next((n for n, _ in reversed(self.stack) if n in names), None)
+
+    def start(self, name: str, written: str) -> None:
+        attributes = _parsed(written) if written else {}
+        within = self.inside("svg", "math", "foreignobject") if self.foreign else None
+        if within in ("svg", "math") and name in BREAKOUT:
+            self.end_open((within,), ())
+            within = None
         if name in ENDS:
             ended, limits = ENDS[name]
             self.end_open(ended, limits)
         if name in P_ENDERS:
             self.end_open(("p",), P_LIMITS)
-        shown = self.shown and name not in UNSEEN and not _hidden(attributes)
+        shown = self.shown and name not in UNSEEN and not _hidden(attributes) and not (within == "svg" and name in UNDRAWN)
         flow = self.flows[-1]
         if name == "br":
             if shown:
@@ -169,20 +207,32 @@ class _Renderer:
                 flow.flush(self.indent())
                 flow.gap = True
             return
+        if (within in ("svg", "math") or name in ("svg", "math")) and written.endswith("/"):
+            return
         self.stack.append((name, shown))
+        self.foreign += name in ("svg", "math")
         if not shown:
             return
+        if name == "select":
+            self.selects.append(("multiple" in attributes or (_integer(attributes.get("size")) or 1) > 1, []))
+        elif name == "option" and self.selects:
+            self.selects[-1][1].append(["selected" in attributes, "disabled" in attributes, attributes.get("label", ""), ""])
+        elif name == "textarea" or name == "text" and within == "svg":
+            flow.flush(self.indent())
+            self.pre += name == "textarea"
+        elif name in ("mtr", "mtd") and within == "math":
+            flow.inline.append("\n" if name == "mtr" else " ")
         if name in BLOCKS:
             flow.flush(self.indent())
             flow.gap |= name in SPACED and not (name in ("ul", "ol") and self.lists)
         if name in ("ul", "ol", "menu"):
-            begin = _NUMBER.search(attributes)
-            self.lists.append([name, int(begin[1]) if begin else 1])
+            begin = _integer(attributes.get("start"))
+            self.lists.append([name, 1 if begin is None else begin])
         elif name == "li":
             kind = self.lists[-1] if self.lists else ["ul", 1]
             if kind[0] == "ol":
-                value = _NUMBER.search(attributes)
-                kind[1] = int(value[1]) if value else kind[1]
+                value = _integer(attributes.get("value"))
+                kind[1] = kind[1] if value is None else value
                 flow.mark = f"{kind[1]}. "
                 kind[1] += 1
             else:
@@ -196,11 +246,11 @@ class _Renderer:
         elif name == "tr" and self.tables:
             self.tables[-1].rows.append([])
         elif name in ("td", "th", "caption") and self.tables:
-            span = _SPAN.search(attributes)
+            span = _integer(attributes.get("colspan"))
             self.flows.append(_Flow())
             self.stack[-1] = (name, True)
             self.spans = getattr(self, "spans", [])
-            self.spans.append(min(MAX_SPAN, max(1, int(span[1]))) if span else 1)
+            self.spans.append(min(MAX_SPAN, max(1, span or 1)))
 
     def end_open(self, names: tuple, limits) -> None:
         """End the innermost open element of ``names``, with all inside it, if no limit stands between."""
@@ -230,9 +280,18 @@ class _Renderer:
     def close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             name, shown = self.stack.pop()
+            self.foreign -= name in ("svg", "math")
             if not shown:
                 continue
             flow = self.flows[-1]
+            if name == "select":
+                every, options = self.selects.pop()
+                if not every:
+                    options = ([o for o in options if o[0]] or [o for o in options if not o[1]][:1])[-1:]
+                flow.inline.append("\n".join(" ".join((o[2] or o[3]).split()) for o in options))
+            elif name == "textarea" or name == "text" and self.inside("svg", "foreignobject") == "svg":
+                flow.flush(self.indent())
+                self.pre -= name == "textarea"
             if name in ("td", "th", "caption") and self.tables and len(self.flows) > 1:
                 flow.flush()
                 self.flows.pop()
@@ -287,7 +346,8 @@ def render(page: str) -> str:
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             stop = close.start() if close else size
-            out.text(page[at:stop])
+            # the line end after the tag is not part of a text field
+            out.text(re.sub(r"\A\r?\n", "", page[at:stop]) if name == "textarea" else page[at:stop])
             if not close:
                 break
             at = stop
