@@ -39,7 +39,7 @@ def test_oracle(spark, key):
 
 @pytest.mark.parametrize("key", sorted(set(registry.queries()) - set(registry.oracles())))
 def test_rows(spark, key):
-    table = {"op2_ann": "embeddings", "op8_html": "pages"}.get(key, "documents")
+    table = {"op2_ann": "embeddings", "op8_html": "pages", "op11_whitening": "embeddings"}.get(key, "documents")
     rows = spark.read.parquet(f"{SF}/{table}.parquet").count()
     got = registry.queries()[key](spark, SF).count()
     assert got >= rows if key not in ("op2_ann",) else got == 5 * -(-rows // 50)

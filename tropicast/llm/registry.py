@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_search, html_text, language, mixing, packing, quality, scoring, secrets, simhash, syncmers
+from . import (exact_dedup, filter_audit, graph_search, html_text, language, mixing, packing, quality, scoring, secrets, simhash,
+               syncmers, whitening)
 from .common import table
 
 
@@ -26,8 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": _over("pages", html_text.op8_html),
         "op9_secrets": _over("documents", secrets.op9_secrets),
         "op10_language": _over("documents", language.op10_language),
+        "op11_whitening": _over("embeddings", whitening.op11_whitening),
+        "op12_exact_dedup": _over("documents", exact_dedup.op12_exact_dedup),
+        "op13_filter_audit": _over("documents", filter_audit.op13_filter_audit, "labels"),
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op9_secrets": secrets.ORACLE}
+    return {"op9_secrets": secrets.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
