@@ -8,6 +8,9 @@ the held-out part.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
@@ -17,6 +20,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sampling import uniform
 from ..session import cut
 from .folds import DECADES, fold_of, segments, train_folds
 
@@ -152,27 +156,51 @@ def training_rows(features: DataFrame, n_segments: int, edges=DECADES) -> DataFr
     return segments(rows, n_segments, ("lead", "fold"))
 
 
-def mean_ensemble(features: DataFrame, n_segments: int = 5, ridge: float = 1.0, edges=DECADES) -> DataFrame:
-    """``lead, fold, segment, coef``: one member per held-out segment."""
-    products = cut(cross_products(training_rows(features, n_segments, edges), ["lead", "fold", "segment"]))
-    return solve(others(products, "segment", ["lead", "fold"]), ridge=ridge)
+def with_members(rows: DataFrame, n_members: int, seed: int = 0) -> DataFrame:
+    """Rows once per member, with the weight ``w`` the member gives them.
+
+    Member 0 weighs all rows alike; the others draw exponential weights from the fold, the member and the
+    month (a Bayesian bootstrap), so members of one segment differ although their fit is exact.
+    """
+    rows = rows.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(n_members - 1))))
+    drawn = -F.log(1.0 - uniform("fold", "member", "m", seed=seed))
+    return rows.withColumn("w", F.when(F.col("member") == 0, F.lit(1.0)).otherwise(drawn))
+
+
+def member_rows(features: DataFrame, n_segments: int, n_members: int = 1, edges=DECADES, seed: int = 0) -> DataFrame:
+    """Rows once per (fold, segment, member) they train: all but those of the segment left out."""
+    rows = training_rows(features, n_segments, edges).withColumnRenamed("segment", "_own")
+    rows = rows.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(n_segments - 1))))
+    rows = rows.where(F.col("_own").isNull() | (F.col("_own") != F.col("segment"))).drop("_own")
+    return with_members(rows, n_members, seed)
 
 
-def gaussian_ensemble(features: DataFrame, n_segments: int = 5, ridge: float = 1.0, edges=DECADES) -> DataFrame:
-    """``lead, fold, segment, coef, coef_std``: mean, then log squared residual on the same rows.
+def mean_ensemble(features: DataFrame, n_segments: int = 5, ridge: float = 1.0, edges=DECADES, n_members: int = 1,
+                  seed: int = 0) -> DataFrame:
+    """``lead, fold, segment, member, coef``: ``n_members`` for every held-out segment.
+
+    A member's weights do not depend on the segment, so its products are totals minus the segment's.
+    """
+    rows = with_members(training_rows(features, n_segments, edges), n_members, seed)
+    products = cut(cross_products(rows, ["lead", "fold", "segment", "member"], weight="w"))
+    return solve(others(products, "segment", ["lead", "fold", "member"]), ridge=ridge)
+
+
+def gaussian_ensemble(features: DataFrame, n_segments: int = 5, ridge: float = 1.0, edges=DECADES, n_members: int = 1,
+                      seed: int = 0) -> DataFrame:
+    """``lead, fold, segment, member, coef, coef_std``: mean, then log squared residual on the same rows.
 
     The log of a squared standard normal has mean -1.2704, which is added back when the
     second model is turned into a spread.
     """
-    rows = training_rows(features, n_segments, edges)
-    means = cut(mean_ensemble(features, n_segments, ridge, edges))
-    held = rows.withColumnRenamed("segment", "_seg").join(means, ["lead", "fold"])
-    held = held.where(F.col("_seg").isNull() | (F.col("_seg") != F.col("segment")))
+    keys = ["lead", "fold", "segment", "member"]
+    means = cut(mean_ensemble(features, n_segments, ridge, edges, n_members, seed))
+    held = member_rows(features, n_segments, n_members, edges, seed).join(means, keys)
     e = F.col("y") - linear()
-    logs = held.select("lead", "fold", "segment", "x", F.log(e * e + 1e-6).alias("y"))
-    spread = solve(cross_products(logs, ["lead", "fold", "segment"]), ridge=ridge)
+    logs = held.select(*keys, "x", F.log(e * e + 1e-6).alias("y"), "w")
+    spread = solve(cross_products(logs, keys, weight="w"), ridge=ridge)
     spread = spread.withColumnRenamed("coef", "coef_std")
-    return means.join(spread, ["lead", "fold", "segment"])
+    return means.join(spread, keys)
 
 
 LOG_CHI2_MEAN = -1.2703628454614782  # mean of log of a chi-square with one degree
@@ -184,7 +212,7 @@ def predict_members(features: DataFrame, models: DataFrame, edges=DECADES) -> Da
     out = [linear().alias("mean")]
     if "coef_std" in models.columns:
         out.append(F.exp(0.5 * (linear(coef="coef_std") - LOG_CHI2_MEAN)).alias("std"))
-    return rows.select("lead", "fold", F.col("m_target").alias("m"), "target_season", "segment", "y", *out)
+    return rows.select("lead", "fold", F.col("m_target").alias("m"), "target_season", "segment", "member", "y", *out)
 
 
 def hindcast(features: DataFrame, models: DataFrame, edges=DECADES, first: str | None = None) -> DataFrame:
@@ -379,28 +407,80 @@ def field_forecast(field: DataFrame, lead, k: int = 3, shift: int = 3, ridge: fl
 
 class _ForecastParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     ridge = Param(Params._dummy(), "ridge", "quadratic penalty", TypeConverters.toFloat)
+    labelCols = Param(Params._dummy(), "labelCols", "label columns, one per output (labelCol alone if empty)", TypeConverters.toListString)
     outputNames = Param(Params._dummy(), "outputNames", "names of the outputs", TypeConverters.toListString)
-    coefficients = Param(Params._dummy(), "coefficients", "fitted, intercept first", TypeConverters.toListFloat)
+    ranges = Param(Params._dummy(), "ranges", "search ranges by argument, as JSON", TypeConverters.toString)
+    nIter = Param(Params._dummy(), "nIter", "candidates of a search", TypeConverters.toInt)
+    nSegments = Param(Params._dummy(), "nSegments", "blocks left out in turn to rate a candidate", TypeConverters.toInt)
+    orderCol = Param(Params._dummy(), "orderCol", "column the blocks are contiguous in", TypeConverters.toString)
+    seed = Param(Params._dummy(), "seed", "seed of the search", TypeConverters.toInt)
+    coefficients = Param(Params._dummy(), "coefficients", "fitted, intercept first, output by output", TypeConverters.toListFloat)
+    meanValLoss = Param(Params._dummy(), "meanValLoss", "mean squared error on the blocks left out", TypeConverters.toFloat)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(ridge=1.0, outputNames=["mean"], featuresCol="x", labelCol="y", predictionCol="mean")
+        self._setDefault(ridge=1.0, labelCols=[], outputNames=["mean"], ranges="{}", nIter=10, nSegments=5, orderCol="m", seed=0,
+                         featuresCol="x", labelCol="y", predictionCol="mean", meanValLoss=float("nan"))
+
+    @property
+    def labels(self) -> list:
+        return self.getOrDefault("labelCols") or [self.getLabelCol()]
+
+    @property
+    def n_outputs(self) -> int:
+        return len(self.getOrDefault("outputNames"))
+
+    @property
+    def output_names(self) -> list:
+        return self.getOrDefault("outputNames")
 
 
 class LinearForecast(Estimator, _ForecastParams):
-    """Estimator with named outputs; any feature table with an array column works."""
+    """Estimator with named outputs, all from one solve; any feature table with an array column works.
+
+    A tuple or list as ``ridge`` (low, high[, kind]) is a search range: ``nIter`` random candidates are rated on ``nSegments``
+    contiguous blocks left out in turn, and the best is fitted to all rows. Rows without all labels are left out.
+    """
 
     @keyword_only
-    def __init__(self, ridge: float = 1.0, featuresCol: str = "x", labelCol: str = "y"):
+    def __init__(self, ridge=1.0, featuresCol: str = "x", labelCol: str = "y", labelCols: list | None = None,
+                 outputNames: list | None = None, nIter: int = 10, nSegments: int = 5, orderCol: str = "m", seed: int = 0):
         super().__init__()
-        self._set(**self._input_kwargs)
+        given = {k: v for k, v in self._input_kwargs.items() if v is not None}
+        if isinstance(given.get("ridge"), (tuple, list)):
+            given["ranges"] = json.dumps({"ridge": list(given.pop("ridge"))})
+        self._set(**given)
+        if len(self.labels) != self.n_outputs:
+            raise ValueError(f"{len(self.labels)} labels for {self.n_outputs} outputs")
 
     def _fit(self, dataset: DataFrame) -> "LinearForecastModel":
-        rows = dataset.withColumn("_all", F.lit(0))
-        products = cross_products(rows, ["_all"], self.getFeaturesCol(), self.getLabelCol())
-        coef = solve(products, ridge=self.getOrDefault("ridge")).first().coef
+        from . import search, tuning
+
+        labels, outputs = [F.col(c).cast("double") for c in self.labels], self.n_outputs
+        complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in labels])
+        rows = dataset.where(complete).withColumn("_all", F.lit(0))
+        # the labels before the last ride with the features: their products are in the same matrix
+        z = F.concat(F.col(self.getFeaturesCol()).cast("array<double>"), F.array(*labels[:-1]).cast("array<double>"))
+        space = {k: tuple(v) for k, v in json.loads(self.getOrDefault("ranges")).items()}
+        if space:
+            rows = segments(rows, self.getOrDefault("nSegments"), ("_all",), self.getOrDefault("orderCol"))
+        else:
+            rows = rows.withColumn("segment", F.lit(None).cast("int"))
+        products = cut(cross_products(rows.select("_all", "segment", z.alias("_z"), labels[-1].alias("_y")), ["_all", "segment"], "_z", "_y"))
         model = LinearForecastModel()
-        model._set(coefficients=list(coef), featuresCol=self.getFeaturesCol(), outputNames=self.getOrDefault("outputNames"))
+        for name in ("featuresCol", "labelCol", "labelCols", "outputNames", "orderCol"):
+            model._set(**{name: self.getOrDefault(name)})
+        whole = sum_arrays(products, ["_all"], "g").select("_all", F.col("g").alias("train"), F.lit(None).cast("array<double>").alias("held"))
+        chosen = dataset.sparkSession.createDataFrame([(0, self.getOrDefault("ridge"))], "_all int, ridge double")
+        if space:
+            candidates = cut(search.random_candidates(chosen.select("_all"), space, self.getOrDefault("nIter"), self.getOrDefault("seed")))
+            rated = tuning.solved(tuning.split_products(products, "segment", ["_all"]), candidates, outputs)
+            losses = rated.groupBy("candidate").agg(F.avg("loss").alias("loss"))
+            best = search.best_candidate(losses)
+            chosen = candidates.join(best, "candidate")
+            model._set(meanValLoss=best.first()["loss"])
+        row = tuning.solved(whole, chosen, outputs).select("ridge", "coef").first()
+        model._set(coefficients=list(row["coef"]), ridge=row["ridge"])
         return model
 
 
@@ -409,9 +489,21 @@ class LinearForecastModel(Model, _ForecastParams):
         super().__init__()
 
     @property
-    def n_outputs(self) -> int:
-        return len(self.getOrDefault("outputNames"))
+    def mean_val_loss(self) -> float:
+        """Mean squared error of the chosen candidate on the blocks left out; NaN without a search."""
+        return self.getOrDefault("meanValLoss")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        coef = F.array(*[F.lit(c) for c in self.getOrDefault("coefficients")])
-        return dataset.withColumn(self.getOrDefault("outputNames")[0], linear(self.getFeaturesCol(), coef))
+        values, names = self.getOrDefault("coefficients"), self.output_names
+        size = len(values) // len(names)
+        coefs = [F.lit(values[i * size:(i + 1) * size]) for i in range(len(names))]
+        return dataset.withColumns({n: linear(self.getFeaturesCol(), c) for n, c in zip(names, coefs, strict=True)})
+
+    def predict(self, dataset: DataFrame) -> DataFrame:
+        return self.transform(dataset)
+
+    def evaluate(self, dataset: DataFrame) -> dict:
+        """Root mean squared error of each output over the rows that have its label."""
+        scored = self.transform(dataset)
+        errors = [F.sqrt(F.avg((F.col(label) - F.col(name)) ** 2)).alias(name) for label, name in zip(self.labels, self.output_names, strict=True)]
+        return scored.agg(*errors).first().asDict()

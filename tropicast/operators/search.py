@@ -89,27 +89,33 @@ def mutate(name: str, spec, value: Column, *identity, strength: float = 0.02, se
     return F.least(F.greatest(moved, F.lit(low)), F.lit(high))
 
 
-def next_generation(population: DataFrame, space: dict, n_survivors: int, n_offspring: int, n_new: int,
-                    strength: float = 0.02, seed: int = 0) -> DataFrame:
-    """Mutated clones of the survivors, mutated gene-wise offspring and random newcomers.
+def breed(population: DataFrame, space: dict, n_survivors: int, n_offspring: int, n_new: int, keys=(),
+          strength: float = 0.02, seed: int = 0) -> DataFrame:
+    """``keys, kind, i`` and genes: mutated clones of the survivors, mutated gene-wise offspring and random newcomers.
 
-    ``population`` has ``id, score`` and one column per gene. The survivors (k rows) sit in
-    one array that every offspring picks its genes from.
+    ``population`` has ``keys, id, score`` and one column per gene. Every gene of a child names the rank of the survivor it
+    comes from and finds it in a join on key and rank, so survivors are rows, however many there are.
     """
-    genes = list(space)
-    best = survivors(population, n_survivors)
-    pool = best.agg(F.array_sort(F.collect_list(F.struct("rank", "id", *genes))).alias("pool"))
+    keys, genes = list(keys), list(space)
+    order = Window.partitionBy(*keys).orderBy("score", "id") if keys else Window.orderBy("score", "id")
+    best = population.withColumn("_rank", F.row_number().over(order) - 1).where(F.col("_rank") < n_survivors)
+    counts = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n")) for kind, n in
                       (("clone", n_survivors), ("offspring", n_offspring), ("new", n_new)) if n])
-    rows = pool.select("pool", F.explode(kinds).alias("k"))
-    rows = rows.select("pool", F.col("k.kind").alias("kind"), F.explode(F.sequence(F.lit(0), F.col("k.n") - 1)).alias("i"))
-
-    def bred(name, spec):
-        parent = F.when(F.col("kind") == "clone", F.col("i")).otherwise(
-            pick(F.size("pool"), "kind", "i", F.lit(name), F.lit("parent"), seed=seed)
-        )
-        inherited = F.get("pool", parent)[name]
-        child = mutate(name, spec, inherited, "kind", "i", strength=strength, seed=seed)
-        return F.when(F.col("kind") == "new", gene(name, spec, "kind", "i", seed=seed)).otherwise(child)
-
-    return rows.select("kind", "i", *[bred(n, s).alias(n) for n, s in space.items()])
+    rows = counts.select(*keys, "_n", F.explode(kinds).alias("k"))
+    rows = rows.select(*keys, "_n", "k.kind", F.explode(F.sequence(F.lit(0), F.col("k.n") - 1)).alias("i"))
+    ids = [*keys, "kind", "i"]
+    wanted = rows.where("kind <> 'new'").withColumn("_gene", F.explode(F.array(*[F.lit(g) for g in genes])))
+    drawn = pick(F.col("_n"), *ids, "_gene", F.lit("parent"), seed=seed)
+    wanted = wanted.withColumn("_rank", F.when(F.col("kind") == "clone", F.col("i")).otherwise(drawn))
+    found = wanted.join(best.select(*keys, "_rank", *genes), [*keys, "_rank"])
+    parents = found.groupBy(*ids).agg(*[F.max(F.when(F.col("_gene") == g, F.col(g))).alias(g) for g in genes])
+    children = parents.select(*ids, *[mutate(n, s, F.col(n), *ids, strength=strength, seed=seed).alias(n) for n, s in space.items()])
+    fresh = rows.where("kind = 'new'").select(*ids, *[gene(n, s, *ids, seed=seed).alias(n) for n, s in space.items()])
+    return children.unionByName(fresh)
+
+
+def next_generation(population: DataFrame, space: dict, n_survivors: int, n_offspring: int, n_new: int,
+                    strength: float = 0.02, seed: int = 0) -> DataFrame:
+    """One population without keys: see ``breed``."""
+    return breed(population, space, n_survivors, n_offspring, n_new, (), strength, seed)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sampling import uniform
-from ..operators import ensemble, eof, features, folds, lagged, learners, search, verify, windows
+from ..functions.stats import pearson
+from ..operators import ensemble, eof, features, folds, lagged, learners, search, skewed, tuning, verify, windows
 from ..session import cut, scratch_path
+from ..sources.models import ModelRegistry
 from .fields import anomalies
 from .registry import query, r, rounded
 from .views import EDGES, LEADS, Views
@@ -140,36 +141,102 @@ def v4(v: Views):
     return rounded(search.best_candidate(history, ("lead",)), "loss")
 
 
-GENES = {"damping": (0.0, 1.2), "shrink": (0.0, 1.0), "window": (2, 24), "inputs": (PREDICTORS, 2)}
-
-
-@query("v5")
+@query("v4_search")
+def v4_search(v: Views):
+    """Random search over inputs and penalties per lead and fold, refitted and scored on the decades left out."""
+    table = cut(feature_table(v))
+    space = {"inputs": (list(range(3 * len(PREDICTORS))), 4), "ridge": (0.01, 100.0, "log")}
+    _, models = tuning.random_search(table, space, 40, 5, EDGES)
+    hindcast = tuning.ensemble_hindcast(table, models, EDGES)
+    scored = hindcast.groupBy("lead").agg(F.count("y").alias("n"), verify.rmse().alias("rmse"), pearson("y", "mean").alias("r"))
+    return rounded(scored, "rmse", "r")
+
+
+# each segment's ridge regression on the other segments of the training years, one predictor
+SEGMENTS_SQL = f"""t AS (SELECT lead, m, m_target, {FOLD_SQL} AS own, y, y_persistence AS x FROM ({M1_SQL})),
+    e AS (SELECT unnest([1995, 1997, 1999, 2001])::INT AS fold),
+    n AS (SELECT t.*, e.fold, row_number() OVER (PARTITION BY lead, fold ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY lead, fold) AS n FROM t, e WHERE own IS NULL OR own <> fold),
+    g AS (SELECT *, CASE WHEN i // (n // 5) < 5 THEN (i // (n // 5))::INT END AS seg FROM n),
+    k AS (SELECT unnest([0, 1, 2, 3, 4])::INT AS segment)"""
+
+
+@query("v4_refit", f"""WITH {SEGMENTS_SQL},
+    s AS (SELECT lead, fold, segment, covar_pop(y, x) * count(*) AS xy, var_pop(x) * count(*) AS xx, avg(x) AS mx, avg(y) AS my FROM g, k WHERE seg IS NULL OR seg <> segment GROUP BY 1, 2, 3),
+    c AS (SELECT lead, fold, candidate, {_u('lead', 'fold', 'candidate', "'ridge'")} * 200e0 AS ridge FROM (SELECT DISTINCT lead, fold FROM g), (SELECT unnest(range(0, 30))::INT AS candidate)),
+    b AS (SELECT s.lead, s.fold, segment, candidate, xy / (xx + ridge) AS b, my - xy / (xx + ridge) * mx AS a FROM s JOIN c ON c.lead = s.lead AND c.fold = s.fold),
+    l AS (SELECT b.lead, b.fold, candidate, segment, avg((y - a - b * x)^2) AS loss FROM b JOIN g ON g.lead = b.lead AND g.fold = b.fold AND g.seg = b.segment GROUP BY 1, 2, 3, 4),
+    h AS (SELECT lead, fold, min_by(candidate, loss) AS candidate FROM (SELECT lead, fold, candidate, avg(loss) AS loss FROM l GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT t.lead, t.own AS fold, h.candidate, t.m_target AS m, any_value(y) AS y, round(avg(a + b * x), 6) + 0e0 AS mean
+    FROM t JOIN h ON h.lead = t.lead AND h.fold = t.own JOIN b ON b.lead = h.lead AND b.fold = h.fold AND b.candidate = h.candidate GROUP BY 1, 2, 3, 4""")
+def v4_refit(v: Views):
+    """Search of the penalty on one predictor; the best candidate's members, fitted again, forecast their decade."""
+    table = cut(feature_table(v).withColumn("x", F.array("y_persistence")))
+    _, models = tuning.random_search(table, {"ridge": (0.0, 200.0)}, 30, 5, EDGES)
+    best = models.select("lead", "fold", "candidate").distinct()
+    out = tuning.ensemble_hindcast(table, models, EDGES).join(best, ["lead", "fold"])
+    return out.select("lead", "fold", "candidate", "m", "y", r("mean").alias("mean"))
+
+
+GENES = {"inputs": (PREDICTORS, 2), "lag": (0, 2), "ridge": (0.0, 20.0)}
+SURVIVORS, OFFSPRING, NEWCOMERS = 10, 12, 8
+IDS = {"clone": 0, "offspring": SURVIVORS, "new": SURVIVORS + OFFSPRING}
+
+
+def _random_genes(seed: int, *ids: str) -> str:
+    """Columns of random genes, as SQL."""
+    items = ", ".join(f"{{'u': {_u(*ids, repr('inputs'), repr(str(i)), seed=seed)}, 'v': '{p}'}}" for i, p in enumerate(PREDICTORS))
+    return (f"list_transform(list_sort([{items}])[1:2], lambda s: s.v) AS inputs, floor({_u(*ids, repr('lag'), seed=seed)} * 3)::INT AS lag, "
+            f"{_u(*ids, repr('ridge'), seed=seed)} * 20e0 AS ridge")
+
+
+def _mutated(seed: int, *ids: str) -> str:
+    """Columns of mutated genes, as SQL: one input swapped, lag and ridge moved by up to a fiftieth of their range and clamped."""
+    swap = f"list_filter({PREDICTORS}, lambda p: NOT list_contains(inputs, p))[1]"
+    at = f"floor({_u(*ids, repr('inputs'), repr('at'), seed=seed)} * 2)::INT"
+    moved = {name: f"{name} + {width}e0 * 0.02e0 * (2e0 * {_u(*ids, repr(name), seed=seed)} - 1e0)" for name, width in (("lag", 2), ("ridge", 20))}
+    return (f"CASE WHEN {at} = 0 THEN [{swap}, inputs[2]] ELSE [inputs[1], {swap}] END AS inputs, "
+            f"least(greatest(trunc({moved['lag']})::INT, 0), 2) AS lag, least(greatest({moved['ridge']}, 0e0), 20e0) AS ridge")
+
+
+def _rated(population: str) -> str:
+    """A population with the mean squared error of its ridge regressions on two inputs, by lead, as SQL."""
+    place = "list_position(['oni', 'wwv', 'iod'], inputs[{0}]) + 3 * lag"
+    return f"""SELECT lead, id, any_value(inputs) AS inputs, any_value(lag) AS lag, any_value(ridge) AS ridge, avg(loss) AS score FROM (
+        SELECT f.lead, f.id, f.fold, any_value(f.inputs) AS inputs, any_value(f.lag) AS lag, any_value(f.ridge) AS ridge, avg((y - my - b1 * (x1 - m1) - b2 * (x2 - m2))^2) AS loss
+        FROM (SELECT lead, id, fold, inputs, lag, ridge, m1, m2, my, ((c22 + ridge) * c1 - c12 * c2) / ((c11 + ridge) * (c22 + ridge) - c12 * c12) AS b1,
+                ((c11 + ridge) * c2 - c12 * c1) / ((c11 + ridge) * (c22 + ridge) - c12 * c12) AS b2
+            FROM (SELECT p.lead, id, e.fold, any_value(inputs) AS inputs, any_value(lag) AS lag, any_value(ridge) AS ridge, avg(x[{place.format(1)}]) AS m1, avg(x[{place.format(2)}]) AS m2, avg(y) AS my,
+                    var_pop(x[{place.format(1)}]) * count(*) AS c11, var_pop(x[{place.format(2)}]) * count(*) AS c22, covar_pop(x[{place.format(1)}], x[{place.format(2)}]) * count(*) AS c12,
+                    covar_pop(x[{place.format(1)}], y) * count(*) AS c1, covar_pop(x[{place.format(2)}], y) * count(*) AS c2
+                FROM {population} p JOIN t ON t.lead = p.lead, e WHERE t.own IS NULL OR t.own <> e.fold GROUP BY 1, 2, 3)) f
+        JOIN (SELECT t.lead, t.own, y, id, x[{place.format(1)}] AS x1, x[{place.format(2)}] AS x2 FROM {population} p JOIN t ON t.lead = p.lead) h ON h.lead = f.lead AND h.id = f.id AND h.own = f.fold
+        GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+def _bred(population: str, generation: int) -> str:
+    """Clones, offspring and newcomers of a rated population, as SQL."""
+    size = SURVIVORS + OFFSPRING + NEWCOMERS
+    parent = {g: f"floor({_u('lead', repr('offspring'), 'i', repr(g), repr('parent'), seed=generation)} * {SURVIVORS})::INT" for g in GENES}
+    ranked = f"(SELECT *, row_number() OVER (PARTITION BY lead ORDER BY score, id) - 1 AS rank FROM {population})"
+    joins = " ".join(f"JOIN {ranked} j_{g} ON j_{g}.lead = o.lead AND j_{g}.rank = o.p_{g}" for g in GENES)
+    return f"""SELECT lead, (i + {generation * size})::INT AS id, {_mutated(generation, 'lead', "'clone'", 'i')} FROM (SELECT *, rank AS i FROM {ranked} WHERE rank < {SURVIVORS})
+        UNION ALL SELECT lead, (i + {generation * size + IDS['offspring']})::INT, {_mutated(generation, 'lead', "'offspring'", 'i')} FROM (
+            SELECT o.lead, i, {', '.join(f'j_{g}.{g}' for g in GENES)} FROM (SELECT lead, i, {', '.join(f'{p} AS p_{g}' for g, p in parent.items())}
+                FROM (SELECT DISTINCT lead FROM t), (SELECT unnest(range(0, {OFFSPRING}))::INT AS i)) o {joins})
+        UNION ALL SELECT lead, (i + {generation * size + IDS['new']})::INT, {_random_genes(generation, 'lead', "'new'", 'i')} FROM (SELECT DISTINCT lead FROM t), (SELECT unnest(range(0, {NEWCOMERS}))::INT AS i)"""
+
+
+@query("v5", f"""WITH t AS MATERIALIZED (SELECT lead, {FOLD_SQL} AS own, x, y FROM ({M1_SQL})), e AS (SELECT unnest([1995, 1997, 1999, 2001])::INT AS fold),
+    p0 AS MATERIALIZED (SELECT lead, id, {_random_genes(0, 'lead', 'id')} FROM (SELECT DISTINCT lead FROM t), (SELECT unnest(range(0, 30))::INT AS id)), s0 AS MATERIALIZED ({_rated('p0')}),
+    p1 AS MATERIALIZED ({_bred('s0', 1)}), s1 AS MATERIALIZED ({_rated('p1')}), p2 AS MATERIALIZED ({_bred('s1', 2)})
+    SELECT lead, id, array_to_string(inputs, ',') AS inputs, lag, round(ridge, 6) + 0e0 AS ridge, round(score, 6) + 0e0 AS score FROM ({_rated('p2')})""")
 def v5(v: Views):
-    """Two generations of an evolutionary search scored on the folds."""
-    def scored(population):
-        rows = learners.with_fold(feature_table(v, leads=(6,)), EDGES).where("fold is not null")
-        y, p = F.col("y"), F.col("y_persistence")
-        sums = rows.agg(F.struct(F.avg(y * y).alias("yy"), F.avg(y * p).alias("yp"), F.avg(p * p).alias("pp"), F.avg(y).alias("y"), F.avg(p).alias("p")).alias("s"))
-        a, c = F.col("damping"), F.col("shrink")
-        s = population.withColumn("_s", sums.scalar())
-        loss = F.col("_s.yy") + a * a * F.col("_s.pp") + c * c - 2.0 * a * F.col("_s.yp") - 2.0 * c * F.col("_s.y") + 2.0 * a * c * F.col("_s.p")
-        return s.withColumn("score", loss + 0.001 * F.col("window")).drop("_s")
-
-    months = v.idx.select("m")
-    first = search.random_candidates(months, GENES, 2).select(
-        F.row_number().over(_by("m", "candidate")).alias("id"), *GENES)
-    population = cut(scored(first))
-    for seed in (1, 2):
-        bred = search.next_generation(population, GENES, 10, 20, 10, seed=seed)
-        population = cut(scored(bred.select((F.row_number().over(_by("kind", "i")) + 1000 * seed).alias("id"), *GENES)))
-    return rounded(population.select("id", "damping", "shrink", "window", "score"), "damping", "shrink", "score")
-
-
-def _by(*columns):
-    from pyspark.sql import Window
-
-    # candidates are counted in tens
-    return Window.orderBy(*columns)
+    """Two generations of an evolutionary search per lead, over inputs, their lag and the penalty, rated on the folds."""
+    products = tuning.fold_products(feature_table(v), EDGES)
+    names = F.array(*[F.lit(p) for p in PREDICTORS])
+    inputs = F.transform("inputs", lambda p: (F.array_position(names, p) - 1 + len(PREDICTORS) * F.col("lag")).cast("int"))
+    out = tuning.evolve(products, GENES, inputs, SURVIVORS, OFFSPRING, NEWCOMERS, 2)
+    return rounded(out.select("lead", "id", F.concat_ws(",", "inputs").alias("inputs"), "lag", "ridge", "score"), "ridge", "score")
 
 
 @query("v6", f"""SELECT DISTINCT lead, fold FROM (SELECT lead, {FOLD_SQL} AS fold FROM ({M1_SQL})) WHERE fold IS NOT NULL AND NOT (lead <= 6 AND fold = 1997)""")
@@ -203,6 +270,19 @@ def r2(v: Views):
     return rounded(lagged.correlate(mean, "mean", "y", ["lead"]), "r", "p")
 
 
+@query("r2_members", f"""WITH {SEGMENTS_SQL},
+    w AS (SELECT g.*, member, CASE WHEN member = 0 THEN 1e0 ELSE -ln(1e0 - {_u('fold', 'member', 'm')}) END AS w FROM g, (SELECT unnest([0, 1, 2])::INT AS member)),
+    s AS (SELECT lead, fold, segment, member, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS b, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my
+        FROM w, k WHERE seg IS NULL OR seg <> segment GROUP BY 1, 2, 3, 4)
+    SELECT t.lead, t.m_target AS m, count(*) AS members, any_value(y) AS y, round(avg(my + b * (x - mx)), 6) + 0e0 AS mean FROM t JOIN s ON s.lead = t.lead AND s.fold = t.own GROUP BY 1, 2""")
+def r2_members(v: Views):
+    """Three members per segment left out, each with its own weights, averaged."""
+    table = cut(feature_table(v).withColumn("x", F.array("y_persistence")))
+    members = learners.predict_members(table, learners.mean_ensemble(table, 5, 0.0, EDGES, n_members=3), EDGES)
+    mean = members.groupBy("lead", "m").agg(F.count("mean").alias("members"), F.first("y").alias("y"), r(F.avg("mean")).alias("mean"))
+    return mean.select("lead", "m", "members", "y", "mean")
+
+
 def gaussian_hindcast(v: Views):
     table = cut(feature_table(v))
     members = learners.predict_members(table, learners.gaussian_ensemble(table, 5, edges=EDGES), EDGES)
@@ -216,6 +296,16 @@ def r3(v: Views):
     return rounded(scored, "r", "rmse", "srmse", "nll", "inside1")
 
 
+@query("r3_skewed")
+def r3_skewed(v: Views):
+    """Skewed-Gaussian members per lead, decade and segment; their mixture scored on the decades left out."""
+    table = cut(feature_table(v))
+    members = cut(skewed.predict(table, skewed.ensemble(table, 5, 1, EDGES, ridge=2.0), EDGES))
+    mixed = verify.match(skewed.mixture(members).withColumn("model", F.lit("skewed")), v.idx)
+    columns = [c for c in verify.score_columns()] + [F.avg(verify.nll_skewed("y", "location", "scale", "shape")).alias("nll_skewed")]
+    return rounded(mixed.groupBy("model", "lead").agg(*columns), "r", "rmse", "srmse", "nll", "inside1", "nll_skewed", digits=4)
+
+
 @query("r4")
 def r4(v: Views):
     """Quantile models per lead and fold; pinball loss of their hindcast."""
@@ -263,6 +353,30 @@ def r9(v: Views):
     return out.select("lead", "fold", "m", "y", r("mean").alias("mean"))
 
 
+@query("r9_registry", f"""WITH t AS (SELECT lead, m_target AS m, y, y_persistence AS p, {FOLD_SQL} AS fold FROM ({M1_SQL})),
+    s AS (SELECT f.lead, f.fold, regr_slope(t.y, t.p) AS a, regr_intercept(t.y, t.p) AS b FROM (SELECT DISTINCT lead, fold FROM t WHERE fold IS NOT NULL) f JOIN t ON t.lead = f.lead AND (t.fold IS NULL OR t.fold <> f.fold) GROUP BY 1, 2),
+    n AS (SELECT count(*) FILTER (WHERE lead < 9) AS n1, count(*) FILTER (WHERE lead >= 9) AS n2 FROM s)
+    SELECT t.lead, t.fold, CASE WHEN t.lead < 9 THEN n1 ELSE n2 END AS trained, t.m, y, round(a * p + b, 6) + 0e0 AS mean FROM t JOIN s ON s.lead = t.lead AND s.fold = t.fold, n""")
+def r9_registry(v: Views):
+    """A training that ends after some leads, its resumption, and the hindcast from the stored models.
+
+    ``trained`` is the number of tasks of the run that trained the model.
+    """
+    table = cut(feature_table(v).withColumn("x", F.array("y_persistence")))
+    products = tuning.fold_products(table, EDGES)
+    registry = ModelRegistry(v.spark, scratch_path(v.spark, "models"))
+
+    def learner(tasks):
+        return tuning.solved(products.join(tasks, ["lead", "fold"]), tasks).select("lead", "fold", "coef")
+
+    tasks = products.select("lead", "fold")
+    first = registry.train(tasks, "persistence", learner, [lead for lead in LEADS if lead < 9])
+    second = registry.train(tasks, "persistence", learner, LEADS)
+    out = learners.hindcast(table, registry.models("persistence").select("lead", "fold", "coef"), EDGES)
+    trained = F.when(F.col("lead") < 9, F.lit(first)).otherwise(F.lit(second)).cast("long")
+    return out.select("lead", "fold", trained.alias("trained"), "m", "y", r("mean").alias("mean"))
+
+
 @query("r10", "SELECT l.lead, a.m + l.lead + 3 AS m, b.value AS y, a.value AS mean FROM idx a, (SELECT unnest([0,3,6,9,12,15,18,21])::INT AS lead) l, idx b WHERE b.m = a.m + l.lead + 3")
 def r10(v: Views):
     out = windows.labels(v.idx, LEADS)
@@ -297,3 +411,23 @@ def u2(v: Views):
     learners.LinearForecast(ridge=0.0).fit(table).save(path)
     model = learners.LinearForecastModel.load(path)
     return model.transform(table).select(F.col("m_target").alias("m"), r("mean").alias("mean"))
+
+
+@query("u2_outputs", f"""WITH t AS (SELECT m, m_target, y, y * y AS q, y_persistence AS p FROM ({M1_SQL}) WHERE lead = 6),
+    g AS (SELECT *, CASE WHEN i // (n // 5) < 5 THEN i // (n // 5) END AS seg FROM (SELECT *, row_number() OVER (ORDER BY m) - 1 AS i, count(*) OVER () AS n FROM t)),
+    c AS (SELECT candidate, {_u("0", 'candidate', "'ridge'")} * 100e0 AS ridge FROM (SELECT unnest(range(0, 20))::INT AS candidate)),
+    s AS (SELECT segment, covar_pop(y, p) * count(*) AS yp, covar_pop(q, p) * count(*) AS qp, var_pop(p) * count(*) AS pp, avg(p) AS mp, avg(y) AS my, avg(q) AS mq
+        FROM g, (SELECT unnest([0, 1, 2, 3, 4]) AS segment) WHERE seg IS NULL OR seg <> segment GROUP BY 1),
+    l AS (SELECT candidate, ridge, segment, avg(((y - my - yp / (pp + ridge) * (p - mp))^2 + (q - mq - qp / (pp + ridge) * (p - mp))^2) / 2e0) AS loss FROM g JOIN s ON g.seg = s.segment, c GROUP BY 1, 2, 3),
+    b AS (SELECT min_by(ridge, loss) AS ridge, min(loss) AS loss FROM (SELECT candidate, ridge, avg(loss) AS loss FROM l GROUP BY 1, 2)),
+    f AS (SELECT ridge, loss, covar_pop(y, p) * count(*) / (var_pop(p) * count(*) + ridge) AS cy, covar_pop(q, p) * count(*) / (var_pop(p) * count(*) + ridge) AS cq, avg(p) AS mp, avg(y) AS my, avg(q) AS mq FROM t, b GROUP BY 1, 2)
+    SELECT m_target AS m, round(my + cy * (p - mp), 6) + 0e0 AS mean, round(mq + cq * (p - mp), 6) + 0e0 AS square, round(loss, 6) + 0e0 AS mean_val_loss FROM t, f""")
+def u2_outputs(v: Views):
+    """Two outputs from one solve, the penalty searched in a range; saved, loaded and applied."""
+    table = cut(feature_table(v, leads=(6,)).withColumns({"x": F.array("y_persistence"), "q": F.col("y") * F.col("y")}))
+    path = scratch_path(v.spark, "model")
+    estimator = learners.LinearForecast(ridge=(0.0, 100.0), labelCols=["y", "q"], outputNames=["mean", "square"], nIter=20)
+    estimator.fit(table).save(path)
+    model = learners.LinearForecastModel.load(path)
+    return model.predict(table).select(F.col("m_target").alias("m"), r("mean").alias("mean"), r("square").alias("square"),
+                                       r(F.lit(model.mean_val_loss)).alias("mean_val_loss"))
