@@ -403,6 +403,39 @@ def field_forecast(field: DataFrame, lead, k: int = 3, shift: int = 3, ridge: fl
     return map_
 
 
+def field_hindcast(field: DataFrame, leads, k: int = 3, shift: int = 3, ridge: float = 1.0, cell=("lat", "lon"), edges=DECADES) -> DataFrame:
+    """``cell, fold, lead, m, value``: the months of each decade forecast by a model that has seen none of them.
+
+    Trend, patterns and the regression of the amplitudes come from the other decades; a regression row is left out
+    when either of its months lies in the decade. The patterns of all decades advance in the same passes, amplitudes are a short
+    row per month, and a cell meets the forecasts of a decade (leads by months, bounded by the calendar) as one array.
+    """
+    from . import eof
+
+    folds = {lo: (12 * lo, 12 * hi) for lo, hi in zip(edges[:-1], edges[1:])}
+    fitted = eof.fit(field, k, cell, detrend=True, folds=folds)
+    names = [f"pca{j}" for j in range(1, k + 1)]
+    pc = cut(eof.wide_projection(fitted.project(), k).withColumn("x", F.array(*names)).select("fold", "m", "x"))
+    ends = F.create_map(*[F.lit(y) for pair in zip(edges[:-1], edges[1:]) for y in pair])
+
+    def outside(m):
+        year = F.floor(m / 12)
+        return (year < F.col("fold")) | (year >= ends[F.col("fold")])
+
+    lead = F.explode(F.lit(list(leads)).cast("array<int>")).alias("lead")
+    source = pc.select("fold", lead, "m", "x").withColumn("later", F.col("m") + F.col("lead") + shift)
+    target = pc.select("fold", F.col("m").alias("later"), F.posexplode("x").alias("mode", "y"))
+    train = source.join(target, ["fold", "later"]).where(outside(F.col("m")) & outside(F.col("later")))
+    models = cut(solve(cross_products(train, ["fold", "lead", "mode"]), ridge=ridge))
+    ahead = source.where(~outside(F.col("later"))).join(models, ["fold", "lead"])
+    amplitudes = ahead.groupBy("fold", "lead", "later").agg(F.array_sort(F.collect_list(F.struct("mode", linear().alias("a")))).alias("a"))
+    per_fold = amplitudes.groupBy("fold").agg(F.collect_list(F.struct("lead", F.col("later").alias("m"), F.col("a.a").alias("a"))).alias("f"))
+    rows = fitted.signed().join(per_fold, "fold").select(*cell, "fold", "loadings", "intercept", "slope", F.explode("f").alias("f"))
+    decoded = F.aggregate(F.zip_with("loadings", F.col("f.a"), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    trend = F.col("intercept") + F.col("slope") * (F.col("f.m") - fitted.packed.first)
+    return rows.select(*cell, "fold", "f.lead", "f.m", (decoded + trend).alias("value"))
+
+
 # the model contract ----------------------------------------------------------------------
 
 class _ForecastParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):

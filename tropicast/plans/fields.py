@@ -288,32 +288,67 @@ def e1(v: Views):
     return rounded(eof.detrended(v.fld), "value", digits=5)
 
 
-@query("e2")
+def patterns_sql(detrended: str, k: int) -> str:
+    """CTEs ``x`` (detrended), ``basis`` (mode, v, value) and ``patterns`` (lat, lon, mode, loading).
+
+    The projector on the leading pattern is the limit of repeated squaring of the products between cells; what it explains is taken off
+    before the next.
+    """
+    square = "list_transform(b, lambda p: list_transform(b, lambda q: list_dot_product(p, q)))"
+    trace = "list_sum(list_transform({0}, lambda p, n: p[n]))"
+    scaled = f"list_transform(s, lambda p: list_transform(p, lambda y: y / {trace.format('s')}))"
+    steps = []
+    for j in range(1, k + 1):
+        rest = "SELECT g FROM gram" if j == 1 else f"""SELECT list_transform(g, lambda p, n: list_transform(p, lambda y, o: y - value * v[n] * v[o])) AS g FROM rest{j - 1}, top{j - 1}"""
+        steps.append(f"""rest{j} AS MATERIALIZED ({rest}),
+    power{j}(i, b) AS (SELECT 0, {scaled} FROM (SELECT g AS s FROM rest{j}) UNION ALL SELECT i + 1, {scaled} FROM (SELECT i, {square} AS s FROM power{j} WHERE i < 45)),
+    top{j} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(g, lambda p: list_dot_product(p, v))) AS value FROM (
+        SELECT g, list_transform(u, lambda y: y * CASE WHEN list_max(u) >= -list_min(u) THEN 1e0 ELSE -1e0 END / sqrt(list_dot_product(u, u))) AS v FROM (
+            SELECT g, b[list_position(list_transform(b, lambda p, n: p[n]), list_max(list_transform(b, lambda p, n: p[n])))] AS u FROM power{j}, rest{j} WHERE i = 45)))""")
+    union = " UNION ALL ".join(f"SELECT {j} AS mode, v, value FROM top{j}" for j in range(1, k + 1))
+    return f"""WITH RECURSIVE x AS MATERIALIZED ({detrended}),
+    cells AS MATERIALIZED (SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) AS n, avg(value) AS mean FROM x GROUP BY 1, 2),
+    z AS MATERIALIZED (SELECT m, n, value - mean AS value FROM x JOIN cells ON cells.lat = x.lat AND cells.lon = x.lon),
+    gram AS MATERIALIZED (SELECT list(p ORDER BY n) AS g FROM (SELECT a.n, list(s ORDER BY b) AS p FROM (SELECT a.n, b.n AS b, sum(a.value * b.value) AS s FROM z a JOIN z b ON a.m = b.m GROUP BY 1, 2) a GROUP BY 1)),
+    {", ".join(steps)}, basis AS ({union}),
+    patterns AS (SELECT lat, lon, mode::INT AS mode, v[n] AS loading, value FROM cells, basis)"""
+
+
+# anomalies against the reference months, detrended
+ANOM_SQL = "(SELECT f.lat, f.lon, f.m, f.value - c.mean AS value FROM fld f JOIN (SELECT lat, lon, m % 12 AS month, avg(value) AS mean FROM fld WHERE time BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2, 3) c ON c.lat = f.lat AND c.lon = f.lon AND c.month = f.m % 12)"
+SMOOTH_SQL = f"(SELECT lat, lon, m, CASE WHEN count(value) OVER w = 60 THEN avg(value) OVER w END AS value FROM {ANOM_SQL} WINDOW w AS (PARTITION BY lat, lon ORDER BY m RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))"
+PCS_SQL = """ SELECT m, round(pca1, 5) + 0e0 AS pca1, round(pca2, 5) + 0e0 AS pca2, round(pca3, 5) + 0e0 AS pca3 FROM (
+    SELECT m, sum(value * loading) FILTER (WHERE mode = 1) AS pca1, sum(value * loading) FILTER (WHERE mode = 2) AS pca2, sum(value * loading) FILTER (WHERE mode = 3) AS pca3
+    FROM (SELECT m, x.value, loading, mode FROM x JOIN patterns p ON p.lat = x.lat AND p.lon = x.lon) GROUP BY 1)"""
+
+
+@query("e2", patterns_sql(DETREND_SQL.format(ANOM_SQL), 3) + " SELECT lat, lon, mode, round(loading, 6) + 0e0 AS loading FROM patterns")
 def e2(v: Views):
-    return rounded(eof.fit(eof.detrended(pattern_input(v)), 3).patterns, "loading")
+    return rounded(eof.fit(pattern_input(v), 3, detrend=True).patterns, "loading")
 
 
-@query("e3")
+@query("e3", patterns_sql(DETREND_SQL.format(ANOM_SQL), 3) + PCS_SQL)
 def e3(v: Views):
-    pcs = eof.wide_projection(eof.fit(eof.detrended(pattern_input(v)), 3).project())
+    pcs = eof.wide_projection(eof.fit(pattern_input(v), 3, detrend=True).project())
     return rounded(pcs, "pca1", "pca2", "pca3", digits=5)
 
 
-@query("e4")
+@query("e4", patterns_sql(DETREND_SQL.format(ANOM_SQL), 1) + f""" SELECT p.lat, p.lon, CASE WHEN l.m IS NOT NULL THEN round(loading, 6) + 0e0 END AS loading
+    FROM patterns p LEFT JOIN (SELECT lat, lon, m FROM {ANOM_SQL} WHERE value IS NOT NULL AND m = (SELECT max(m) FROM fld)) l ON l.lat = p.lat AND l.lon = p.lon""")
 def e4(v: Views):
     field = pattern_input(v)
-    return rounded(eof.pattern_map(eof.fit(eof.detrended(field), 3), field, 1), "loading")
+    return rounded(eof.pattern_map(eof.fit(field, 3, detrend=True), field, 1), "loading")
 
 
-@query("e5")
+@query("e5", patterns_sql(DETREND_SQL.format(ANOM_SQL), 5) + " SELECT mode::INT AS mode, round(value / (SELECT sum(value * value) FROM z), 6) + 0e0 AS ratio FROM basis")
 def e5(v: Views):
-    return rounded(eof.fit(eof.detrended(pattern_input(v)), 5).explained_variance(), "ratio")
+    return rounded(eof.fit(pattern_input(v), 5, detrend=True).explained_variance(), "ratio")
 
 
-@query("e6")
+@query("e6", patterns_sql(DETREND_SQL.format(SMOOTH_SQL), 3) + PCS_SQL)
 def e6(v: Views):
     smooth = windows.rolling_mean(pattern_input(v), 60, ("lat", "lon"))
-    pcs = eof.wide_projection(eof.fit(eof.detrended(smooth), 3).project())
+    pcs = eof.wide_projection(eof.fit(smooth, 3, detrend=True).project())
     return rounded(pcs, "pca1", "pca2", "pca3", digits=5)
 
 
