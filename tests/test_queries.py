@@ -37,7 +37,7 @@ BOUNDS = {
     "r6": lambda t: t.lead.nunique() == 8 and t.mode_class.between(0, 41).all() and t.median_class.between(0, 41).all(),
     "r7": lambda t: t.lead.nunique() == 8 and (t.rmse >= 0).all(),
     "r11": lambda t: t.lead.nunique() == 8 and (t.weight > 0).all() and t.variable.between(0, 2).all(),
-    "r3_skewed": lambda t: _correlations(t) and (t.nll_skewed < t.nll + 0.5).all() and (t.rmse > 0).all(),
+    "r3_skewed": lambda t: _correlations(t) and t.inside1.between(0, 1).all() and t.nll_skewed.abs().lt(1e6).all() and (t.rmse > 0).all(),
     "v4_search": lambda t: _correlations(t) and (t.rmse > 0).all() and (t.n > 0).all(),
 }
 

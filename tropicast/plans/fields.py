@@ -296,14 +296,14 @@ def patterns_sql(detrended: str, k: int) -> str:
     """
     square = "list_transform(b, lambda p: list_transform(b, lambda q: list_dot_product(p, q)))"
     trace = "list_sum(list_transform({0}, lambda p, n: p[n]))"
-    scaled = f"list_transform(s, lambda p: list_transform(p, lambda y: y / {trace.format('s')}))"
+    scaled = f"list_transform(s, lambda p: list_transform(p, lambda y: CASE WHEN {trace.format('s')} > 0 THEN y / {trace.format('s')} ELSE 0e0 END))"
     steps = []
     for j in range(1, k + 1):
         rest = "SELECT g FROM gram" if j == 1 else f"""SELECT list_transform(g, lambda p, n: list_transform(p, lambda y, o: y - value * v[n] * v[o])) AS g FROM rest{j - 1}, top{j - 1}"""
         steps.append(f"""rest{j} AS MATERIALIZED ({rest}),
     power{j}(i, b) AS (SELECT 0, {scaled} FROM (SELECT g AS s FROM rest{j}) UNION ALL SELECT i + 1, {scaled} FROM (SELECT i, {square} AS s FROM power{j} WHERE i < 45)),
     top{j} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(g, lambda p: list_dot_product(p, v))) AS value FROM (
-        SELECT g, list_transform(u, lambda y: y * CASE WHEN list_max(u) >= -list_min(u) THEN 1e0 ELSE -1e0 END / sqrt(list_dot_product(u, u))) AS v FROM (
+        SELECT g, list_transform(u, lambda y: y * CASE WHEN list_max(u) >= -list_min(u) THEN 1e0 ELSE -1e0 END / greatest(sqrt(list_dot_product(u, u)), 1e-300)) AS v FROM (
             SELECT g, b[list_position(list_transform(b, lambda p, n: p[n]), list_max(list_transform(b, lambda p, n: p[n])))] AS u FROM power{j}, rest{j} WHERE i = 45)))""")
     union = " UNION ALL ".join(f"SELECT {j} AS mode, v, value FROM top{j}" for j in range(1, k + 1))
     return f"""WITH RECURSIVE x AS MATERIALIZED ({detrended}),
