@@ -365,7 +365,7 @@ def slow_phrases(text, reference):
 def test_cross_parsing_matches_substring_search():
     rng = np.random.default_rng(3)
     reference = rng.integers(1, 5, 300).astype(np.uint8)
-    go = language.suffix_automaton(reference)
+    go = language.suffix_automaton(reference, 8)
     rows = [rng.integers(1, 7, n).astype(np.uint8) for n in (60, 40, 1)]
     matrix = np.zeros((3, 60), np.uint8)
     for i, r in enumerate(rows):
@@ -395,8 +395,70 @@ def test_language_learns_from_whole_texts(spark, monkeypatch):
     kept = [t for t in texts if t in found["en"]]
     assert len(kept) > 1 and sum(map(len, kept)) <= 1000 and found["en"].split() == " ".join(
         sorted(kept, key=found["en"].index)).split()
-    # a language of long texts only takes one, whole
-    assert found["de"].strip() == prose(98, 600)
+    # a language of long texts only takes the words of one, up to the bound
+    assert found["de"].split() == prose(98, 600)[:1000].rsplit(" ", 1)[0].split() and len(found["de"]) <= 1001
+
+
+def slow_costs(texts, references):
+    """Bits of each text by looking for its pieces in the references' strings, block by block."""
+    def coded(text):
+        return re.sub(r"[^\0]", lambda m: m[0] if m[0].isalpha() else "\0", text.lower())
+
+    def clean(text):
+        return re.sub("\0+", "\0", coded(text))
+
+    held = {n: clean(t) for n, t in references.items()}
+    out = []
+    for text in map(clean, texts):
+        row = []
+        for name in sorted(held):
+            pieces = 0
+            for block in (text[i:i + language.BLOCK] for i in range(0, len(text), language.BLOCK)):
+                at = 0
+                while at < len(block):
+                    n = 1
+                    while at + n < len(block) and block[at:at + n + 1] in held[name]:
+                        n += 1
+                    at, pieces = at + n, pieces + 1
+            row.append(pieces * math.log2(max(2, len(held[name]))))
+        out.append(row)
+    return np.array(out)
+
+
+SCRIPTS = {"zh": (0x4E00, 0x4E00 + 900), "ja": (0x3041, 0x3097), "ko": (0xAC00, 0xAC00 + 900), "ru": (0x430, 0x450), "el": (0x3B1, 0x3CA),
+           "ar": (0x620, 0x64B), "th": (0xE01, 0xE2F), "am": (0x1200, 0x1240), "en": (0x61, 0x7B)}
+
+
+def scripted(lang, seed, n=30):
+    """Words of two to five letters; Japanese mixes its own letters with Chinese ones."""
+    rng = np.random.default_rng([seed, len(lang), *map(ord, lang)])
+    letters = list(range(*SCRIPTS[lang])) + (list(range(0x4E00, 0x4E00 + 300)) if lang == "ja" else [])
+    return " ".join("".join(chr(letters[i]) for i in rng.integers(0, len(letters), rng.integers(2, 6))) for _ in range(n))
+
+
+def test_language_tells_scripts_apart(spark):
+    langs = sorted(SCRIPTS)
+    rows = [(i, scripted(langs[i % len(langs)], i), langs[i % len(langs)], "s", 1, "x", "y", "z") for i in range(900)]
+    found = rows_of(language.op10_language(spark.createDataFrame(rows, SCHEMA)))
+    right = [r["lang_pred"] == langs[r["doc_id"] % len(langs)] for r in found if r["held_out"]]
+    assert len(right) > 150 and np.mean(right) >= 0.95
+    for lang in ("zh", "ja", "ko"):
+        own = [r["lang_pred"] == lang for r in found if r["held_out"] and langs[r["doc_id"] % len(langs)] == lang]
+        assert len(own) > 5 and np.mean(own) >= 0.95
+
+
+def test_language_costs_of_all_languages_by_brute_force():
+    langs = sorted(SCRIPTS)
+    references = {lang: " ".join(scripted(lang, 1000 + i) for i in range(6)) for lang in langs}
+    texts = [scripted(lang, i, n) for lang in langs for i, n in ((1, 3), (2, 40), (3, 260))]
+    texts += ["a1b2", "\U0001F600 x", "\u4e00", "\u0e01 \u10d0\u10d1", scripted("zh", 5) + scripted("ja", 6) + " the", references["ko"]]
+    known = language.Identifier(references)
+    assert known.lookup.max() > 2 * language.DENSE
+    got = known.costs([language.symbols(t, known.lookup) for t in texts])
+    want = slow_costs(texts, references)
+    assert np.allclose(got, want)
+    assert known.predict(texts)[0] == [langs[i] for i in want.argmin(1)]
+    assert np.allclose(known.predict(texts)[1], [1 / np.exp2(-np.minimum(r - r.min(), 60)).sum() for r in want])
 
 
 def test_html(spark):

@@ -5,9 +5,13 @@ from left to right into the longest pieces that the automaton knows; a language
 pieces, each worth the logarithm of the reference's length, cover the text is a likely one. The language with the
 fewest bits wins, ties going to the smaller name.
 
+Every letter of the references is a symbol of its own, whatever the script; a letter that no reference
+holds is a piece of its own in all languages. The automata keep the ``DENSE`` most frequent symbols as columns of a
+table and the edges of all others in sorted arrays, so their size follows the reference and not the alphabet.
+
 The reference is a bounded sample of whole texts: of each language the training documents with the lowest hash
 of their id, texts beyond ``LONG`` characters last, at most ``DOCUMENTS`` of them and as many as fit into
-``CHARACTERS`` characters (one at least). Texts to be identified are parsed
+``CHARACTERS`` characters (of one text at least: if the first is longer, its words up to there). Texts to be identified are parsed
 whole, in blocks of ``BLOCK`` symbols that advance together, so a block costs each language
 at most one piece more.
 
@@ -18,7 +22,10 @@ rows. Columns other than id, text and lang are ignored.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,8 +40,7 @@ DOCUMENTS = 64
 CHARACTERS = 40_000
 LONG = 4_000
 BLOCK = 512
-SYMBOLS = 64  # 0 separates words, 1 is any letter beyond the alphabet
-LIMIT = 0x3000
+DENSE = 64  # symbols with columns of their own
 CHUNK_BLOCKS = 8192
 
 
@@ -42,33 +48,55 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+@lru_cache(1)
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
+
+
 def alphabet(references: dict[str, str]) -> np.ndarray:
-    """Symbol of each code point below LIMIT: the most frequent letters have their own."""
-    letters = np.array([chr(i).isalpha() for i in range(LIMIT)])
-    lookup = np.where(letters, 1, 0).astype(np.uint8)
-    tally = np.zeros(LIMIT, np.int64)
-    for text in references.values():
-        codes = points(text)
-        tally += np.bincount(codes[codes < LIMIT], minlength=LIMIT)
-    tally[~letters] = 0
-    best = [i for i in np.argsort(-tally, kind="stable")[: SYMBOLS - 2].tolist() if tally[i]]
-    lookup[best] = np.arange(2, 2 + len(best))
+    """Symbol of each code point: 0 separates words, 1 is a letter of no reference, then the references' letters by frequency."""
+    letters = letter_table()
+    lookup = letters.astype(np.int32)
+    codes, tally = np.unique(np.concatenate([points(t) for t in references.values()] or [points("")]), return_counts=True)
+    seen = letters[codes]
+    codes, tally = codes[seen], tally[seen]
+    lookup[codes[np.argsort(-tally, kind="stable")]] = np.arange(2, 2 + len(codes), dtype=np.int32)
     return lookup
 
 
 def symbols(text: str, lookup: np.ndarray) -> np.ndarray:
-    """Symbols of a text; a run of anything but letters is one separator. Letters beyond LIMIT are symbol 1."""
-    codes = points(text)
-    out = lookup[np.minimum(codes, LIMIT - 1)]
-    out = np.where(codes >= LIMIT, 1, out).astype(np.uint8)
+    """Symbols of a text; a run of anything but letters is one separator."""
+    out = lookup[points(text)]
     if not len(out):
         return out
     keep = (out != 0) | np.concatenate([[True], out[:-1] != 0])
     return out[keep]
 
 
-def suffix_automaton(text: np.ndarray) -> np.ndarray:
-    """Transitions (state, symbol) of the suffix automaton, -1 where there is none; state 0 is the start."""
+class Automaton(NamedTuple):
+    """Transitions of a suffix automaton; state 0 is the start."""
+
+    dense: np.ndarray  # (state, symbol below DENSE) to state, -1 where there is none
+    keys: np.ndarray  # sorted state * size + symbol of the other edges
+    ends: np.ndarray  # where these lead
+    root: np.ndarray  # symbol to state from the start, 0 where there is none
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        rare = symbol >= DENSE
+        to = self.dense.ravel()[state * DENSE + np.where(rare, 0, symbol)]
+        spots = np.flatnonzero(rare)
+        if len(spots):
+            key = state[spots].astype(np.int64) * len(self.root) + symbol[spots]
+            at = np.searchsorted(self.keys, key)
+            found = self.keys.take(at, mode="clip") == key if len(self.keys) else np.zeros(len(key), bool)
+            to[spots] = -1
+            to[spots[found]] = self.ends[at[found]]
+        return to
+
+
+def suffix_automaton(text: np.ndarray, size: int) -> Automaton:
+    """The suffix automaton of a text of symbols below ``size``."""
     link, length = [-1], [0]
     edges: list[dict[int, int]] = [{}]
     last = 0
@@ -95,16 +123,23 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = clone
         last = state
-    go = np.full((len(edges), SYMBOLS), -1, np.int32)
+    dense = np.full((len(edges), DENSE), -1, np.int32)
+    rest: list[tuple[int, int]] = []
     for state, out in enumerate(edges):
         for symbol, to in out.items():
-            go[state, symbol] = to
-    return go
+            if symbol < DENSE:
+                dense[state, symbol] = to
+            else:
+                rest.append((state * size + symbol, to))
+    rest.sort()
+    root = np.zeros(size, np.int32)
+    for symbol, to in edges[0].items():
+        root[symbol] = to
+    return Automaton(dense, np.array([k for k, _ in rest], np.int64), np.array([to for _, to in rest], np.int32), root)
 
 
-def phrases(blocks: np.ndarray, sizes: np.ndarray, go: np.ndarray) -> np.ndarray:
+def phrases(blocks: np.ndarray, sizes: np.ndarray, go: Automaton) -> np.ndarray:
     """Pieces of each row of ``blocks`` (its first ``sizes`` symbols); rows advance together, longest first."""
-    flat, root = np.ascontiguousarray(go).ravel(), np.maximum(go[0], 0)
     state = np.zeros(len(blocks), np.int32)
     out = (sizes > 0).astype(np.int64)
     live = np.searchsorted(-sizes, -np.arange(blocks.shape[1]), side="left")  # rows with more than t symbols
@@ -113,11 +148,11 @@ def phrases(blocks: np.ndarray, sizes: np.ndarray, go: np.ndarray) -> np.ndarray
         if not n:
             break
         c = blocks[:n, t]
-        to = flat[state[:n] * SYMBOLS + c]
+        to = go.follow(state[:n], c)
         broken = to < 0
         # a piece ends before this symbol, unless it is still empty
         out[:n] += broken & (state[:n] > 0)
-        state[:n] = np.where(broken, root[c], to)
+        state[:n] = np.where(broken, go.root[c], to)
         # a symbol the reference lacks is a piece of its own
         out[:n] += broken & (state[:n] == 0)
     # behind such a symbol at the end no piece follows
@@ -129,7 +164,8 @@ class Identifier:
         self.names = sorted(references)
         self.lookup = alphabet(references)
         coded = [symbols(references[n], self.lookup) for n in self.names]
-        self.tables = [suffix_automaton(c) for c in coded]
+        size = int(self.lookup.max()) + 1
+        self.tables = [suffix_automaton(c, size) for c in coded]
         self.bits = np.array([np.log2(max(2, len(c))) for c in coded])
 
     def costs(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -141,7 +177,7 @@ class Identifier:
             part = pieces[at:at + CHUNK_BLOCKS]
             sizes = np.array([len(x) for x in part])
             order = np.argsort(-sizes, kind="stable")
-            matrix = np.zeros((len(part), BLOCK), np.uint8)
+            matrix = np.zeros((len(part), BLOCK), np.int32)
             for row, i in enumerate(order.tolist()):
                 matrix[row, :sizes[i]] = part[i]
             matrix = np.asfortranarray(matrix)
@@ -151,7 +187,7 @@ class Identifier:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         letters = [t is not None and any(map(str.isalpha, t)) for t in texts]
-        coded = [symbols(t, self.lookup) if ok else np.zeros(0, np.uint8) for t, ok in zip(texts, letters, strict=True)]
+        coded = [symbols(t, self.lookup) if ok else np.zeros(0, np.int32) for t, ok in zip(texts, letters, strict=True)]
         if not self.names:
             return ["und"] * len(texts), [0.0] * len(texts)
         cost = self.costs(coded)
@@ -181,7 +217,12 @@ def learn(docs: DataFrame) -> dict[str, str]:
     # the group limit leaves few rows of each language in every task
     first = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCUMENTS)
     so_far = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("n"))
-    chosen = first.withColumn("so_far", so_far).where((F.col("so_far") <= CHARACTERS) | (F.col("n") == 1)).collect()
+    # of a single longer text the words that end within the bound; without such an end, all characters up to it
+    head = F.left("text", F.lit(CHARACTERS))
+    words = F.regexp_replace(head, r"\S+$", "")
+    bounded = F.when(F.length("text") <= CHARACTERS, F.col("text")).when(F.trim(words) != "", words).otherwise(head)
+    chosen = (first.withColumn("so_far", so_far).where((F.col("so_far") <= CHARACTERS) | (F.col("n") == 1))
+              .withColumn("text", bounded).collect())
     out: dict[str, str] = {}
     for row in sorted(chosen, key=lambda r: (r["lang"], r["n"])):
         out[row["lang"]] = out.get(row["lang"], "") + " " + row["text"]
