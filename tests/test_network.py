@@ -131,3 +131,38 @@ def test_metric_series(spark, data):
     assert len(rows) == 5 and len(table.columns) == 12
     assert rows[0].hamming_distance == 0
     assert all(r.corrected_hamming_distance <= r.hamming_distance + 1e-12 for r in rows)
+
+
+@pytest.mark.parametrize("words, bucket", [(1, 4096), (2, 100)])
+def test_metrics_of_random_networks_by_brute_force(spark, words, bucket):
+    """Sparse, dense, cyclic and unconnected networks side by side; some nodes have no link."""
+    rng = np.random.default_rng(7)
+    links, nodes, want = [], [], {}
+    for window, (n, share) in enumerate([(200, 0.012), (40, 0.5), (90, 0.03), (12, 0.0)], start=1):
+        near = np.triu(rng.random((n, n)) < share, 1)
+        if window == 3:
+            near[np.arange(n - 1), np.arange(1, n)] = True  # one long path with shortcuts
+        links += [(window, int(a), int(b)) for a, b in np.argwhere(near)]
+        nodes += [(window, i) for i in range(n)]
+        both = (near | near.T).astype(np.int64)
+        depth, walk, at = np.where(both > 0, 1, 0), both, 1
+        np.fill_diagonal(depth, -1)
+        while True:
+            at, walk = at + 1, ((walk @ both) > 0).astype(np.int64)
+            fresh = (walk > 0) & (depth == 0)
+            if at > n or not (walk > 0).any():
+                break
+            depth[fresh] = at
+        deg, tri = both.sum(0), np.diag(both @ both @ both) / 2
+        triples = deg * (deg - 1) / 2
+        local = np.divide(tri, triples, out=np.zeros(n), where=triples > 0).mean()
+        want[window] = (depth[depth > 0].mean() if (depth > 0).any() else None, tri.sum() / triples.sum() if triples.sum() else None, local)
+    links = spark.createDataFrame(links, "window_m int, src long, dst long")
+    nodes = spark.createDataFrame(nodes, "window_m int, node long")
+    counts, corner = graph.node_counts(nodes), graph.corners(links)
+    got = graph.transitivity(links, counts, corner).join(graph.local_clustering(links, counts, corner), "window_m").join(
+        graph.average_path_length(links, nodes, bucket, words), "window_m", "left")
+    found = {r.window_m: (r.average_path_length, r.global_transitivity, r.avelocal_transmissivity) for r in got.collect()}
+    assert found.keys() == want.keys()
+    for window, values in want.items():
+        assert found[window] == tuple(None if v is None else pytest.approx(v) for v in values)

@@ -234,10 +234,11 @@ def network_metrics(nodes: DataFrame, size: int = 12, threshold: float | None =
     runs = cut(window_runs(nodes, size, run))
     links = cut(network_links(runs, size, threshold, edge_density, run, block))
     present = cut(window_nodes(runs, size, run))
-    counts = graph.node_counts(present)
+    counts = cut(graph.node_counts(present))
+    corner = graph.corners(links)
     out = (
-        graph.transitivity(links, counts)
-        .join(graph.local_clustering(links, counts), "window_m")
+        graph.transitivity(links, counts, corner)
+        .join(graph.local_clustering(links, counts, corner), "window_m")
         .join(graph.cluster_fractions(graph.components(links, present), counts), "window_m")
         .join(graph.average_path_length(links, present), "window_m", "left")
         .join(graph.hamming(links, counts), "window_m")

@@ -116,8 +116,9 @@ def n5(v: Views):
 @query("n6", TRI + " SELECT (SELECT count(*) FROM t) AS triangles, round(3 * (SELECT count(*) FROM t) / nullif((SELECT sum(degree * (degree - 1) / 2) FROM d), 0), 8) + 0e0 AS global_transitivity")
 def n6(v: Views):
     links, _, counts = embedding_network(v)
-    count = graph.triangles(links).groupBy("window_m").agg(F.count(F.lit(1)).alias("triangles"))
-    out = graph.transitivity(links, counts).join(count, "window_m", "left")
+    corner = graph.corners(links)
+    count = corner.groupBy("window_m").agg((F.sum("triangles") / 3).cast("long").alias("triangles"))
+    out = graph.transitivity(links, counts, corner).join(count, "window_m", "left")
     return out.select(F.coalesce("triangles", F.lit(0).cast("long")).alias("triangles"), r("global_transitivity", 8).alias("global_transitivity"))
 
 
