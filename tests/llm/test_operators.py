@@ -262,6 +262,43 @@ def test_packing_plan_holds_every_piece():
         assert sum(n for _, n in fillings) <= 1.03 * bound + 1
 
 
+def slow_anchors(text):
+    """All 32-bit anchor hashes of a text, word by word."""
+    def chain(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
+        return h
+
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    found = set()
+    for i in range(len(words) - syncmers.K + 1):
+        window = words[i:i + syncmers.K]
+        if min(map(signed, window)) in (signed(window[0]), signed(window[-1])):
+            found.add(chain(window) >> 32)
+    return found or ({chain(words) >> 32} if words else set())
+
+
+def slow_likeness(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_long_texts_share_a_passage(spark):
+    """Sixty words in common are found among twenty thousand."""
+    rng = np.random.default_rng(3)
+    own = [" ".join(f"{k}w{j}" for j in rng.integers(0, 10**6, 20_000)) for k in "abcd"]
+    passage = prose(9, 60)
+    for left, right in ((0, 1), (2, 3)):
+        texts = [f"{own[left]} {passage} tail", f"{own[right]} other {passage}"]
+        found = {r["doc_id"]: r for r in rows_of(syncmers.op5_fingerprints(table(spark, list(enumerate(texts)))))}
+        want = slow_likeness(*map(slow_anchors, texts))
+        assert found[0]["near_next"] == found[1]["near_next"] == pytest.approx(want) and want > 0
+
+
 def test_syncmers(odd):
     rows = sorted(rows_of(odd), key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -(1 << 62)),))
     got = collections.defaultdict(list)
@@ -275,7 +312,13 @@ def test_syncmers(odd):
         edited = text[:len(text) - half] + after[:half]
         for r in got[doc]:
             assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-            assert (r["fingerprint"] == r["edited_fingerprint"]) <= (r["near_edited"] == 1.0)
+            assert (r["fingerprint"] == r["edited_fingerprint"]) == (r["near_edited"] == 1.0)
+            mine, other, following = map(slow_anchors, (text, edited, after))
+            for text_of, value in ((mine, r["fingerprint"]), (other, r["edited_fingerprint"])):
+                listed = [int(value[i:i + 8], 16) for i in range(0, len(value), 8)]
+                assert set(listed) == text_of and len(listed) == len(text_of)
+            assert r["near_edited"] == pytest.approx(slow_likeness(mine, other))
+            assert r["near_next"] == pytest.approx(slow_likeness(mine, following))
     by_text = collections.defaultdict(set)
     for doc, text in unique:
         by_text[text] |= {r["fingerprint"] for r in got[doc]}

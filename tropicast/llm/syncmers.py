@@ -3,12 +3,13 @@
 The letters are words, hashed. A window of ``K`` words is an anchor if the smallest hash of its words stands at
 one of its edges: that depends on the window alone, so the same passage gives the
 same anchors in any document and at any place. ``anchors`` lists them with their word positions, to match passages by
-position; a fingerprint is the ``SIZE`` anchors with the smallest hashes, an order that does
-not depend on the document either, so two fingerprints estimate how much their texts share.
+position; a fingerprint is the set of all anchors of a text, however long, in the order of their hashes, and the likeness
+of two is their exact overlap. Hashes are shortened to 32 bits: texts of n and m anchors are expected
+to have n * m / 2^32 in common by chance.
 
 Everything is SQL functions. The next document of each row is found on ids alone (ranges of ids, then
-the edges of the ranges); the texts move once, and then the part that a row needs of its
-next one.
+the edges of the ranges); the texts move once, and then the part and the anchors that a row needs of its
+next one. A row's own anchors are made where its text arrives and do not move.
 
 Defined results: a NULL text is empty; a text with fewer than ``K`` words, or without anchors, has one anchor
 over all its words; a text without words has the empty fingerprint, like another one with 1; a NULL doc_id comes
@@ -26,7 +27,6 @@ from ..session import cut
 from .common import whole_text
 
 K = 4
-SIZE = 64
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -58,15 +58,15 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The SIZE smallest distinct anchor hashes, shortened to 32 bits."""
-    def smallest(h):
+    """All distinct anchor hashes, shortened to 32 bits, in order."""
+    def distinct(h):
         spots = F.when(F.size(h) >= K, F.sequence(F.lit(0), F.size(h) - K)).otherwise(F.array().cast("array<int>"))
         def short(x):
             return F.shiftright(x, 32).cast("int")
         found = F.array_compact(F.transform(spots, lambda i: short(_window_anchor(h, i))))
-        return _let(found, lambda f: F.when((F.size(f) > 0) | (F.size(h) == 0), F.slice(F.sort_array(F.array_distinct(f)), 1, SIZE))
+        return _let(found, lambda f: F.when((F.size(f) > 0) | (F.size(h) == 0), F.sort_array(F.array_distinct(f)))
                     .otherwise(F.array(short(F.xxhash64(h)))))
-    return _let(_hashes(text), smallest)
+    return _let(_hashes(text), distinct)
 
 
 def printed(found: Column) -> Column:
@@ -74,15 +74,9 @@ def printed(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors (twice the common by the sum), from 0 to 1."""
-    lowest = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-
-    def share(u):
-        common = F.size(F.array_intersect(F.array_intersect(a, b), u)).cast("double")
-        j = common / F.greatest(F.size(u), F.lit(1))
-        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(2 * j / (1 + j))
-
-    return _let(lowest, share)
+    """Share of common anchors (twice the common by the sum), from 0 to 1."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -113,8 +107,8 @@ def op5_fingerprints(docs: DataFrame) -> DataFrame:
     listed = cut(listed)
     repeated = listed.where("times > 1").limit(1).count() > 0
     order = cut(neighbours(listed.select("id", "content", "n")))
-    # the texts meet their places in the order; sketches are made where they are, once
-    placed = rows.withColumn("sketch", sketch(F.col("text"))).join(order, ["id", "content"])
+    # the texts meet their places in the order; anchors are made there, since they would take more room on the way than time
+    placed = rows.join(order, ["id", "content"]).withColumn("sketch", sketch(F.col("text")))
     # both uses take the same columns of the texts, so that these are dealt out once
     parts = placed.select("to_id", "to_content", F.left("text", F.col("wanted")).alias("part"), F.col("sketch").alias("next_sketch"),
                           F.col("doc_id").alias("next_doc_id"))
