@@ -169,6 +169,12 @@ def test_climatology_is_kept_per_reference(spark, tmp_path):
     first = store.climatology(df, "sst", "A", compute, ("2000-01-01", "2000-12-31"))
     whole = store.climatology(df, "sst", "A", compute, None)
     assert first.where("period_key = 1").first()["mean"] == 0.0 and whole.where("period_key = 1").first()["mean"] == 6.0
+    # names whose folders Spark escapes are found again
+    for name in ("sst:daily", "a=b", "50%"):
+        odd = store.climatology(df.withColumn("value", df["value"] + len(name)), name, "A:1", compute, None)
+        assert odd.where("period_key = 1").first()["mean"] == 6.0 + len(name)
+        kept = store.climatology(df, name, "A:1", compute, None)
+        assert kept.where("period_key = 1").first()["mean"] == 6.0 + len(name)
 
 
 def test_composite_crosses_the_year(spark):

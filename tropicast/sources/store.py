@@ -146,8 +146,7 @@ class Store:
             table = compute(df, reference=reference)
             tagged = table.select("*", *[F.lit(v).alias(k) for k, v in keys.items()])
             self._write(tagged, "climatology", list(keys))
-        rows = self.spark.read.parquet(self.path("climatology", *[f"{k}={v}" for k, v in keys.items()]))
-        return rows
+        return self.spark.read.parquet(self._partition("climatology", **keys))
 
     # forecasts ------------------------------------------------------------------------
 
