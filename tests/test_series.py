@@ -157,6 +157,18 @@ def test_categories(spark):
     assert [r.c for r in t.collect()] == [2, 1, 1, 0]
 
 
+@pytest.mark.parametrize("kind", ["spread", "hot", "ties", "few", "none"])
+def test_categories_by_brute_force(spark, kind):
+    rng = np.random.default_rng(4)
+    values = {"spread": rng.normal(size=4000), "hot": np.concatenate([np.full(2500, 0.5), rng.random(1500)]), "ties": np.full(300, 2.0),
+              "few": np.array([3.0, 1.0]), "none": np.array([])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(6)
+    ordered = np.sort(values)
+    cuts = [ordered[i * (len(values) // 5)] for i in range(1, 5)] if len(values) else []
+    got = ranks.quantile_categories(df, "x", 5).where("x IS NOT NULL").collect()
+    assert len(got) == len(values) and all(r.category == sum(c < r.x for c in cuts) for r in got)
+
+
 def test_cumulative_counts_with_a_hot_value(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([np.full(500, 3.0), rng.integers(0, 400, 1000) / 10.0])

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
-def cumulative_counts(df: DataFrame, value: str, buckets: int = 32) -> DataFrame:
-    """Distinct ``value`` with its count ``n`` and ``below``, the rows strictly below it.
+def value_ranges(df: DataFrame, value: str, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``value`` with its count ``n`` and range ``_bucket``, and the rows ``_size`` of each range with those ``_offset`` before it.
 
     Repeated values collapse before the shuffle, so a value that fills a third of the
-    table is one row. The rest is split into ranges by approximate quantiles (written
-    once, so both readers see the same); running counts are local to a range and offset by the range totals.
+    table is one row. The rest is dealt to the shuffle's sorted ranges, whose number follows the
+    table's size unless ``ranges`` fixes it, and written once, so all readers see the same ranges.
     """
     counts = cut(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = cut(counts.agg(F.percentile_approx(value, cuts, 10000).alias("edges")))
-    above = [F.coalesce((F.get("_edges", F.lit(i)) < F.col(value)).cast("int"), F.lit(0)) for i in range(buckets - 1)]
-    placed = counts.withColumn("_edges", edges.scalar()).withColumn("_bucket", reduce(add, above)).drop("_edges")
+    dealt = counts.repartitionByRange(value) if ranges is None else counts.repartitionByRange(ranges, value)
+    placed = cut(dealt.withColumn("_bucket", F.spark_partition_id()))
     totals = placed.groupBy("_bucket").agg(F.sum("n").alias("_size"))
-    # at most ``buckets`` rows
+    # one row per range
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return placed, totals.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")))
+
+
+def _below(value: str) -> Column:
+    """Rows below each value: those before its range, and a running count inside."""
     local = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, "_bucket").select(
-        value, "n", (F.col("_offset") + F.coalesce(F.sum("n").over(local), F.lit(0))).alias("below")
-    )
+    return F.col("_offset") + F.coalesce(F.sum("n").over(local), F.lit(0))
+
+
+def cumulative_counts(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """Distinct ``value`` with its count ``n`` and ``below``, the rows strictly below it."""
+    placed, totals = value_ranges(df, value, buckets)
+    return placed.join(totals, "_bucket").select(value, "n", _below(value).alias("below"))
 
 
 def average_rank(value, keys) -> Column:
@@ -58,13 +61,17 @@ def quantile_categories(df: DataFrame, value: str, categories: int) -> DataFrame
 
     Bins are right-closed; the cut points are exact order statistics.
     """
-    table = cut(cumulative_counts(df, value))
-    sized = table.withColumn("_size", F.floor(table.agg(F.sum("n")).scalar() / categories))
-    positions = F.array(*[F.col("_size") * i for i in range(1, categories)])
-    hits = sized.withColumn(
-        "_hits",
-        F.size(F.filter(positions, lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("n")))),
-    ).where("_hits > 0")
+    placed, totals = value_ranges(df, value)
+    step = F.floor(totals.agg(F.sum("_size")).scalar() / categories)
+    positions = F.transform(F.sequence(F.lit(1), F.lit(categories - 1)), lambda i: i * F.col("_step")) if categories > 1 else F.array().cast("array<long>")
+
+    def held(first, size):
+        return F.size(F.filter(positions, lambda p: (p >= first) & (p < first + size)))
+
+    # only ranges that hold a position are put in order
+    wanted = totals.withColumn("_step", step).where(held(F.col("_offset"), F.col("_size")) > 0)
+    inside = placed.join(wanted, "_bucket").withColumn("below", _below(value))
+    hits = inside.withColumn("_hits", held(F.col("below"), F.col("n"))).where("_hits > 0")
     # at most ``categories`` values
     cuts = hits.agg(F.flatten(F.collect_list(F.array_repeat(F.col(value), F.col("_hits")))).alias("c"))
     return df.withColumn("_cuts", cuts.scalar()).withColumn(
