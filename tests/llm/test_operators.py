@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -262,6 +263,39 @@ def test_packing_plan_holds_every_piece():
         assert sum(n for _, n in fillings) <= 1.03 * bound + 1
 
 
+def test_packing_comes_from_the_program():
+    """Lengths as in texts: many short pieces, many full ones; nine tenths and more through the program, no more than best fit."""
+    rng = np.random.default_rng(3)
+    lengths = np.clip(rng.lognormal(5.6, 0.9, 1500).astype(int), 1, 1024)
+    for scale in (1, 10):
+        histogram = np.bincount(lengths, minlength=1025).astype(np.int64) * scale
+        fillings, left = packing.rounded(histogram)
+        last = packing.best_fit(left, 1024)
+        total = sum(n for _, n in fillings) + sum(n for _, n in last)
+        assert (sum(f * n for f, n in fillings) + left == histogram).all() and (left >= 0).all()
+        assert sum(n for _, n in fillings) >= 0.9 * total
+        assert total <= sum(n for _, n in packing.best_fit(histogram, 1024))
+
+
+def test_packing_pricing_is_the_bounded_knapsack():
+    """The filling with a length is the most valuable of all that the pieces at hand allow."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        counts = np.zeros(21, np.int64)
+        counts[rng.integers(1, 21, 4)] = rng.integers(1, 4, 4)
+        value = np.where(counts > 0, rng.random(21), 0.0)
+        sizes = np.flatnonzero(counts).tolist()
+        bundles, last = packing._knapsack(value, counts, 20)
+        for size in sizes:
+            got = packing._filling(size, bundles, last, 20)
+            got[size] -= 1
+            slow = max(sum(n * value[s] for s, n in zip(sizes, ns, strict=True))
+                       for ns in itertools.product(*[range(int(counts[s]) + 1) for s in sizes])
+                       if sum(n * s for s, n in zip(sizes, ns, strict=True)) <= 20 - size)
+            assert all(n <= counts[s] for s, n in got.items())
+            assert sum(n * value[s] for s, n in got.items()) == pytest.approx(slow)
+
+
 def slow_anchors(text):
     """All 32-bit anchor hashes of a text, word by word."""
     def chain(values):

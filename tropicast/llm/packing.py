@@ -4,9 +4,9 @@ Documents become token ids; those longer than a sequence are cut, the first piec
 shorter one. Only the histogram of piece lengths (at most ``capacity`` counts) reaches
 the driver. There the covering program over all fillings of a sequence is solved by
 multiplicative weights: lengths that are not yet covered gain weight, and a knapsack
-dynamic program finds the filling of largest weight. The average of the fillings
-is the fractional solution; its whole parts are taken, and what they leave is packed by best fit,
-largest first, still on counts.
+dynamic program over the pieces that are there finds the fillings of largest weight. The average of the
+fillings is the fractional solution. It is rounded, and the program solved again for what is left, until
+a few sequences remain, which best fit packs, largest first, still on counts.
 
 Pieces of a length are numbered in parallel (salted groups with offsets) and mapped to the places
 that the plan has for that length. The plan has as many rows as fillings, whatever the
@@ -36,7 +36,8 @@ CAPACITY = 1024
 END = 2
 CACHE = 800_000
 SALT_ROWS = 2_000
-ROUNDS = 60
+ROUNDS = 12
+LAST = 16
 
 # White space other than single spaces and line feeds between words.
 _UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f]")
@@ -136,41 +137,55 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
 assert array("I", [1]).tobytes() == b"\x01\0\0\0"
 
 
-def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: largest value of lengths (each any number of times) within c; choice[c]: the last one, 0 for none."""
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    sizes = np.flatnonzero(value > 0)
-    held = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        fit = sizes[:held[c]]
-        best[c] = best[c - 1]
-        if len(fit):
-            gains = best[c - fit] + value[fit]
-            k = int(gains.argmax())
-            if gains[k] > best[c]:
-                best[c], choice[c] = gains[k], fit[k]
-    return best, choice
+def _knapsack(value: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Most valuable fillings of every capacity from lengths that are there ``counts`` times.
 
-
-def _filling(size: int, choice: list[int], capacity: int) -> dict[int, int]:
+    Lengths enter longest first in bundles of 1, 2, 4, ... copies. last[i, c] is the last of the first
+    i bundles that the best filling of c uses, 0 for none.
+    """
+    bundles = []
+    for size in np.flatnonzero(value > 0)[::-1].tolist():
+        left, k = min(int(counts[size]), capacity // size), 1
+        while left:
+            k = min(k, left)
+            bundles.append((size, k))
+            left -= k
+            k *= 2
+    best = np.zeros(capacity + 1)
+    last = np.zeros((len(bundles) + 1, capacity + 1), np.int32)
+    for i, (size, k) in enumerate(bundles, 1):
+        with_it = best[:capacity + 1 - k * size] + k * value[size]
+        better = with_it > best[k * size:] * (1 + 1e-12)
+        last[i] = last[i - 1]
+        last[i, k * size:][better] = i
+        best[k * size:][better] = with_it[better]
+    return bundles, last
+
+
+def _held(filling: dict[int, int]) -> int:
+    return sum(size * n for size, n in filling.items())
+
+
+def _filling(size: int, bundles: list[tuple[int, int]], last: np.ndarray, capacity: int) -> dict[int, int]:
     """The most valuable filling that contains ``size``."""
-    counts, c = {size: 1}, capacity - size
-    while c > 0:
-        if choice[c]:
-            counts[choice[c]] = counts.get(choice[c], 0) + 1
-            c -= choice[c]
-        else:
-            c -= 1
+    counts, c, i = {size: 1}, capacity - size, len(bundles)
+    while i := last.item(i, c):
+        at, k = bundles[i - 1]
+        counts[at] = counts.get(at, 0) + k
+        c -= k * at
+        i -= 1
     return counts
 
 
 def fractional(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.1,
-               slack: float = 0.02) -> list[tuple[dict[int, int], float]]:
-    """Fillings and how often each is used without using up any length: multiplicative weights.
-
-    A length's price is its share of the sequence, lowered exponentially as it is covered. One
-    dynamic program prices all fillings of a round: for each length the best filling with it, used if
-    it is within ``slack`` of the best of all and none of its lengths has had its step.
+               slack: float = 0.02, pull: float = 3.0) -> list[tuple[dict[int, int], float]]:
+    """Fillings and how often each is used to cover the lengths once on average: multiplicative weights.
+
+    A length's price is its share of the sequence, lowered exponentially as it is covered. Long pieces
+    are worth up to 1 + ``pull`` times their share: of the many full fillings the program then uses those of
+    few long pieces, and short pieces, which fit anywhere, remain for the end. One dynamic program prices all
+    fillings of a round: for each length the best filling with it, used if no more than ``slack`` of
+    the sequence stays empty and none of its lengths has had its step.
     """
     demand = histogram.astype(float)
     sizes = np.flatnonzero(histogram)[::-1]  # the long ones choose first
@@ -178,13 +193,16 @@ def fractional(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, step:
     covered = np.zeros(capacity + 1)
     for _ in range(rounds):
         value = np.zeros(capacity + 1)
-        value[sizes] = sizes / capacity * np.exp(slack * (covered[sizes].min() - covered[sizes]) / step)
-        best, choice = _knapsack(value, capacity)
-        gained, turn = np.zeros(capacity + 1), choice.tolist()
+        lowered = np.exp(slack * (covered[sizes].min() - covered[sizes]) / step)
+        value[sizes] = sizes / capacity * (1 + pull * sizes / capacity) * lowered
+        bundles, last = _knapsack(value, histogram, capacity)
+        gained = np.zeros(capacity + 1)
         for size in sizes[np.argsort(covered[sizes], kind="stable")].tolist():
-            if value[size] + best[capacity - size] < (1 - slack) * best[capacity] or gained[size] >= step:
+            if gained[size] >= step:
+                continue
+            filling = _filling(size, bundles, last, capacity)
+            if _held(filling) < (1 - slack) * capacity:
                 continue
-            filling = _filling(size, turn, capacity)
             if any(gained[s] >= step or n > histogram[s] for s, n in filling.items()):
                 continue
             amount = step * min(demand[s] / n for s, n in filling.items())
@@ -195,7 +213,7 @@ def fractional(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS, step:
         covered += gained
         if not gained.any():
             break
-    return [(dict(f), amount / covered.max()) for f, amount in used.items()]
+    return [(dict(f), amount / covered[sizes].mean()) for f, amount in used.items()]
 
 
 def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -237,25 +255,39 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
-    """Fillings with their numbers that hold every piece exactly once.
+    """Fillings with their numbers that hold every piece exactly once, the program's first."""
+    out, left = rounded(histogram, capacity)
+    return out + best_fit(left, capacity)
+
+
+def rounded(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """Whole fillings of the program, solved again for what they leave, and the histogram of the rest.
 
-    Whole parts of the fractional solution are taken and the program is solved again for what
-    is left, as long as that takes a fifth of it.
+    Of each solution the whole parts are taken, then single fillings as long as their pieces are there:
+    those of the longest piece first, then of fewest pieces, then of largest remainder. Fillings may be
+    short of a sequence by ``waste``, which grows from 0 only when nothing of a solution could be
+    taken. The rest is at most ``LAST`` sequences, or what no solution covers.
     """
-    total = histogram.astype(np.int64)
+    left = histogram.astype(np.int64)
+    lengths = np.arange(capacity + 1)
     out: list[tuple[np.ndarray, int]] = []
-    left = total.copy()
-    while left.any():
+    waste = 0
+    while lengths @ left > LAST * capacity and waste < capacity:
+        solution = [(f, amount) for f, amount in fractional(left, capacity) if _held(f) >= capacity - waste]
+        # the whole parts of all come before any remainder
+        turns = [(f, int(amount)) for f, amount in solution]
+        turns += [(f, 1) for f, _ in sorted(solution, key=lambda x: (-max(x[0]), sum(x[0].values()), int(x[1]) - x[1]))]
         before = left.sum()
-        for filling, amount in fractional(left.copy(), capacity):
-            if int(amount) and sum(s * n for s, n in filling.items()) == capacity:
+        for filling, times in turns:
+            times = min(times, *(int(left[s]) // n for s, n in filling.items()))
+            if times:
                 counts = np.zeros(capacity + 1, np.int64)
                 counts[list(filling)] = list(filling.values())
-                out.append((counts, int(amount)))
-                left -= int(amount) * counts
-        if left.sum() > 0.8 * before:
-            break
-    return out + best_fit(left, capacity)
+                out.append((counts, times))
+                left -= times * counts
+        if left.sum() == before:
+            waste = 2 * waste + 1
+    return out, left
 
 
 def _places(fillings: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
