@@ -242,7 +242,15 @@ def quantile_models(features: DataFrame, quantiles, edges=DECADES, ridge: float
     rows = rows.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     keys = ["lead", "fold", "q"]
     rows = cut(rows.select(*keys, "x", "y"))
-    start = solve(cross_products(rows, keys), ridge=ridge)
+    return reweighted(rows, keys, lambda products: solve(products, ridge=ridge), eps, tol, max_rounds)
+
+
+def reweighted(rows: DataFrame, keys: list, fit, eps: float, tol: float, max_rounds: int) -> DataFrame:
+    """``keys, coef``: least pinball loss of (``keys, q, x, y``) rows by rounds of weighted squares.
+
+    ``fit`` replaces the products of each key by its coefficients.
+    """
+    start = fit(cross_products(rows, keys))
     open_ = cut(start.select(*keys, "coef", F.lit(None).cast("double").alias("loss")))
     done = open_.where("false").select(*keys, "coef")
     for _ in range(max_rounds):
@@ -251,7 +259,7 @@ def quantile_models(features: DataFrame, quantiles, edges=DECADES, ridge: float
         weighted = rows.join(open_.select(*keys, "coef"), keys)
         weighted = weighted.withColumn("w", side / F.greatest(F.abs(e), F.lit(eps)))
         products = cross_products(weighted, keys, weight="w").join(open_.withColumnRenamed("loss", "_before"), keys)
-        moved = solve(products.withColumn("loss", _weighted_loss()("g", "coef")).drop("coef"), ridge=ridge)
+        moved = fit(products.withColumn("loss", _weighted_loss()("g", "coef")).drop("coef"))
         settled = F.abs(F.col("_before") - F.col("loss")) <= tol * F.abs("_before")
         models = cut(moved.select(*keys, "coef", "loss", F.coalesce(settled, F.lit(False)).alias("_settled")))
         done = done.unionByName(models.where("_settled").select(*keys, "coef"))

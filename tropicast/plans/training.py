@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
-from ..operators import ensemble, eof, features, folds, lagged, learners, search, skewed, tuning, verify, windows
+from ..operators import ensemble, eof, features, folds, lagged, learners, quantiles, search, skewed, tuning, verify, windows
 from ..session import cut, scratch_path
 from ..sources.models import ModelRegistry
 from .fields import anomalies
@@ -318,9 +318,9 @@ def r4(v: Views):
 
 @query("r5")
 def r5(v: Views):
-    table = cut(feature_table(v))
-    models = learners.quantile_models(table, (0.025, 0.5, 0.975), EDGES)
-    out = learners.predict_quantiles(table, models, EDGES)
+    """Joint quantile models per lead and fold: a median and increments that cannot be negative."""
+    table, levels = cut(feature_table(v)), (0.025, 0.5, 0.975)
+    out = quantiles.predict_joint(table, quantiles.joint_models(table, levels, EDGES), levels, EDGES)
     return out.select("lead", "m", "target_season", *[r(F.get("forecast", F.lit(i)), 4).alias(n) for i, n in enumerate(("low", "mid", "high"))])
 
 
