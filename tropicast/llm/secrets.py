@@ -84,7 +84,7 @@ class BlobLedger:
         rows = self.spark.read.schema(self.schema).parquet(self.path)
         return rows.where(F.col("rule_version") == rule_version).select("blob", "spans")
 
-    def scan(self, versions: DataFrame, key: str, rule_version: str = "2") -> DataFrame:
+    def scan(self, versions: DataFrame, key: str, rule_version: str = CURRENT) -> DataFrame:
         """Scan (key, text) rows; returns (key, blob, spans) for every row.
 
         The blobs are elected on ids and digests alone; the text moves once, to meet the blobs
@@ -158,12 +158,17 @@ def _sql_kind(kind: str, pattern: str, least: int, value: str) -> str:
     WHERE length({value.format(m="g.m", p=p)}) >= {least}"""
 
 
+# SQL patterns look neither ahead nor back, so a key that lacks its END line is its BEGIN line there
+SQL_WHOLE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----)?"
+
+
 def _oracle() -> str:
     parts = []
-    for kind, pattern, least, group in BASE + ADDED:
+    rules = BASE + (("private", SQL_WHOLE, 0, 0), *ADDED[1:])
+    for kind, pattern, least, group in rules:
         value = f"regexp_extract({{m}}, '{{p}}', {group})" if group else "{m}"
         parts.append(_sql_kind(kind, pattern, least, value))
-    order = "CASE kind " + " ".join(f"WHEN '{r[0]}' THEN {i}" for i, r in enumerate(BASE + ADDED)) + " END"
+    order = "CASE kind " + " ".join(f"WHEN '{r[0]}' THEN {i}" for i, r in enumerate(rules)) + " END"
     one = "kind || ':' || start_at || ':' || end_at"
     base = ", ".join(f"'{r[0]}'" for r in BASE)
     return f"""
