@@ -166,3 +166,47 @@ def test_metrics_of_random_networks_by_brute_force(spark, words, bucket):
     assert found.keys() == want.keys()
     for window, values in want.items():
         assert found[window] == tuple(None if v is None else pytest.approx(v) for v in values)
+
+
+def test_rows_dealt_follow_the_nodes(spark):
+    """Four times the nodes are four times the rows that tiles read, not sixteen times."""
+    copies = []
+    for n in (1200, 4800):
+        runs = spark.range(n).selectExpr("id AS node", "0 AS run", "0 AS first", "3 AS last", "array(1d, id, 2d, 0d) AS x")
+        copies.append(network._tiles(runs, network.BLOCK)[0].count() / n)
+    assert copies[0] == copies[1]
+
+
+@pytest.fixture(scope="module")
+def copied(spark):
+    """Two windows of 60 nodes, of which 25 are copies of one and some have no spread."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 7)).round(1)
+    x[10:35] = x[3]
+    x[50:53] = 2.0
+    rows = [(n, 100 + t, float(x[n, t])) for n in range(60) for t in range(7)]
+    return network.window_runs(spark.createDataFrame(rows, "node long, m int, value double"), 6)
+
+
+def in_order(runs, block):
+    every = network.correlation_links(runs, 6, lambda r, _: r > -2, block=block).collect()
+    for w in (105, 106):
+        yield w, sorted((-r.r, r.src, r.dst) for r in every if r.window_m == w)
+
+
+@pytest.mark.parametrize("block", [9, 32768])
+def test_top_links(copied, block):
+    got = [(r.window_m, -r.r, r.src, r.dst) for r in network.top_links(copied, 6, 20, block=block).collect()]
+    for w, order in in_order(copied, block):
+        assert sorted(row[1:] for row in got if row[0] == w)[:20] == order[:20]
+
+
+@pytest.mark.parametrize("key, dropped", [("l2", "strongest_links")])
+def test_no_links_are_written(spark, monkeypatch, key, dropped):
+    from __spark_entry__ import SMOKE_DIR, queries
+
+    def refuse(*_, **__):
+        raise AssertionError("a table of links")
+
+    monkeypatch.setattr(network, dropped, refuse)
+    assert queries()[key](spark, SMOKE_DIR).count() > 0

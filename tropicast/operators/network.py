@@ -1,9 +1,11 @@
 """Evolving correlation networks: links of all moving windows in one job.
 
-Cells are hashed to blocks of bounded size and windows are grouped in short runs. A task
-gets one pair of blocks and one run (two small matrices), multiplies them and emits only
-the links that pass, so neither the N x N matrix nor a whole window ever exists in one
-place, and the months that neighbouring windows share travel once per run.
+Cells are hashed to a few blocks and windows are grouped in short runs. A task
+gets one pair of blocks (for triangles three) and one run, multiplies them piece by piece and
+emits only the links that pass, or counts of them, so neither the N x N matrix nor a whole
+window ever exists in one place, and the months that neighbouring windows share travel once per
+run. A node's row is copied once per block, so what is shuffled follows the number of blocks:
+as few as keep ``TILES`` tasks busy, more only where a block would pass its bound.
 """
 
 from __future__ import annotations
@@ -11,19 +13,25 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_date
 from ..session import cut
 
-BLOCK = 512
+BLOCK = 32768  # most nodes of a block in pairs, and in triples
+TRIPLE_BLOCK = 16384
+TILES = 72
+LEAST = 64  # blocks are not made smaller than this for the sake of more tasks
+ROWS, COLUMNS = 256, 2048  # piece of r that a task holds
 RUN = 12
 BINS = 4096
+FINE = 65536  # parts of a bin
 
 EDGE_SCHEMA = "window_m int, src long, dst long, r double"
 HIST_SCHEMA = "window_m int, bin int, n long"
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
 def node_id(lat="lat", lon="lon") -> Column:
@@ -74,16 +82,48 @@ def window_nodes(runs: DataFrame, size: int, run: int = RUN) -> DataFrame:
     )
 
 
-def _tiles(runs: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """Copies of each node row for every pair of blocks it belongs to."""
-    n_nodes = runs.select("node").distinct().count()
+def _tiles(runs: DataFrame, block: int, sides: int = 2) -> tuple[DataFrame, int]:
+    """Copies of each node row for every set of ``sides`` blocks it belongs to, tile by tile; and the number of blocks.
+
+    A tile is a sorted set of blocks, repeats allowed, as the digits of a number to the base of their count.
+    """
+    n_nodes, n_runs = runs.agg(F.count_distinct("node"), F.count_distinct("run")).first()
     n_blocks = max(1, math.ceil(n_nodes / block))
-    mine = F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int")
-    rows = runs.withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    rows = rows.withColumns({"b1": F.least("_b", "_o"), "b2": F.greatest("_b", "_o")})
-    rows = rows.withColumn("left", F.col("_b") == F.col("b1")).withColumn("right", F.col("_b") == F.col("b2"))
-    pairs = n_blocks * (n_blocks + 1) // 2
-    return rows.select("run", "b1", "b2", "left", "right", "node", "first", "last", "x"), pairs
+    while n_runs * math.comb(n_blocks + sides - 1, sides) < TILES and n_blocks * LEAST < n_nodes:
+        n_blocks += 1
+    top = F.lit(n_blocks - 1)
+    others = F.transform(F.sequence(F.lit(0), top), lambda i: F.array(i))
+    for _ in range(sides - 2):
+        others = F.flatten(F.transform(others, lambda a: F.transform(
+            F.sequence(F.element_at(a, -1), top), lambda j: F.concat(a, F.array(j)))))
+    rows = runs.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(n_blocks)).cast("int"))
+    rows = rows.withColumn("_o", F.explode(others))
+    blocks = F.sort_array(F.concat(F.array("block"), F.col("_o")))
+    tile = F.aggregate(blocks, F.lit(0).cast("long"), lambda t, i: t * n_blocks + i)
+    rows = rows.select("run", tile.alias("tile"), "block", "node", "first", "last", "x")
+    # an explicit number of partitions is not coalesced again
+    tiles = n_runs * math.comb(n_blocks + sides - 1, sides)
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tiles, 20000))
+    return rows.repartition(parts, "run", "tile").sortWithinPartitions("run", "tile"), n_blocks
+
+
+def _tables(batches):
+    """The rows of one tile and run at a time, wherever the batches end."""
+    key, held = None, []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        run, tile = batch.column("run").to_numpy(), batch.column("tile").to_numpy()
+        cuts = (np.flatnonzero((np.diff(run) != 0) | (np.diff(tile) != 0)) + 1).tolist()
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now = (int(run[low]), int(tile[low]))
+            if held and now != key:
+                yield key[1], pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield key[1], pa.Table.from_batches(held)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -95,64 +135,191 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return np.where(good, centred / np.where(good, length, 1.0), 0.0)
 
 
-def _tile_windows(pdf: pd.DataFrame, size: int, run: int):
-    """Per window of a tile: end month, node ids of both sides, r and the mask of real pairs."""
-    x = np.array([np.asarray(v, dtype=float) for v in pdf["x"]])
-    node = pdf["node"].to_numpy()
-    a, b = pdf["left"].to_numpy(), pdf["right"].to_numpy()
-    same = bool(pdf["b1"].iat[0] == pdf["b2"].iat[0])
-    first, last = int(pdf["first"].iat[0]), int(pdf["last"].iat[0])
-    na, nb = node[a], node[b]
-    mask = na[:, None] < nb[None, :] if same else np.ones((len(na), len(nb)), dtype=bool)
+def _tile_windows(tile: int, table: pa.Table, size: int, run: int, n_blocks: int, sides: int):
+    """Per window of a tile: end month, and for each side its block's number, node ids in order and unit rows."""
+    node, block = table["node"].to_numpy(), table["block"].to_numpy()
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["x"].chunks]).reshape(len(node), -1)
+    first, last = table["first"][0].as_py(), table["last"][0].as_py()
+    order = np.argsort(node)
+    numbers = [tile // n_blocks ** k % n_blocks for k in reversed(range(sides))]
+    rows = {b: order[block[order] == b] for b in set(numbers)}
     for i in range(run):
         end = first + i + size - 1
         if end > last:
             break
-        z = _unit_rows(x[:, i:i + size])
-        yield end, na, nb, z[a] @ z[b].T, mask
+        held = {b: (b, node[at], _unit_rows(x[at, i:i + size])) for b, at in rows.items()}
+        yield end, [held[b] for b in numbers]
 
 
-def correlation_links(runs: DataFrame, size: int, keep, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """``window_m, src, dst, r`` for the pairs that ``keep(r, window_m)`` selects (src < dst)."""
-    tiles, pairs = _tiles(runs, block)
+def _pieces(left, right):
+    """Node ids of both sides, r and the mask of real pairs (None: all), in pieces of bounded size."""
+    (b1, na, za), (b2, nb, zb) = left, right
+    for i in range(0, len(na), ROWS):
+        for j in range(0, len(nb), COLUMNS):
+            a, b = na[i:i + ROWS], nb[j:j + COLUMNS]
+            if b1 == b2 and a[0] >= b[-1]:
+                continue
+            mask = a[:, None] < b[None, :] if b1 == b2 and a[-1] >= b[0] else None
+            yield a, b, za[i:i + ROWS] @ zb[j:j + COLUMNS].T, mask
+
+
+def _scan(runs: DataFrame, size: int, work, schema: str, run: int, block: int, sides: int = 2) -> DataFrame:
+    """Rows that ``work(end, *sides)`` yields, as lists of columns, for every window of every tile."""
+    tiles, n_blocks = _tiles(runs, block, sides)
+    fields = [f.split() for f in schema.split(", ")]
+    arrow = pa.schema([(name, ARROW[kind]) for name, kind in fields])
+
+    def rows(batches):
+        for tile, table in _tables(batches):
+            for end, parts in _tile_windows(tile, table, size, run, n_blocks, sides):
+                for columns in work(end, *parts):
+                    if len(columns[0]):
+                        month = np.full(len(columns[0]), end, dtype=np.int32)
+                        arrays = [pa.array(c, f.type) for c, f in zip((month, *columns), arrow, strict=True)]
+                        yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+    return tiles.mapInArrow(rows, schema)
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for end, na, nb, r, mask in _tile_windows(pdf, size, run):
-            i, j = np.nonzero(mask & keep(r, end))
-            s, d = na[i], nb[j]
-            parts.append(pd.DataFrame({"window_m": np.full(len(i), end, dtype=np.int32),
-                                       "src": np.minimum(s, d), "dst": np.maximum(s, d), "r": r[i, j]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"window_m": [], "src": [], "dst": [], "r": []})
 
-    spread = _spread(tiles, pairs)
-    return spread.groupBy("run", "b1", "b2").applyInPandas(links, EDGE_SCHEMA)
+def _chosen(runs: DataFrame, size: int, choose, run: int, block: int) -> DataFrame:
+    """``window_m, src, dst, r`` for the places (i, j) of each piece that ``choose(end, a, b, r, mask)`` gives."""
+
+    def links(end, left, right):
+        for a, b, r, mask in _pieces(left, right):
+            i, j = choose(end, a, b, r, mask)
+            yield np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), r[i, j]
+
+    return _scan(runs, size, links, EDGE_SCHEMA, run, block)
+
+
+def _real(hit: np.ndarray, mask) -> np.ndarray:
+    return hit if mask is None else hit & mask
+
+
+def correlation_links(runs: DataFrame, size: int, keep, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """``window_m, src, dst, r`` for the pairs that ``keep(r, window_m)`` selects (src < dst)."""
+    return _chosen(runs, size, lambda end, a, b, r, mask: np.nonzero(_real(keep(r, end), mask)), run, block)
 
 
 def correlation_histogram(runs: DataFrame, size: int, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """``window_m, bin, n``: number of pairs per bin of r, bin 0 holding r = 1."""
-    tiles, pairs = _tiles(runs, block)
 
-    def counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for end, _, _, r, mask in _tile_windows(pdf, size, run):
-            bins, n = np.unique(_bin(r[mask]), return_counts=True)
-            parts.append(pd.DataFrame({"window_m": np.full(len(bins), end, dtype=np.int32), "bin": bins, "n": n}))
-        return pd.concat(parts) if parts else pd.DataFrame({"window_m": [], "bin": [], "n": []})
+    def counts(end, left, right):
+        n = np.zeros(BINS, dtype=np.int64)
+        for _, _, r, mask in _pieces(left, right):
+            n += np.bincount(_bin(r if mask is None else r[mask]).ravel(), minlength=BINS)
+        yield np.flatnonzero(n), n[n > 0]
 
-    spread = _spread(tiles, pairs).groupBy("run", "b1", "b2").applyInPandas(counts, HIST_SCHEMA)
-    return spread.groupBy("window_m", "bin").agg(F.sum("n").alias("n"))
+    return _scan(runs, size, counts, HIST_SCHEMA, run, block).groupBy("window_m", "bin").agg(F.sum("n").alias("n"))
 
 
 def _bin(r: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((1.0 - r) * (BINS / 2.0)), 0, BINS - 1).astype(np.int32)
 
 
-def _spread(tiles: DataFrame, pairs: int) -> DataFrame:
-    """Shuffle by tile with enough partitions; an explicit number is not coalesced again."""
-    conf = tiles.sparkSession.conf
-    parts = max(int(conf.get("spark.sql.shuffle.partitions")), min(pairs, 20000))
-    return tiles.repartition(parts, "run", "b1", "b2")
+def link_degrees(runs: DataFrame, size: int, threshold: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """``window_m, node, degree`` of every linked node, counted in the tiles."""
+
+    def counts(end, left, right):
+        n, m = np.zeros(len(left[1]), dtype=np.int64), np.zeros(len(right[1]), dtype=np.int64)
+        for a, b, r, mask in _pieces(left, right):
+            hit = _real(np.abs(r) > threshold, mask)
+            i, j = np.searchsorted(left[1], a[0]), np.searchsorted(right[1], b[0])
+            n[i:i + len(a)] += np.count_nonzero(hit, axis=1)
+            m[j:j + len(b)] += np.count_nonzero(hit, axis=0)
+        yield left[1][n > 0], n[n > 0]
+        yield right[1][m > 0], m[m > 0]
+
+    found = _scan(runs, size, counts, "window_m int, node long, degree long", run, block)
+    return found.groupBy("window_m", "node").agg(F.sum("degree").alias("degree"))
+
+
+def link_totals(runs: DataFrame, size: int, threshold: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """``window_m, n_pairs, n_links, total``: number of pairs, of links with abs(r) above the threshold, and the sum of their r."""
+
+    def counts(end, left, right):
+        pairs, links, total = 0, 0, 0.0
+        for _, _, r, mask in _pieces(left, right):
+            real = r if mask is None else r[mask]
+            held = real[np.abs(real) > threshold]
+            pairs, links, total = pairs + real.size, links + held.size, total + float(held.sum())
+        yield np.array([pairs]), np.array([links]), np.array([total])
+
+    found = _scan(runs, size, counts, "window_m int, n_pairs long, n_links long, total double", run, block)
+    return found.groupBy("window_m").agg(*[F.sum(c).alias(c) for c in ("n_pairs", "n_links", "total")])
+
+
+def top_links(runs: DataFrame, size: int, k: int, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """The ``k`` first links of each tile and window by r descending, src, dst; the first of all are among them."""
+
+    def best(end, left, right):
+        s, d, top = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for a, b, r, mask in _pieces(left, right):
+            i, j = np.nonzero(_real(r >= top[-1] if len(top) == k else np.ones(r.shape, dtype=bool), mask))
+            if len(i) == 0:
+                continue
+            value = r[i, j]
+            if len(i) > k:
+                good = value >= np.partition(value, len(i) - k)[len(i) - k]
+                i, j, value = i[good], j[good], value[good]
+            s, d = np.append(s, np.minimum(a[i], b[j])), np.append(d, np.maximum(a[i], b[j]))
+            top = np.append(top, value)
+            order = np.lexsort((d, s, -top))[:k]
+            s, d, top = s[order], d[order], top[order]
+        yield s, d, top
+
+    return _scan(runs, size, best, EDGE_SCHEMA, run, block)
+
+
+def _bits(left, right, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two blocks as bits: a row per left node over the right ones, and the other way round."""
+    (b1, na, za), (b2, nb, zb) = left, right
+    over = np.zeros((len(na), -(-len(nb) // 64) * 8), dtype=np.uint8)
+    back = np.zeros((len(nb), -(-len(na) // 64) * 8), dtype=np.uint8)
+    for i in range(0, len(na), ROWS):
+        for j in range(0, len(nb), COLUMNS):
+            a, b = na[i:i + ROWS], nb[j:j + COLUMNS]
+            hit = np.abs(za[i:i + ROWS] @ zb[j:j + COLUMNS].T) > threshold
+            if b1 == b2:
+                hit &= a[:, None] < b[None, :]
+            over[i:i + len(a), j // 8:j // 8 + -(-len(b) // 8)] = np.packbits(hit, axis=1)
+            back[j:j + len(b), i // 8:i // 8 + -(-len(a) // 8)] = np.packbits(hit.T, axis=1)
+    return over.view(np.uint64), back.view(np.uint64)
+
+
+def _ones(row: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(row.view(np.uint8)))
+
+
+def link_corners(runs: DataFrame, size: int, threshold: float, run: int = RUN, block: int = TRIPLE_BLOCK) -> DataFrame:
+    """``window_m, node, degree, triangles`` of every linked node, without a table of links.
+
+    A task has three blocks u, v, w and finds their links anew from the rows, as bits. The triangles over a link
+    (u, v) are the bits that its ends share over w; nodes are in order, so each triangle is met once.
+    """
+
+    def counts(end, u, v, w):
+        (uv, vu), (uw, wu), (vw, wv) = _bits(u, v, threshold), _bits(u, w, threshold), _bits(v, w, threshold)
+        at_u, at_v, at_w = (np.zeros(len(p[1]), dtype=np.int64) for p in (u, v, w))
+        for i in range(len(at_u)):
+            if uw[i].any():
+                ends = _ones(uv[i])
+                shared = np.bitwise_count(vw[ends] & uw[i]).sum(axis=1, dtype=np.int64)
+                at_u[i] += shared.sum()
+                at_v[ends] += shared
+        for i in range(len(at_w)):
+            if wv[i].any():
+                at_w[i] += np.bitwise_count(uv[_ones(wu[i])] & wv[i]).sum(dtype=np.int64)
+        # the links of two blocks are counted where the last of them is repeated
+        last = v[0] == w[0]
+        of_u, of_v = (np.bitwise_count(t).sum(axis=1, dtype=np.int64) if last else np.zeros(len(t), np.int64) for t in (uv, vu))
+        for part, links, found in ((u, of_u, at_u), (v, of_v, at_v), (w, np.zeros(len(at_w), np.int64), at_w)):
+            held = (links > 0) | (found > 0)
+            yield part[1][held], links[held], found[held]
+
+    schema = "window_m int, node long, degree long, triangles long"
+    found = _scan(runs, size, counts, schema, run, block, 3)
+    return found.groupBy("window_m", "node").agg(F.sum("degree").alias("degree"), F.sum("triangles").alias("triangles"))
 
 
 def threshold_links(runs: DataFrame, size: int, threshold: float, run: int = RUN, block: int = BLOCK) -> DataFrame:
@@ -160,21 +327,128 @@ def threshold_links(runs: DataFrame, size: int, threshold: float, run: int = RUN
     return correlation_links(runs, size, lambda r, _: np.abs(r) > threshold, run, block)
 
 
+def _reached(counts: DataFrame, wanted: DataFrame, *order: str) -> dict:
+    """Per window the group in which the last wanted link lies: its key, the links still wanted from it, and its size.
+
+    One row per window reaches the driver: bounded by the number of months.
+    """
+    w = Window.partitionBy("window_m").orderBy(*order)
+    before = counts.withColumn("_before", F.sum("n").over(w) - F.col("n")).join(wanted, "window_m")
+    group = F.struct(*order, (F.col("wanted") - F.col("_before")).alias("rest"), "n")
+    edge = before.where(F.col("_before") < F.col("wanted")).groupBy("window_m").agg(F.max(group).alias("g"))
+    return {row.window_m: tuple(row.g) for row in edge.collect()}
+
+
+def _open(edge: dict) -> dict:
+    """Windows whose last group is wanted in part."""
+    return {end: group for end, group in edge.items() if group[-2] < group[-1]}
+
+
+def _rest(spark, edge: dict) -> DataFrame:
+    return spark.createDataFrame([(end, group[-2]) for end, group in edge.items()], "window_m int, wanted long")
+
+
+def _fine(r: np.ndarray, at: int) -> np.ndarray:
+    """Part of bin ``at`` that values of it lie in."""
+    return np.clip(np.floor(((1.0 - r) * (BINS / 2.0) - at) * FINE), 0, FINE - 1).astype(np.int32)
+
+
+def _near(r: np.ndarray, mask, at: int):
+    """Places of the pairs whose bin is at most ``at``, and their bins."""
+    low = 1.0 - (at + 1) / (BINS / 2.0) - 1e-9
+    i, j = np.nonzero(_real(r > low if at < BINS - 1 else np.ones(r.shape, dtype=bool), mask))
+    bins = _bin(r[i, j])
+    good = bins <= at
+    return i[good], j[good], bins[good]
+
+
 def strongest_links(runs: DataFrame, size: int, wanted: DataFrame, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """The ``wanted`` links of largest signed r per window (table ``window_m, wanted``).
 
-    A first pass counts pairs per bin of r; only pairs from the bin that holds the last
-    wanted link upward are emitted, and the cut inside that bin is exact.
+    Passes of counting place the last wanted link in the order r descending, src, dst: by bins of r, by parts
+    of its bin, by r and src within its part, and by dst where ties remain. A last pass emits
+    exactly the links up to it, so no link is written, sorted or shuffled on the way.
     """
-    hist = correlation_histogram(runs, size, run, block)
-    wanted = cut(wanted)
-    w = Window.partitionBy("window_m").orderBy("bin")  # at most BINS rows
-    reach = hist.withColumn("_before", F.sum("n").over(w) - F.col("n")).join(wanted, "window_m")
-    edge = reach.where(F.col("_before") < F.col("wanted")).groupBy("window_m").agg(F.max("bin").alias("bin"))
-    # one number per window: bounded by the number of months
-    lowest = {row.window_m: row.bin for row in edge.collect()}
-    links = correlation_links(runs, size, lambda r, end: _bin(r) <= lowest.get(end, -1), run, block)
-    return first_links(cut(links), wanted)
+    runs, wanted, spark = cut(runs), cut(wanted), runs.sparkSession
+    bins = _reached(correlation_histogram(runs, size, run, block), wanted, "bin")
+    split = _open(bins)
+
+    def parts(end, left, right):
+        if end not in split:
+            return
+        at, n = split[end][0], np.zeros(FINE, dtype=np.int64)
+        for _, _, r, mask in _pieces(left, right):
+            i, j, b = _near(r, mask, at)
+            n += np.bincount(_fine(r[i[b == at], j[b == at]], at), minlength=FINE)
+        yield np.flatnonzero(n), n[n > 0]
+
+    fine = {}
+    if split:
+        found = _scan(runs, size, parts, HIST_SCHEMA, run, block).groupBy("window_m", "bin").agg(F.sum("n").alias("n"))
+        fine = _reached(found, _rest(spark, split), "bin")
+    tied = _open(fine)
+
+    def inside(end, a, b, r, mask):
+        """Pairs in the part of the bin that is still to be divided."""
+        i, j, at = _near(r, mask, split[end][0])
+        good = at == split[end][0]
+        i, j = i[good], j[good]
+        good = _fine(r[i, j], split[end][0]) == fine[end][0]
+        i, j = i[good], j[good]
+        return np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), r[i, j]
+
+    def sources(end, left, right):
+        if end not in tied:
+            return
+        q, s, n = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        for a, b, r, mask in _pieces(left, right):
+            src, _, value = inside(end, a, b, r, mask)
+            if len(src):
+                # equal (r, src) are counted at once, so many ties stay few rows
+                q, s, n = np.append(q, -value), np.append(s, src), np.append(n, np.ones(len(src), np.int64))
+                order = np.lexsort((s, q))
+                q, s, n = q[order], s[order], n[order]
+                first = np.flatnonzero(np.append(True, (np.diff(q) != 0) | (np.diff(s) != 0)))
+                q, s, n = q[first], s[first], np.add.reduceat(n, first)
+        yield q, s, n
+
+    exact = {}
+    if tied:
+        found = _scan(runs, size, sources, "window_m int, q double, src long, n long", run, block)
+        found = found.groupBy("window_m", "q", "src").agg(F.sum("n").alias("n"))
+        exact = _reached(found, _rest(spark, tied), "q", "src")
+    level = _open(exact)
+
+    def ends(end, left, right):
+        if end not in level:
+            return
+        q, s = level[end][:2]
+        for a, b, r, mask in _pieces(left, right):
+            src, dst, value = inside(end, a, b, r, mask)
+            hit = dst[(value == -q) & (src == s)]
+            yield hit, np.ones(len(hit), np.int64)
+
+    last = {}
+    if level:
+        last = _reached(_scan(runs, size, ends, "window_m int, dst long, n long", run, block), _rest(spark, level), "dst")
+
+    def choose(end, a, b, r, mask):
+        if end not in bins:
+            return np.empty(0, int), np.empty(0, int)
+        at = bins[end][0]
+        i, j, near = _near(r, mask, at)
+        if end not in fine:
+            return i, j
+        part = np.where(near < at, -1, _fine(r[i, j], at))
+        good = part <= fine[end][0]
+        if end in exact:
+            q, s = exact[end][:2]
+            src, dst = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+            same = (src == s) & (dst <= last[end][0]) if end in last else src == s
+            good &= (part < fine[end][0]) | (-r[i, j] < q) | ((-r[i, j] == q) & ((src < s) | same))
+        return i[good], j[good]
+
+    return _chosen(runs, size, choose, run, block)
 
 
 def density_links(runs: DataFrame, size: int, density: float, run: int = RUN, block: int = BLOCK) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import ranks, stats
 from ..functions.calendar import calendar_month
 from ..operators import features, lagged, learners, prepare, verify, windows
 from ..operators import climatology as clim
+from ..session import cut
 from .fields import ANOM_SQL, anomalies
 from .registry import query, r, rounded
 from .sqltext import corr, date, normal_cdf, p_value
@@ -110,9 +111,7 @@ def l1(v: Views):
 def l2(v: Views):
     from ..operators import network
 
-    runs = network.window_runs(v.emb, 64, run=1)
-    wanted = network.window_nodes(runs, 64, run=1).select("window_m").distinct().withColumn("wanted", F.lit(20))
-    links = network.strongest_links(runs, 64, wanted, run=1)
+    links = network.top_links(cut(network.window_runs(v.emb, 64, run=1)), 64, 20, run=1)
     best = ranks.top_k(links, 20, [F.desc("r"), F.asc("src"), F.asc("dst")])
     return rounded(best.select("position", "src", "dst", "r"), "r")
 
