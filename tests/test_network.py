@@ -201,7 +201,7 @@ def test_top_links(copied, block):
         assert sorted(row[1:] for row in got if row[0] == w)[:20] == order[:20]
 
 
-@pytest.mark.parametrize("key, dropped", [("l2", "strongest_links")])
+@pytest.mark.parametrize("key, dropped", [("l2", "strongest_links"), ("n6", "correlation_links")])
 def test_no_links_are_written(spark, monkeypatch, key, dropped):
     from __spark_entry__ import SMOKE_DIR, queries
 
@@ -210,3 +210,16 @@ def test_no_links_are_written(spark, monkeypatch, key, dropped):
 
     monkeypatch.setattr(network, dropped, refuse)
     assert queries()[key](spark, SMOKE_DIR).count() > 0
+
+
+@pytest.mark.parametrize("block", [9, 30, 16384])
+def test_corners_without_links(copied, block):
+    got = {(r.window_m, r.node): (r.degree, r.triangles) for r in network.link_corners(copied, 6, 0.5, block=block).collect()}
+    want = {}
+    for w, order in in_order(copied, block):
+        near = np.zeros((60, 60), dtype=np.int64)
+        for q, s, d in order:
+            near[s, d] = near[d, s] = abs(q) > 0.5
+        around = np.diag(near @ near @ near) // 2
+        want |= {(w, n): (near[n].sum(), around[n]) for n in range(60) if near[n].any()}
+    assert got == want
