@@ -201,7 +201,7 @@ def test_top_links(copied, block):
         assert sorted(row[1:] for row in got if row[0] == w)[:20] == order[:20]
 
 
-@pytest.mark.parametrize("key, dropped", [("l2", "strongest_links"), ("n6", "correlation_links")])
+@pytest.mark.parametrize("key, dropped", [("l2", "strongest_links"), ("n6", "correlation_links"), ("n3", "first_links")])
 def test_no_links_are_written(spark, monkeypatch, key, dropped):
     from __spark_entry__ import SMOKE_DIR, queries
 
@@ -223,3 +223,13 @@ def test_corners_without_links(copied, block):
         around = np.diag(near @ near @ near) // 2
         want |= {(w, n): (near[n].sum(), around[n]) for n in range(60) if near[n].any()}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [9, 32768])
+@pytest.mark.parametrize("k", [1, 37, 290, 305, 5000])
+def test_strongest_links_with_ties(spark, copied, block, k):
+    """The last wanted link lies among the pairs of 26 copies, after them, or beyond all pairs."""
+    wanted = spark.createDataFrame([(105, k), (106, k // 2)], "window_m int, wanted long")
+    got = [(r.window_m, -r.r, r.src, r.dst) for r in network.strongest_links(copied, 6, wanted, block=block).collect()]
+    for w, order in in_order(copied, block):
+        assert sorted(row[1:] for row in got if row[0] == w) == order[:k if w == 105 else k // 2]
