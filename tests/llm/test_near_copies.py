@@ -89,3 +89,26 @@ def test_odd_rows(spark):
     kept = near_copies.keep_first(table(spark, rows))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "6", "7"]
     assert near_copies.keep_first(table(spark, [])).count() == 0
+
+
+def test_python_gets_small_batches(spark, monkeypatch):
+    """Workers keep the memory of their largest batch, so whole texts come at most 1000 at a time."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from tropicast.llm import near_copies
+
+    def watched(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            if len(batch) > 1000:
+                raise ValueError("a large batch")
+            yield from prints(iter([batch]))
+
+    prints, key = near_copies._prints, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    watched.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    monkeypatch.setattr(near_copies, "_prints", watched)
+    before = spark.conf.get(key)
+    docs = spark.range(1500).coalesce(1).selectExpr("id AS doc_id", "concat('one two three four ', id) AS text")
+    assert near_copies.keep_first(docs).count() == 1500
+    assert spark.conf.get(key) == before

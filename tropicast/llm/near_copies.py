@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop
+from ..session import cut, drop, small_batches
 from . import simhash
 from .common import components
 
@@ -168,8 +168,10 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame
 def grouped(keyed: DataFrame) -> DataFrame:
     """(doc_id, _content, root) of every row of ``keyed``; rows of one component have the same root."""
     text = F.coalesce("text", F.lit(""))
-    prints = cut(keyed.select("doc_id", "_content", F.pandas_udf(_prints, "node long, fp long, size int, parities array<long>, keys array<long>")(text).alias("p")).select(
-        "doc_id", "_content", "p.node", "p.fp", "p.size", *[F.get("p.parities", F.lit(i)).alias(f"b{i}") for i in range(WORDS)], "p.keys"))
+    # a batch of whole texts and their sets stays small in the Python workers, which keep their memory for the stages that follow
+    with small_batches(keyed.sparkSession):
+        prints = cut(keyed.select("doc_id", "_content", F.pandas_udf(_prints, "node long, fp long, size int, parities array<long>, keys array<long>")(text).alias("p")).select(
+            "doc_id", "_content", "p.node", "p.fp", "p.size", *[F.get("p.parities", F.lit(i)).alias(f"b{i}") for i in range(WORDS)], "p.keys"))
     # rows with equal sets are one node from here on
     nodes = prints.select("node", "fp", "keys").dropDuplicates(["node"])
     cells = nodes.select("node", F.explode("keys").alias("key"))
@@ -182,7 +184,8 @@ def grouped(keyed: DataFrame) -> DataFrame:
     rows = cut(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_content")).alias("row")).join(
         met, "node").select("node", F.col("row.doc_id").alias("_d"), F.col("row._content").alias("_c")))
     texts = keyed.select("doc_id", "_content", "text").join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_content") == F.col("_c")))
-    sets = cut(texts.dropDuplicates(["node"]).select("node", F.pandas_udf(_sets, "array<long>")(text).alias("shingles")))
+    with small_batches(keyed.sparkSession):
+        sets = cut(texts.dropDuplicates(["node"]).select("node", F.pandas_udf(_sets, "array<long>")(text).alias("shingles")))
     links = cut(verified(possible(alike, marks), sets))
     rooted = _rooted(cells, links)
     leaders = rooted.where("node = leader").select("key", F.col("root").alias("own"))
