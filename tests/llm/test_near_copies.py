@@ -112,3 +112,27 @@ def test_python_gets_small_batches(spark, monkeypatch):
     docs = spark.range(1500).coalesce(1).selectExpr("id AS doc_id", "concat('one two three four ', id) AS text")
     assert near_copies.keep_first(docs).count() == 1500
     assert spark.conf.get(key) == before
+
+
+def test_only_texts_that_meet_are_shuffled(spark, monkeypatch, tmp_path):
+    """Whole texts are shuffled for their sets only where a filter of the proposed rows lets them through."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"{w}x{i}" for w in words)) for i in range(300)]
+    rows += [(i + 300, rows[i][1].rsplit(" ", 1)[0]) for i in range(20)]
+    table(spark, rows).write.parquet(f"{tmp_path}/docs")
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")}
+    plans, cut = [], near_copies.cut
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(near_copies, "cut", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_copies.keep_first(spark.read.parquet(f"{tmp_path}/docs"))
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", settings["spark.sql.autoBroadcastJoinThreshold"])
+    assert ["might_contain" in p for p in plans if "_sets(" in p] == [True]
+    assert {k: spark.conf.get(k) for k in settings} == settings

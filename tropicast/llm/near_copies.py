@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop, small_batches
+from ..session import bloom_filtered, cut, drop, small_batches
 from . import simhash
 from .common import components
 
@@ -180,11 +180,12 @@ def grouped(keyed: DataFrame) -> DataFrame:
     alike = cut(simhash_pairs(prints.select("node", "fp").dropDuplicates(["node"])))
     marks = cut(prints.select("node", "size", *[f"b{i}" for i in range(WORDS)]).dropDuplicates(["node"]))
     # the whole sets of what a sieve proposes
-    met = cells.select("node").unionByName(alike.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    met = cells.select("node").unionByName(alike.select(F.explode(F.array("u", "v")).alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("met"))
     rows = cut(prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_content")).alias("row")).join(
-        met, "node").select("node", F.col("row.doc_id").alias("_d"), F.col("row._content").alias("_c")))
-    texts = keyed.select("doc_id", "_content", "text").join(rows, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_content") == F.col("_c")))
-    with small_batches(keyed.sparkSession):
+        met, "node").select("node", "met", F.col("row.doc_id").alias("_d"), F.col("row._content").alias("_c")))
+    # only texts that may be among these are shuffled: Spark makes its filter from a table that is itself filtered
+    texts = keyed.select("doc_id", "_content", "text").join(rows.where("met > 0"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_content") == F.col("_c")))
+    with small_batches(keyed.sparkSession), bloom_filtered(keyed.sparkSession):
         sets = cut(texts.dropDuplicates(["node"]).select("node", F.pandas_udf(_sets, "array<long>")(text).alias("shingles")))
     links = cut(verified(possible(alike, marks), sets))
     rooted = _rooted(cells, links)
