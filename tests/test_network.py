@@ -1,10 +1,13 @@
 """Correlation links against brute force, graph metrics against a hand-computed fixture."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tropicast.operators import graph, network
+from tropicast.session import cut
 
 W1 = [(1, 2), (2, 3), (1, 3), (3, 4), (5, 6)]
 W2 = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
@@ -233,3 +236,22 @@ def test_strongest_links_with_ties(spark, copied, block, k):
     got = [(r.window_m, -r.r, r.src, r.dst) for r in network.strongest_links(copied, 6, wanted, block=block).collect()]
     for w, order in in_order(copied, block):
         assert sorted(row[1:] for row in got if row[0] == w) == order[:k if w == 105 else k // 2]
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_counting_leaves_no_shuffles(spark, copied):
+    """All four passes of counting are needed here; the rows they shuffled are gone before the links are made."""
+    runs = cut(copied)
+    wanted = spark.createDataFrame([(105, 290), (106, 145)], "window_m int, wanted long")
+    before = shuffle_files(spark)
+    links = network.strongest_links(runs, 6, wanted)
+    until = time.time() + 10  # files are deleted in the background
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert links.count() == 435 and links.count() == 435
