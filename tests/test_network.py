@@ -255,3 +255,28 @@ def test_counting_leaves_no_shuffles(spark, copied):
         time.sleep(0.1)
     assert not shuffle_files(spark) - before
     assert links.count() == 435 and links.count() == 435
+
+
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+@pytest.mark.parametrize("key, step", [("n7", "link_corners")])
+def test_more_blocks_shuffle_no_more(spark, monkeypatch, tmp_path, key, step):
+    """More blocks of fewer nodes give the same rows and do not copy them more often."""
+    from __spark_entry__ import queries
+
+    x = np.random.default_rng(8).normal(size=(300, 64)).round(2)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    whole, sizes, rows = getattr(network, step), [], []
+    for block in (300, 25):
+        monkeypatch.setattr(network, step, lambda *a, block=block, **k: whole(*a[:3], run=1, block=block))
+        before = shuffle_bytes(spark)
+        frame = queries()[key](spark, str(tmp_path))
+        rows.append(sorted(tuple(r) for r in frame.collect()))
+        sizes.append(sum(n for name, n in shuffle_bytes(spark).items() if name not in before))
+    assert rows[0] == rows[1] and len(rows[0]) == (2242 if key == "n3" else 1)
+    assert sizes[1] < 1.6 * sizes[0]
