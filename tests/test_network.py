@@ -263,7 +263,7 @@ def shuffle_bytes(spark):
     return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
 
 
-@pytest.mark.parametrize("key, step", [("n7", "link_corners")])
+@pytest.mark.parametrize("key, step", [("n7", "link_corners"), ("n6", "link_corners")])
 def test_more_blocks_shuffle_no_more(spark, monkeypatch, tmp_path, key, step):
     """More blocks of fewer nodes give the same rows and do not copy them more often."""
     from __spark_entry__ import queries
