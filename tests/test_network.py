@@ -263,7 +263,7 @@ def shuffle_bytes(spark):
     return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
 
 
-@pytest.mark.parametrize("key, step", [("n7", "link_corners"), ("n6", "link_corners")])
+@pytest.mark.parametrize("key, step", [("n7", "link_corners"), ("n6", "link_corners"), ("n3", "strongest_links")])
 def test_more_blocks_shuffle_no_more(spark, monkeypatch, tmp_path, key, step):
     """More blocks of fewer nodes give the same rows and do not copy them more often."""
     from __spark_entry__ import queries
@@ -280,3 +280,10 @@ def test_more_blocks_shuffle_no_more(spark, monkeypatch, tmp_path, key, step):
         sizes.append(sum(n for name, n in shuffle_bytes(spark).items() if name not in before))
     assert rows[0] == rows[1] and len(rows[0]) == (2242 if key == "n3" else 1)
     assert sizes[1] < 1.6 * sizes[0]
+
+
+def test_links_of_a_tile_come_in_order(spark, copied):
+    """Equal values follow each other, so a table of links takes less room."""
+    wanted = spark.createDataFrame([(105, 400), (106, 0)], "window_m int, wanted long")
+    r = [row.r for row in network.strongest_links(cut(copied), 6, wanted).collect()]
+    assert len(r) == 400 and r == sorted(r)
